@@ -122,4 +122,136 @@ def sql(body: str, extra_ctes: str = "") -> str:
 
 
 def tags_text(col: str = "tags") -> str:
-    return f"array_to_string(list_transform({col}, lambda t: t.key || '=' || t.value), ',')"
+    return f"array_to_string(list_transform({col}, lambda kv_: kv_.key || '=' || kv_.value), ',')"
+
+
+# ---------------------------------------------------------------------------
+# Expected ingest results, computed from the generation rule of the raw
+# envelopes (not by parsing their text): Spark goes text -> parse -> columns,
+# DuckDB goes source columns -> expected values.
+# ---------------------------------------------------------------------------
+_FRAME_T = 'STRUCT("function" VARCHAR, module VARCHAR, package VARCHAR, abs_path VARCHAR, lineno BIGINT, in_app BOOLEAN)'
+
+
+def _frame(fn: str, module: str, package: str, path: str, lineno: str, in_app: str) -> str:
+    return (f"{{'function': {q(fn)}, 'module': {module}, 'package': {package}, 'abs_path': {q(path)}, "
+            f"'lineno': CAST({lineno} AS BIGINT), 'in_app': {in_app}}}")
+
+
+def module_of(f: str) -> str:
+    return f"(CASE WHEN coalesce({f}.module, '') <> '' THEN {f}.module ELSE coalesce({f}.package, '') END)"
+
+
+def raw_ctes() -> str:
+    from faultline.functions.normalize import IGNORED_CULPRIT_MODULES
+
+    level_name = _case("event_type", A.LEVEL_BY_TYPE, "'unknown'")
+    big = "CAST(1000000 + (event_id * 7919) % 9000000 AS VARCHAR)"
+    at = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+    ip = "'10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR)"
+    kx = "json_extract_string(props, '$.k')"
+    message = (
+        f"CASE WHEN event_type = 'error' THEN 'db error id=' || CAST(user_id AS VARCHAR) || ' conn ' || {ip} "
+        f"|| ':5432 refused after ' || {big} || ' ms at ' || {at} "
+        f"ELSE event_type || ' failed id=' || CAST(user_id AS VARCHAR) || ' after ' || {big} || ' ms at ' "
+        f"|| {at} || ' step ' || CAST(CAST({kx} AS INTEGER) % 10 AS VARCHAR) END"
+    )
+    empty_frames = f"CAST([] AS {_FRAME_T}[])"
+    frames = "[" + ", ".join([
+        _frame("main", "'main'", "NULL", "/app/cmd/main.go", "10 + k % 40", "true"),
+        _frame("run", "CASE WHEN t = 'signup' THEN '' ELSE 'app/db' END", "'app/pkg'", "/app/db/db.go",
+               "100 + i % 9", "(i % 4 <> 3)"),
+        _frame("CaptureException", "'github.com/getsentry/sentry-go'", "NULL", "sentry.go", "55", "false"),
+    ]) + "]"
+    main_exc = ("{'type': CASE WHEN t = 'error' THEN 'DBError' ELSE '' END, "
+                "'value': 'query failed id=' || CAST(u AS VARCHAR) || ' at ' || ts_text, 'frames': " + frames + "}")
+    no_frames = f"{{'type': '*net.OpError', 'value': 'dial tcp 10.0.0.1:5432: connection refused', 'frames': {empty_frames}}}"
+    second = ("{'type': '*errors.errorString', 'value': 'wrapped id=7', 'frames': ["
+              + _frame("wrap", "'app/errs'", "NULL", "/app/errs/wrap.go", "31", "true") + "]}")
+    blank = f"{{'type': '', 'value': '', 'frames': {empty_frames}}}"
+    exc_t = f'STRUCT("type" VARCHAR, "value" VARCHAR, frames {_FRAME_T}[])[]'
+    exceptions = (
+        f"CAST(CASE WHEN t = 'error' AND i % 4 = 0 THEN [{no_frames}, {main_exc}] "
+        f"WHEN t = 'error' AND i % 4 = 2 THEN [{main_exc}, {second}] "
+        f"WHEN t IN ('error', 'signup') THEN [{main_exc}] "
+        f"WHEN t = 'purchase' AND i % 5 = 0 THEN [{blank}] ELSE [] END AS {exc_t})"
+    )
+    tf1 = "[" + _frame("handle", "''", "'app/web'", "/app/web/h.go", "20 + k % 5", "true") + ", " + _frame(
+        "serve", "'net/http'", "NULL", "/usr/go/net/http/server.go", "2000", "false") + "]"
+    tf3 = "[" + _frame("loop", "'app/bg'", "NULL", "/app/bg/loop.go", "7", "true") + "]"
+    thread_frames = (f"CAST(CASE WHEN t <> 'click' THEN [] WHEN i % 3 = 1 THEN {tf3} ELSE {tf1} END "
+                     f"AS {_FRAME_T}[])")
+    envs = "[" + ", ".join(q(e) for e in A.ENVS) + "]"
+    ignored = "[" + ", ".join(q(m) for m in IGNORED_CULPRIT_MODULES) + "]"
+
+    def kv(key: str, val: str) -> str:
+        return f"{{'key': {q(key)}, 'value': CAST({val} AS VARCHAR)}}"
+
+    tags = (f"list_filter([{kv('env', 'env')}, {kv('level', 'level_name')}, {kv('release', 'release')}, "
+            f"{kv('server_name', 'server_name')}, {kv('user', 'user_ref')}, {kv('k', 'k')}, {kv('os', 'os')}], "
+            f"lambda x: x.value <> '')")
+    contexts = (
+        f"list_filter([{kv('user.ip', 'user_ip')}, {kv('device.arch', q('amd64'))}, "
+        f"{kv('device.num_cpu', 'k % 8 + 1')}, {kv('runtime.name', q('go'))}, {kv('runtime.version', q('go1.22.1'))}, "
+        f"{kv('runtime.go_maxprocs', q('8'))}, {kv('runtime.go_numroutines', 'CASE WHEN k % 20 = 0 THEN NULL ELSE k % 20 END')}, "
+        f"{kv('os.name', 'os')}, {kv('extra.attempt', 'k % 3')}, "
+        f"{kv('extra.flags', "CASE WHEN k % 2 = 0 THEN '{\"retry\":true}' ELSE '{\"retry\":false}' END")}, "
+        f"{kv('extra.note', "'step ' || CAST(k % 10 AS VARCHAR)")}], lambda x: coalesce(x.value, '') <> '')"
+    )
+    chosen = ("CASE WHEN len(list_filter(e.frames, lambda f: f.in_app)) > 0 THEN list_filter(e.frames, "
+              "lambda f: f.in_app) ELSE e.frames END")
+    stack_text = (f"array_to_string(list_transform(exceptions, lambda e: e.type || array_to_string(list_transform("
+                  f"{chosen}, lambda f: {module_of('f')} || f.function || CAST((f.lineno // 10) * 10 AS VARCHAR)), '') "
+                  f"|| {norm(norm('e.value'))}), '')")
+    raw_text = (f"array_to_string(list_transform(exceptions, lambda e: array_to_string(list_transform(e.frames, "
+                f"lambda f: {module_of('f')} || f.function), '') || e.type), '')")
+    last_frames = "coalesce(exceptions[-1].frames, [])"
+    keep = f"list_filter(list_reverse({last_frames}), lambda f: NOT list_contains({ignored}, {module_of('f')}))"
+    pick = f"coalesce({keep}[1], {last_frames}[1])"
+    return f"""
+rs AS (
+  SELECT event_id AS i, user_id AS u, event_type AS t, ts,
+         CAST({kx} AS INTEGER) AS k,
+         CAST(user_id % 5 + 1 AS INTEGER) AS pid,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts_text,
+         CASE WHEN event_id % 3 = 0 THEN 'linux' WHEN event_id % 3 = 1 THEN 'darwin' ELSE '' END AS os,
+         CASE WHEN user_id % 7 = 0 THEN 'rust' ELSE 'go' END AS platform,
+         {level_name} AS level_name,
+         {message} AS message,
+         {envs}[event_id % 3 + 1] AS env,
+         'nordland@1.' || CAST(event_id % 4 AS VARCHAR) || '.0' AS release,
+         'host-' || CAST(user_id % 4 AS VARCHAR) AS server_name,
+         CASE WHEN user_id % 10 = 0 THEN '' ELSE 'id:' || CAST(user_id AS VARCHAR) END AS user_ref,
+         '10.1.' || CAST(user_id % 256 AS VARCHAR) || '.1' AS user_ip,
+         CASE WHEN event_id % 53 = 0 THEN 'invalid project identifier'
+              WHEN event_id % 41 = 0 THEN 'invalid dsn'
+              WHEN event_id % 50 = 1 THEN 'premature end of input'
+              WHEN event_id % 50 IN (0, 2) THEN 'invalid event body'
+              WHEN event_id % 41 = 1 THEN 'project not found'
+              WHEN event_id % 89 = 0 THEN 'invalid remote addr'
+              ELSE 'ok' END AS status
+  FROM events
+),
+rx AS (
+  SELECT *, {exceptions} AS exceptions, {thread_frames} AS thread_frames FROM rs
+),
+rv AS (
+  SELECT i, pid, t, k, ts, status, message, level_name, platform, exceptions, thread_frames, os,
+         {tags} AS tags, {contexts} AS contexts,
+         CASE WHEN len(exceptions) > 0 AND len(exceptions[1].frames) > 0 THEN md5({stack_text})
+              ELSE md5({norm(norm('message'))} || level_name || platform) END AS fingerprint,
+         CASE WHEN len(exceptions) > 0 AND len(exceptions[1].frames) > 0 THEN md5({raw_text})
+              ELSE md5(message) END AS raw_fingerprint,
+         CASE WHEN len(exceptions) = 0 THEN message WHEN exceptions[-1].type <> '' THEN exceptions[-1].type
+              WHEN exceptions[-1].value <> '' THEN 'Error' ELSE message END AS error_type,
+         CASE WHEN len(exceptions) = 0 THEN '(No error message)' ELSE exceptions[-1].value END AS error_value,
+         CASE WHEN len(exceptions) > 0 AND len({last_frames}) > 0
+              THEN {module_of(pick)} || ' in ' || {pick}.function ELSE '' END AS view
+  FROM rx
+)"""
+
+
+def frames_text(frames: str, in_app: str) -> str:
+    return (f"array_to_string(list_transform({frames}, lambda f: f.function || '|' || "
+            f"string_split(f.abs_path, '/')[-1] || '|' || CAST(f.lineno AS VARCHAR) || '|' || "
+            f"CAST(f.lineno AS VARCHAR) || '|' || {in_app}), ';')")

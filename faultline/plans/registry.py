@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from faultline import oracle as O
 from faultline.functions import normalize as N
 from faultline.functions import predicates as P
+from faultline.functions import columns as X
 from faultline.operators import analytics as Q
 from faultline.sources import adapters as A
 
@@ -48,11 +49,6 @@ def _normalize_message(spark, d):
     return docs.select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("bigint").alias("norm_len"))
 
 
-@register("event_fingerprint", O.sql("SELECT event_id, pid, primary_hash, gid FROM ev"))
-def _event_fingerprint(spark, d):
-    return A.ev(spark, d).select("event_id", "pid", "primary_hash", "gid")
-
-
 # --- Q1-Q13 --------------------------------------------------------------------
 _RANGE_HALF = f"created_at >= {O.T_FROM} AND created_at < {O.T_NOW}"
 _RANGE_CLOSED = f"created_at >= {O.T_FROM} AND created_at <= {O.T_NOW}"
@@ -230,3 +226,170 @@ def _tag_filter(spark, d):
         F.sum(F.when(P.tag_filter(F.col("tags"), "os", "linux", negate=True), 1).otherwise(0)).cast("bigint")
         .alias("without_linux"),
     )
+
+
+# --- S1, T1-T19: ingest over raw envelopes ------------------------------------------
+from faultline.operators import ingest as I  # noqa: E402
+from faultline.sources import envelope as S  # noqa: E402
+
+_PARSED_OK = ("status NOT IN ('invalid project identifier', 'invalid dsn', 'premature end of input', "
+              "'invalid event body')")
+
+
+def _ingested(spark, d):
+    raw = A.raw_envelopes(spark, d)
+    rows, rejects = I.ingest(raw, A.projects(spark, d), carry=("envelope_id", "event"))
+    return raw, rows, rejects
+
+
+def _raw_sql(body: str) -> str:
+    return O.sql(body, O.raw_ctes())
+
+
+@register("ingest_envelope_parse", _raw_sql("SELECT i AS envelope_id, status FROM rs"))
+def _ingest_envelope_parse(spark, d):
+    _, rows, rejects = _ingested(spark, d)
+    return rows.select("envelope_id", F.lit("ok").alias("status")).unionByName(
+        rejects.select("envelope_id", F.col("reason").alias("status")))
+
+
+@register("ingest_project_key", _raw_sql("""
+SELECT i AS envelope_id, CASE WHEN i % 41 = 0 THEN '' WHEN i % 41 = 1 THEN 'nokey'
+       ELSE 'key' || CAST(pid AS VARCHAR) END AS project_key FROM rs"""))
+def _ingest_project_key(spark, d):
+    raw = A.raw_envelopes(spark, d)
+    return raw.select("envelope_id", S.project_key(F.col("auth")).alias("project_key"))
+
+
+@register("ingest_timestamp", _raw_sql(f"""
+SELECT i AS envelope_id, CASE WHEN i % 2 = 0 THEN ts ELSE date_trunc('millisecond', ts) END AS sdk_ts
+FROM rs WHERE {_PARSED_OK}"""))
+def _ingest_timestamp(spark, d):
+    parsed, _ = S.parse_envelopes(A.raw_envelopes(spark, d))
+    return parsed.select("envelope_id", "sdk_ts")
+
+
+@register("ingest_exceptions", _raw_sql(f"""
+SELECT i AS envelope_id, CAST(len(exceptions) AS BIGINT) AS n_exceptions,
+       array_to_string(list_transform(exceptions, lambda e: e.type), '|') AS exc_types,
+       array_to_string(list_transform(exceptions, lambda e: e.value), '|') AS exc_values,
+       CAST(len(flatten(list_transform(exceptions, lambda e: e.frames))) AS BIGINT) AS n_frames
+FROM rx WHERE {_PARSED_OK}"""))
+def _ingest_exceptions(spark, d):
+    parsed, _ = S.parse_envelopes(A.raw_envelopes(spark, d))
+    e = F.col("exceptions")
+    return parsed.select(
+        "envelope_id", F.size(e).cast("bigint").alias("n_exceptions"),
+        F.array_join(F.transform(e, lambda x: F.coalesce(x["type"], F.lit(""))), "|").alias("exc_types"),
+        F.array_join(F.transform(e, lambda x: F.coalesce(x["value"], F.lit(""))), "|").alias("exc_values"),
+        F.size(F.flatten(F.transform(e, lambda x: F.coalesce(x["stacktrace"]["frames"], F.array()))))
+        .cast("bigint").alias("n_frames"))
+
+
+@register("ingest_ip_split", _raw_sql("""
+SELECT i AS envelope_id,
+       CASE WHEN i % 89 = 0 THEN NULL WHEN i % 13 = 0 THEN '127.0.0.1'
+            ELSE '10.1.' || CAST(u % 256 AS VARCHAR) || '.' || CAST(i % 256 AS VARCHAR) END AS ipv4,
+       CASE WHEN i % 89 = 0 THEN NULL WHEN i % 13 = 0 THEN '2001:db8::' || CAST(i % 99 + 1 AS VARCHAR)
+            ELSE '::1' END AS ipv6
+FROM rs"""))
+def _ingest_ip_split(spark, d):
+    raw = A.raw_envelopes(spark, d)
+    ip = I.split_ip(F.col("remote_addr"))
+    return raw.select("envelope_id", ip["ipv4"].alias("ipv4"), ip["ipv6"].alias("ipv6"))
+
+
+@register("event_fingerprint", _raw_sql(f"""
+SELECT i AS envelope_id, fingerprint, {O.issue_id('pid', 'fingerprint')} AS gid FROM rv WHERE status = 'ok'"""))
+def _event_fingerprint(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", F.col("primary_hash").alias("fingerprint"), "gid")
+
+
+@register("event_fingerprint_raw", _raw_sql(
+    "SELECT i AS envelope_id, raw_fingerprint FROM rv WHERE status = 'ok'"))
+def _event_fingerprint_raw(spark, d):
+    parsed, _ = S.parse_envelopes(A.raw_envelopes(spark, d))
+    ok = parsed.join(A.projects(spark, d).select(F.col("id").alias("project_id"),
+                                                  F.col("key").alias("project_key")),
+                     ["project_id", "project_key"], "left_semi")
+    ok = ok.where(I.split_ip(F.col("remote_addr")).isNotNull())
+    return ok.select("envelope_id", N.raw_fingerprint(F.col("event.message"), F.col("exceptions"))
+                     .alias("raw_fingerprint"))
+
+
+@register("issue_title", _raw_sql("""
+SELECT i AS envelope_id, error_type, error_value, error_type || ': ' || error_value AS title
+FROM rv WHERE status = 'ok'"""))
+def _issue_title(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", "error_type", "error_value", "title")
+
+
+@register("issue_culprit", _raw_sql("SELECT i AS envelope_id, view FROM rv WHERE status = 'ok'"))
+def _issue_culprit(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", "view")
+
+
+@register("event_tags", _raw_sql(f"SELECT i AS envelope_id, {O.tags_text()} AS tags_text FROM rv WHERE status = 'ok'"))
+def _event_tags(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", tags_text().alias("tags_text"))
+
+
+@register("event_contexts", _raw_sql(
+    f"SELECT i AS envelope_id, {O.tags_text('contexts')} AS contexts_text FROM rv WHERE status = 'ok'"))
+def _event_contexts(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", tags_text("contexts").alias("contexts_text"))
+
+
+_FRAMES_SQL = (f"CASE WHEN len(flatten(list_transform(exceptions, lambda e: e.frames))) > 0 THEN "
+               f"{O.frames_text('flatten(list_transform(exceptions, lambda e: e.frames))', chr(39) + '1' + chr(39))} "
+               f"ELSE {O.frames_text('thread_frames', 'CASE WHEN f.in_app THEN 1 ELSE 0 END')} END")
+
+
+def frames_text(c: str = "exception_frames"):
+    return F.array_join(F.transform(F.col(c), lambda f: F.concat_ws(
+        "|", f["function"], f["filename"], f["lineno"].cast("string"), f["colno"].cast("string"),
+        f["in_app"].cast("string"))), ";")
+
+
+@register("event_frames", _raw_sql(f"SELECT i AS envelope_id, {_FRAMES_SQL} AS frames_text FROM rv WHERE status = 'ok'"))
+def _event_frames(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    return rows.select("envelope_id", frames_text().alias("frames_text"))
+
+
+@register("ingest_event_rows", _raw_sql(f"""
+SELECT i AS envelope_id, pid, date_trunc('second', ts) AS created_at,
+       CAST({O._case('level_name', {k: v for k, v in __import__('faultline.functions.columns', fromlist=['x']).LEVELS.items()}, '7')} AS SMALLINT) AS level,
+       CAST(CASE platform WHEN 'go' THEN 1 WHEN 'rust' THEN 2 ELSE 0 END AS SMALLINT) AS platform,
+       CAST(CASE platform WHEN 'rust' THEN 2 ELSE 1 END AS SMALLINT) AS sdk_id,
+       error_type || ': ' || error_value AS title, fingerprint AS primary_hash,
+       {O.issue_id('pid', 'fingerprint')} AS gid,
+       CASE WHEN i % 17 = 0 THEN 'generated:true' ELSE md5(CAST(i AS VARCHAR)) END AS event_id_shown
+FROM rv WHERE status = 'ok'"""))
+def _ingest_event_rows(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    shown = F.when(F.coalesce(F.col("event.event_id"), F.lit("")) == "",
+                   F.concat(F.lit("generated:"), F.when(F.col("event_id").rlike("^[0-9a-f]{32}$"), "true")
+                            .otherwise("false"))).otherwise(F.col("event_id"))
+    return rows.select("envelope_id", "pid", "created_at", "level", "platform", "sdk_id", "title", "primary_hash",
+                       "gid", shown.alias("event_id_shown"))
+
+
+@register("issue_upsert", _raw_sql(f"""
+SELECT {O.issue_id('pid', 'fingerprint')} AS id, pid AS project_id, fingerprint AS hash,
+       min(date_trunc('second', ts)) AS first_seen, max(date_trunc('second', ts)) AS last_seen,
+       arg_max(error_value, (date_trunc('second', ts), md5(CAST(i AS VARCHAR)))) AS message,
+       arg_max(error_type, (date_trunc('second', ts), md5(CAST(i AS VARCHAR)))) AS error_type,
+       arg_max(view, (date_trunc('second', ts), md5(CAST(i AS VARCHAR)))) AS view,
+       3 AS priority, CAST(0 AS BIGINT) AS num_comments
+FROM rv WHERE status = 'ok' GROUP BY pid, fingerprint"""))
+def _issue_upsert(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    cut = F.col("created_at") < X.ts_lit("2024-01-15 00:00:00")
+    first = I.upsert_issues(None, rows.where(cut))
+    return I.upsert_issues(first, rows.where(~cut))

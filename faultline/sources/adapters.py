@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as X
 from faultline.functions.normalize import fingerprint, issue_id
+from faultline.functions.frames import spread
 from faultline.session import ensure_utc
 
 # Fixed clock of the fixtures: the events span 2024-01-01 .. 2024-01-30.
@@ -48,7 +49,7 @@ OS_BY_MOD3 = {0: "linux", 1: "darwin"}  # event_id % 3 = 2 -> no os tag
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _kv(key: str, value: Column) -> Column:
@@ -147,3 +148,157 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live(events: DataFrame) -> DataFrame:
     """Rows not tombstoned."""
     return events.where(F.col("deleted") == 0)
+
+
+# ---------------------------------------------------------------------------
+# Raw envelopes (S1, T1-T19) over ``events``
+# ---------------------------------------------------------------------------
+def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One SDK envelope per ``events`` row, as the ingest endpoint receives it.
+
+    Columns: envelope_id (source event_id), project_id (URL text), auth
+    (header), remote_addr, received_at, body (three lines; the event JSON is the
+    third).  The body exercises every shape the ingest job accepts: exception
+    lists as arrays or ``{"values": ...}``, string or number timestamps,
+    thread-only stacks, custom tags, extra values of several JSON types - and
+    the rejects: bad project id (i % 53 = 0), empty key (i % 41 = 0), unknown
+    key (i % 41 = 1), two-line body (i % 50 = 1), broken JSON (i % 50 = 0),
+    wrong JSON type (i % 50 = 2), bad client address (i % 89 = 0).
+    """
+    e = read(spark, sf_dir, "events")
+    i, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    pid = (u % 5 + 1).cast("int")
+    ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    os_name = F.when(i % 3 == 0, F.lit("linux")).when(i % 3 == 1, F.lit("darwin")).otherwise(F.lit(""))
+    platform = F.when(u % 7 == 0, F.lit("rust")).otherwise(F.lit("go"))
+
+    def frame(function, module, abs_path, lineno, in_app, package=None):
+        return F.struct(
+            F.lit(function).alias("function"),
+            (module if isinstance(module, Column) else F.lit(module)).alias("module"),
+            F.lit(package).cast("string").alias("package"),
+            F.lit(abs_path).alias("abs_path"),
+            lineno.cast("bigint").alias("lineno"),
+            (in_app if isinstance(in_app, Column) else F.lit(in_app)).alias("in_app"),
+        )
+
+    frames = F.array(
+        frame("main", "main", "/app/cmd/main.go", F.lit(10) + k % 40, True),
+        frame("run", F.when(t == "signup", F.lit("")).otherwise(F.lit("app/db")), "/app/db/db.go",
+              F.lit(100) + i % 9, i % 4 != 3, package="app/pkg"),
+        frame("CaptureException", "github.com/getsentry/sentry-go", "sentry.go", F.lit(55), False),
+    )
+
+    def exc(type_, value, frs):
+        return F.struct(type_.alias("type"), value.alias("value"), F.struct(frs.alias("frames")).alias("stacktrace"))
+
+    empty_frames = F.array().cast("array<struct<function:string,module:string,package:string,abs_path:string,"
+                                  "lineno:bigint,in_app:boolean>>")
+    main_exc = exc(F.when(t == "error", F.lit("DBError")).otherwise(F.lit("")),
+                   F.concat(F.lit("query failed id="), u.cast("string"), F.lit(" at "), ts_text), frames)
+    no_frames = exc(F.lit("*net.OpError"), F.lit("dial tcp 10.0.0.1:5432: connection refused"), empty_frames)
+    second = exc(F.lit("*errors.errorString"), F.lit("wrapped id=7"), F.array(
+        frame("wrap", "app/errs", "/app/errs/wrap.go", F.lit(31), True)))
+    exceptions = (
+        F.when((t == "error") & (i % 4 == 0), F.array(no_frames, main_exc))
+        .when((t == "error") & (i % 4 == 2), F.array(main_exc, second))
+        .when(t.isin("error", "signup"), F.array(main_exc))
+        .when((t == "purchase") & (i % 5 == 0), F.array(exc(F.lit(""), F.lit(""), empty_frames)))
+    )
+    tframes1 = F.array(frame("handle", "", "/app/web/h.go", F.lit(20) + k % 5, True, package="app/web"),
+                       frame("serve", "net/http", "/usr/go/net/http/server.go", F.lit(2000), False))
+    tframes3 = F.array(frame("loop", "app/bg", "/app/bg/loop.go", F.lit(7), True))
+
+    def thread(tid, name, current, frs):
+        return F.struct(F.lit(tid).alias("id"), F.lit(name).alias("name"), current.alias("current"),
+                        F.struct(frs.alias("frames")).alias("stacktrace"))
+
+    threads = F.when(t == "click", F.array(
+        thread("1", "main", i % 3 == 0, tframes1),
+        thread("2", "worker", F.lit(True), empty_frames),
+        thread("3", "bg", i % 3 == 1, tframes3),
+    ))
+
+    def list_json(arr: Column) -> Column:
+        txt = F.to_json(arr)
+        return F.when(arr.isNull(), F.lit(None)).when(i % 2 == 0, txt).otherwise(
+            F.concat(F.lit('{"values":'), txt, F.lit("}")))
+
+    user = F.struct(
+        F.when(u % 10 == 0, F.lit("")).otherwise(u.cast("string")).alias("id"),
+        F.concat(F.lit("user"), u.cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("10.1."), (u % 256).cast("string"), F.lit(".1")).alias("ip_address"),
+        F.concat(F.lit("user"), u.cast("string")).alias("username"),
+    )
+    fixed = F.struct(
+        F.when(i % 17 == 0, F.lit("")).otherwise(F.md5(i.cast("string"))).alias("event_id"),
+        level_name(t).alias("level"),
+        platform.alias("platform"),
+        ev_message(e).alias("message"),
+        F.element_at(F.array(*[F.lit(x) for x in ENVS]), (i % 3 + 1).cast("int")).alias("environment"),
+        F.concat(F.lit("nordland@1."), (i % 4).cast("string"), F.lit(".0")).alias("release"),
+        F.concat(F.lit("host-"), (u % 4).cast("string")).alias("server_name"),
+        user.alias("user"),
+        F.struct(F.when(platform == "rust", F.lit("sentry.rust")).otherwise(F.lit("sentry.go")).alias("name"),
+                 F.lit("0.29.0").alias("version")).alias("sdk"),
+        F.create_map(F.lit("k"), k.cast("string"), F.lit("os"), os_name).alias("tags"),
+        F.struct(
+            F.struct(F.lit("amd64").alias("arch"), (k % 8 + 1).alias("num_cpu")).alias("device"),
+            F.struct(F.lit("go").alias("name"), F.lit("go1.22.1").alias("version"),
+                     F.lit(8).alias("go_maxprocs"), F.lit(0).alias("go_numcgocalls"),
+                     (k % 20).alias("go_numroutines")).alias("runtime"),
+            F.struct(os_name.alias("name")).alias("os"),
+        ).alias("contexts"),
+    )
+    extra = F.concat(F.lit('{"attempt":'), (k % 3).cast("string"), F.lit(',"note":"step '),
+                     (k % 10).cast("string"), F.lit('","flags":{"retry":'),
+                     F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")), F.lit("}}"))
+    ts_json = F.when(i % 2 == 0, F.concat(F.lit('"'), ts_text, F.lit('"'))).otherwise(
+        F.format_string("%.3f", F.unix_millis(F.col("ts").cast("timestamp")) / F.lit(1000.0)))
+    fixed_json = F.to_json(fixed)
+    level_bad = F.regexp_replace(fixed_json, r'"level":"[a-z]+"', '"level":5')
+    exc_json, thr_json = list_json(exceptions), list_json(threads)
+    event_json = F.concat(
+        F.lit('{"timestamp":'), ts_json,
+        F.when(exc_json.isNotNull(), F.concat(F.lit(',"exception":'), exc_json)).otherwise(F.lit("")),
+        F.when(thr_json.isNotNull(), F.concat(F.lit(',"threads":'), thr_json)).otherwise(F.lit("")),
+        F.lit(',"extra":'), extra, F.lit(","),
+        F.substring(F.when(i % 50 == 2, level_bad).otherwise(fixed_json), 2, 1 << 30),
+    )
+    line0 = F.concat(F.lit('{"event_id":"'), F.md5(i.cast("string")), F.lit('","sent_at":"'), ts_text, F.lit('"}'))
+    line1 = F.lit('{"type":"event"}')
+    line2 = F.when(i % 50 == 0, F.lit('{"event_id": "broken')).otherwise(event_json)
+    body = F.when(i % 50 == 1, F.concat_ws("\n", line0, line1)).otherwise(
+        F.concat(F.concat_ws("\n", line0, line1, line2), F.when(i % 2 == 0, F.lit("\n")).otherwise(F.lit(""))))
+    auth = (
+        F.when(i % 41 == 0, F.lit("Sentry sentry_key=, sentry_version=7"))
+        .when(i % 41 == 1, F.lit("Sentry sentry_version=7, sentry_key=nokey"))
+        .otherwise(F.concat(F.lit("Sentry sentry_version=7, sentry_key=key"), pid.cast("string"),
+                            F.lit(", sentry_client=sentry.go/0.29.0")))
+    )
+    remote = (
+        F.when(i % 89 == 0, F.lit("not-an-ip"))
+        .when(i % 13 == 0, F.concat(F.lit("[2001:db8::"), (i % 99 + 1).cast("string"), F.lit("]:443")))
+        .otherwise(F.concat(F.lit("10.1."), (u % 256).cast("string"), F.lit("."), (i % 256).cast("string"),
+                            F.lit(":"), (F.lit(40000) + i % 1000).cast("string")))
+    )
+    project_id = F.when(i % 53 == 0, F.concat(F.lit("p"), pid.cast("string"))).otherwise(pid.cast("string"))
+    return e.select(
+        i.alias("envelope_id"), project_id.alias("project_id"), auth.alias("auth"), remote.alias("remote_addr"),
+        F.col("ts").alias("received_at"), body.alias("body"),
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects from ``nation``: id = n_nationkey + 1, key 'key<id>', team = region + 1."""
+    n = read(spark, sf_dir, "nation")
+    pid = (F.col("n_nationkey") + 1).cast("int")
+    return n.select(
+        pid.alias("id"),
+        F.concat(F.lit("project-"), F.lower(F.col("n_name"))).alias("name"),
+        F.concat(F.lit("key"), pid.cast("string")).alias("key"),
+        F.when(pid % 2 == 0, F.lit(2)).otherwise(F.lit(1)).cast("smallint").alias("platform"),
+        (F.col("n_regionkey") + 1).cast("int").alias("team_id"),
+        (F.lit(NOW) - F.make_dt_interval(F.lit(0) + pid * 10)).cast("timestamp_ntz").alias("created_at"),
+    )
