@@ -255,3 +255,55 @@ def frames_text(frames: str, in_app: str) -> str:
     return (f"array_to_string(list_transform({frames}, lambda f: f.function || '|' || "
             f"string_split(f.abs_path, '/')[-1] || '|' || CAST(f.lineno AS VARCHAR) || '|' || "
             f"CAST(f.lineno AS VARCHAR) || '|' || {in_app}), ';')")
+
+
+def rel_ctes() -> str:
+    """DuckDB restatement of the relational adapters."""
+    now = T_NOW
+    return f"""
+teams AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS id, lower(r_name) AS name FROM region),
+accounts AS (SELECT c_custkey + 1 AS id, 'user' || CAST(c_custkey + 1 AS VARCHAR) AS username,
+                    'user' || CAST(c_custkey + 1 AS VARCHAR) || '@example.com' AS email, c_name AS name FROM customer),
+members AS (SELECT c_custkey + 1 AS user_id, CAST(c_nationkey % 5 + 1 AS INTEGER) AS team_id FROM customer
+            UNION ALL
+            SELECT c_custkey + 1, CAST((c_nationkey % 5 + 1) % 5 + 1 AS INTEGER) FROM customer WHERE c_custkey % 7 = 0),
+projects AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS id, 'project-' || lower(n_name) AS name,
+                    'key' || CAST(n_nationkey + 1 AS VARCHAR) AS key, CAST(n_regionkey + 1 AS INTEGER) AS team_id
+             FROM nation),
+comments AS (SELECT conv_id * 100 + turn AS id, ev.gid AS issue_id, (conv_id * 7 + turn) % {A.N_USERS} + 1 AS user_id,
+                    {now} - to_hours(CAST(conv_id AS BIGINT)) + to_minutes(CAST(turn AS BIGINT)) AS created_at,
+                    text AS content,
+                    [conv_id % {A.N_USERS} + 1, (conv_id + turn) % {A.N_USERS} + 1, conv_id % {A.N_USERS} + 1] AS mentions
+             FROM conversations JOIN ev ON md5(CAST(conv_id AS VARCHAR)) = ev.event_id),
+feed AS (SELECT o_orderkey AS request_id, ev.gid AS issue_id, o_custkey % {A.N_USERS} + 1 AS user_id,
+                o_orderkey % {A.N_USERS} + 1 AS assigned_by,
+                o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS created_at,
+                CASE WHEN o_orderstatus = 'P' THEN 'delete' ELSE 'assign' END AS action
+         FROM orders JOIN ev ON md5(CAST(o_orderkey AS VARCHAR)) = ev.event_id),
+alert_rules AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS id, CAST(n_nationkey % 5 + 1 AS INTEGER) AS project_id,
+                       CAST(n_nationkey % 5 + 1 AS INTEGER) AS team_id, 'rule-' || CAST(n_nationkey + 1 AS VARCHAR) AS rule_name,
+                       CAST((n_nationkey * 13) % 40 - 3 AS INTEGER) AS threshold,
+                       CAST(n_nationkey % 2 + 1 AS INTEGER) AS condition, CAST(n_nationkey % 7 + 1 AS INTEGER) AS timeframe,
+                       ['Active', 'Inactive', 'Triggered'][n_nationkey % 3 + 1] AS status,
+                       n_nationkey % 2 = 0 AS high_priority,
+                       {now} - to_days(CAST(n_nationkey AS INTEGER)) AS created_at
+                FROM nation),
+channels AS (SELECT CAST(r_regionkey * 2 + 1 AS INTEGER) AS id, CAST(r_regionkey + 1 AS INTEGER) AS team_id,
+                    'webhook' AS channel_type, true AS enabled, {now} - to_days(CAST(1 + r_regionkey AS INTEGER)) AS created_at
+             FROM region
+             UNION ALL
+             SELECT CAST(r_regionkey * 2 + 2 AS INTEGER), CAST(r_regionkey + 1 AS INTEGER), 'email', r_regionkey % 2 = 0,
+                    {now} - to_days(CAST(r_regionkey AS INTEGER)) FROM region),
+webhook_configs AS (SELECT CAST(r_regionkey * 2 + 1 AS INTEGER) AS channel_id,
+                           'https://hooks.example.com/' || lower(r_name) AS url, r_regionkey % 3 <> 0 AS verified
+                    FROM region WHERE r_regionkey <> 4),
+issues AS (SELECT gid AS id, pid AS project_id, primary_hash AS hash, min(created_at) AS first_seen,
+                  max(created_at) AS last_seen, '(No error message)' AS message,
+                  arg_max(message, (created_at, event_id)) AS error_type, '' AS view, 3 AS priority,
+                  CAST(0 AS BIGINT) AS num_comments
+           FROM ev GROUP BY gid, pid, primary_hash)"""
+
+
+def rel_sql(body: str, more: str = "") -> str:
+    extra = rel_ctes() + ("," + more if more.strip() else "")
+    return sql(body, extra)

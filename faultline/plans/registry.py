@@ -393,3 +393,123 @@ def _issue_upsert(spark, d):
     cut = F.col("created_at") < X.ts_lit("2024-01-15 00:00:00")
     first = I.upsert_issues(None, rows.where(cut))
     return I.upsert_issues(first, rows.where(~cut))
+
+
+# --- J*, U*: relational ------------------------------------------------------------
+from faultline.operators import relational as R  # noqa: E402
+
+
+@register("message_counts", O.rel_sql("""
+SELECT i.id AS issue_id, CAST(count(c.id) AS BIGINT) AS message_count
+FROM issues i LEFT JOIN comments c ON c.issue_id = i.id GROUP BY i.id"""))
+def _message_counts(spark, d):
+    return R.message_counts(A.issues(spark, d), A.comments(spark, d))
+
+
+@register("issue_discussion", O.rel_sql("""
+SELECT c.id, c.issue_id, c.user_id, a.username, c.created_at,
+       row_number() OVER (PARTITION BY c.issue_id ORDER BY c.created_at DESC, c.id DESC) AS rn
+FROM comments c JOIN accounts a ON a.id = c.user_id"""))
+def _issue_discussion(spark, d):
+    return R.issue_discussion(A.comments(spark, d), A.accounts(spark, d)).select(
+        "id", "issue_id", "user_id", "username", "created_at", F.col("rn").cast("bigint").alias("rn"))
+
+
+@register("teammates", O.rel_sql("""
+SELECT m.team_id, m.user_id, a.username, a.email, a.name FROM members m JOIN accounts a ON a.id = m.user_id"""))
+def _teammates(spark, d):
+    return R.teammates(A.members(spark, d), A.accounts(spark, d)).select(
+        "team_id", "user_id", "username", "email", "name")
+
+
+@register("user_teams", O.rel_sql("""
+SELECT m.user_id, m.team_id, t.name AS team_name FROM members m JOIN teams t ON t.id = m.team_id"""))
+def _user_teams(spark, d):
+    return R.user_teams(A.members(spark, d), A.teams(spark, d)).select("user_id", "team_id", "team_name")
+
+
+@register("alert_list", O.rel_sql("""
+SELECT id, team_id, project_name, rule_name, rn, total FROM (
+  SELECT r.id, r.team_id, p.name AS project_name, r.rule_name,
+         row_number() OVER (PARTITION BY r.team_id ORDER BY r.created_at DESC, r.id DESC) AS rn,
+         count(*) OVER (PARTITION BY r.team_id) AS total
+  FROM alert_rules r JOIN projects p ON p.id = r.project_id) WHERE rn <= 50"""))
+def _alert_list(spark, d):
+    return R.alert_list(A.alert_rules(spark, d), A.projects(spark, d)).select(
+        "id", "team_id", "project_name", "rule_name", F.col("rn").cast("bigint").alias("rn"),
+        F.col("total").cast("bigint").alias("total"))
+
+
+@register("alerts_by_project", O.rel_sql("""
+SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rn
+FROM alert_rules"""))
+def _alerts_by_project(spark, d):
+    return R.alerts_by_project(A.alert_rules(spark, d)).select("id", "project_id",
+                                                               F.col("rn").cast("bigint").alias("rn"))
+
+
+_ACCEPTED = """accepted AS (
+  SELECT f.* FROM feed f WHERE f.action = 'delete' OR EXISTS (
+    SELECT 1 FROM members ma JOIN members mb ON ma.team_id = mb.team_id
+    WHERE ma.user_id = f.assigned_by AND mb.user_id = f.user_id)),
+current_assign AS (
+  SELECT issue_id, l.user_id, l.assigned_by, l.created_at AS assigned_at FROM (
+    SELECT issue_id, arg_max({'action': action, 'user_id': user_id, 'assigned_by': assigned_by,
+                              'created_at': created_at}, (created_at, request_id)) AS l
+    FROM accepted GROUP BY issue_id) WHERE l.action <> 'delete')"""
+
+
+@register("assignment_current", O.rel_sql("SELECT * FROM current_assign", _ACCEPTED))
+def _assignment_current(spark, d):
+    cur, _ = R.assignment_current(A.assignment_feed(spark, d), A.members(spark, d))
+    return cur.select("issue_id", "user_id", "assigned_by", "assigned_at")
+
+
+@register("issue_assignees", O.rel_sql("""
+SELECT i.id AS issue_id, i.project_id, p.team_id, CAST(ca.user_id AS VARCHAR) AS assignee_id, a.username, a.email
+FROM issues i JOIN projects p ON p.id = i.project_id
+LEFT JOIN current_assign ca ON ca.issue_id = i.id
+  AND EXISTS (SELECT 1 FROM members m WHERE m.user_id = ca.user_id AND m.team_id = p.team_id)
+LEFT JOIN accounts a ON a.id = ca.user_id""", _ACCEPTED))
+def _issue_assignees(spark, d):
+    cur, _ = R.assignment_current(A.assignment_feed(spark, d), A.members(spark, d))
+    return R.issue_assignees(A.issues(spark, d), A.projects(spark, d), cur, A.members(spark, d),
+                             A.accounts(spark, d)).select(
+        "issue_id", "project_id", "team_id", F.col("user_id").cast("string").alias("assignee_id"), "username", "email")
+
+
+@register("visible_projects", O.rel_sql("""
+SELECT DISTINCT m.user_id, p.id AS project_id, p.name FROM members m JOIN projects p ON p.team_id = m.team_id"""))
+def _visible_projects(spark, d):
+    return R.visible_projects(A.members(spark, d), A.projects(spark, d))
+
+
+@register("project_list", O.rel_sql("""
+SELECT id, name, team_id FROM projects WHERE team_id IN (1, 2, 3) AND lower(name) LIKE '%nation_1%'"""))
+def _project_list(spark, d):
+    return R.project_list(A.projects(spark, d), team_ids=[1, 2, 3], name="NATION_1").select("id", "name", "team_id")
+
+
+@register("team_webhook", O.rel_sql("""
+SELECT h.team_id, h.channel_id, w.url, w.verified FROM (
+  SELECT team_id, arg_max(id, (created_at, id)) AS channel_id FROM channels WHERE channel_type = 'webhook'
+  GROUP BY team_id) h JOIN webhook_configs w ON w.channel_id = h.channel_id"""))
+def _team_webhook(spark, d):
+    return R.team_webhook(A.channels(spark, d), A.webhook_configs(spark, d)).select(
+        "team_id", "channel_id", "url", "verified")
+
+
+@register("assigned_filters", O.rel_sql("""
+SELECT team_id, assigned_value FROM (
+  SELECT DISTINCT team_id, assigned_value FROM (
+    SELECT m.team_id, a.username AS assigned_value FROM members m JOIN accounts a ON a.id = m.user_id
+    UNION ALL SELECT DISTINCT team_id, 'unassigned' FROM members))
+UNION ALL SELECT DISTINCT team_id, 'me' FROM members"""))
+def _assigned_filters(spark, d):
+    return R.assigned_filters(A.members(spark, d), A.accounts(spark, d))
+
+
+@register("mention_dedup", O.rel_sql("""
+SELECT id AS message_id, unnest(list_distinct(mentions)) AS user_id FROM comments"""))
+def _mention_dedup(spark, d):
+    return R.mention_dedup(A.comments(spark, d))

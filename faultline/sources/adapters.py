@@ -300,5 +300,128 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("key"), pid.cast("string")).alias("key"),
         F.when(pid % 2 == 0, F.lit(2)).otherwise(F.lit(1)).cast("smallint").alias("platform"),
         (F.col("n_regionkey") + 1).cast("int").alias("team_id"),
-        (F.lit(NOW) - F.make_dt_interval(F.lit(0) + pid * 10)).cast("timestamp_ntz").alias("created_at"),
+        (X.ts_lit(NOW) - F.make_dt_interval(F.lit(0) + pid * 10)).cast("timestamp_ntz").alias("created_at"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Relational tables (teams, accounts, members, comments, assignments, alerts)
+# ---------------------------------------------------------------------------
+N_USERS = 150  # fixed: every scale factor has at least 150 customers
+
+
+def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, sf_dir, "region")
+    return r.select((F.col("r_regionkey") + 1).cast("int").alias("id"), F.lower("r_name").alias("name"))
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    uid = F.col("c_custkey") + 1
+    return c.select(uid.alias("id"), F.concat(F.lit("user"), uid.cast("string")).alias("username"),
+                    F.concat(F.lit("user"), uid.cast("string"), F.lit("@example.com")).alias("email"),
+                    F.col("c_name").alias("name"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """team_relation: every customer in team (nation % 5) + 1; every 7th also in the next team."""
+    c = read(spark, sf_dir, "customer")
+    uid = F.col("c_custkey") + 1
+    team = (F.col("c_nationkey") % 5 + 1).cast("int")
+    first = c.select(uid.alias("user_id"), team.alias("team_id"))
+    second = c.where(F.col("c_custkey") % 7 == 0).select(uid.alias("user_id"), (team % 5 + 1).cast("int")
+                                                         .alias("team_id"))
+    return first.unionByName(second)
+
+
+def _event_gids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source event id, issue id) of every adapted event."""
+    e = ev(spark, sf_dir)
+    return e.select("event_id", "gid", "pid")
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue discussion messages from ``conversations``: the conversation with id c
+    discusses the issue of event c; authors cycle over the accounts."""
+    cv = read(spark, sf_dir, "conversations")
+    g = _event_gids(spark, sf_dir)
+    j = cv.join(g, F.md5(cv.conv_id.cast("string")) == g.event_id)
+    return j.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.col("gid").alias("issue_id"),
+        ((F.col("conv_id") * 7 + F.col("turn")) % N_USERS + 1).alias("user_id"),
+        (X.ts_lit(NOW) - F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"), F.lit(0))
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.col("turn").cast("int"))).cast("timestamp_ntz").alias("created_at"),
+        F.col("text").alias("content"),
+        F.array((F.col("conv_id") % N_USERS + 1), ((F.col("conv_id") + F.col("turn")) % N_USERS + 1),
+                (F.col("conv_id") % N_USERS + 1)).alias("mentions"),
+    )
+
+
+def assignment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assign / unassign requests from ``orders``: order o concerns the issue of event o."""
+    o = read(spark, sf_dir, "orders")
+    g = _event_gids(spark, sf_dir)
+    j = o.join(g, F.md5(o.o_orderkey.cast("string")) == g.event_id)
+    return j.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.col("gid").alias("issue_id"),
+        (F.col("o_custkey") % N_USERS + 1).alias("user_id"),
+        (F.col("o_orderkey") % N_USERS + 1).alias("assigned_by"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400))
+        .cast("timestamp_ntz").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("delete")).otherwise(F.lit("assign")).alias("action"),
+    )
+
+
+def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    status = F.element_at(F.array(F.lit("Active"), F.lit("Inactive"), F.lit("Triggered")), (k % 3 + 1).cast("int"))
+    return n.select(
+        (k + 1).cast("int").alias("id"),
+        (k % 5 + 1).cast("int").alias("project_id"),
+        (k % 5 + 1).cast("int").alias("team_id"),
+        F.concat(F.lit("rule-"), (k + 1).cast("string")).alias("rule_name"),
+        ((k * 13) % 40 - 3).cast("int").alias("threshold"),
+        (k % 2 + 1).cast("int").alias("condition"),
+        (k % 7 + 1).cast("int").alias("timeframe"),
+        status.alias("status"),
+        (k % 2 == 0).alias("high_priority"),
+        (X.ts_lit(NOW) - F.make_dt_interval(k.cast("int"))).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels per team: a webhook (enabled) and an email one (enabled on even regions)."""
+    r = read(spark, sf_dir, "region")
+    k = F.col("r_regionkey")
+    hook = r.select((k * 2 + 1).cast("int").alias("id"), (k + 1).cast("int").alias("team_id"),
+                    F.lit("webhook").alias("channel_type"), F.lit(True).alias("enabled"),
+                    (X.ts_lit(NOW) - F.make_dt_interval(F.lit(1) + k.cast("int"))).cast("timestamp_ntz")
+                    .alias("created_at"))
+    mail = r.select((k * 2 + 2).cast("int").alias("id"), (k + 1).cast("int").alias("team_id"),
+                    F.lit("email").alias("channel_type"), (k % 2 == 0).alias("enabled"),
+                    (X.ts_lit(NOW) - F.make_dt_interval(F.lit(0) + k.cast("int"))).cast("timestamp_ntz")
+                    .alias("created_at"))
+    return hook.unionByName(mail)
+
+
+def webhook_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs of the webhook channels; region 4 has none, regions 0 and 3 are unverified."""
+    r = read(spark, sf_dir, "region").where(F.col("r_regionkey") != 4)
+    k = F.col("r_regionkey")
+    return r.select((k * 2 + 1).cast("int").alias("channel_id"),
+                    F.concat(F.lit("https://hooks.example.com/"), F.lower("r_name")).alias("url"),
+                    (k % 3 != 0).alias("verified"))
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issue table of the adapted events (what ingest's upsert builds from them)."""
+    e = ev(spark, sf_dir)
+    return e.groupBy(F.col("gid").alias("id"), F.col("pid").alias("project_id"), F.col("primary_hash").alias("hash")
+                     ).agg(
+        F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
+        F.lit("(No error message)").alias("message"),
+        F.max_by("message", F.struct("created_at", "event_id")).alias("error_type"),
+        F.lit("").alias("view"), F.lit(3).alias("priority"), F.lit(0).cast("bigint").alias("num_comments"))
