@@ -513,3 +513,162 @@ def _assigned_filters(spark, d):
 SELECT id AS message_id, unnest(list_distinct(mentions)) AS user_id FROM comments"""))
 def _mention_dedup(spark, d):
     return R.mention_dedup(A.comments(spark, d))
+
+
+# --- Q14-Q18: pages ------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from faultline.plans import pages as G  # noqa: E402
+
+
+def _dash_sql(period: str) -> str:
+    start, interval, n = G.dashboard_grid(NOW, period)
+    frm = NOW - _dt.timedelta(seconds=G.duration_seconds(period))
+    return O.sql(f"""
+SELECT make_timestamp(CAST((({start}) + g.b * {interval}) * 1000000 AS BIGINT)) AS bucket,
+       CAST(coalesce(c.c, 0) AS BIGINT) AS event_count
+FROM (SELECT range AS b FROM range({n})) g LEFT JOIN (
+  SELECT CAST(floor((epoch(ts) - ({start})) / {interval}) AS BIGINT) AS b, sum(event_count) AS c FROM (
+    SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live
+    WHERE created_at >= TIMESTAMP '{frm:%Y-%m-%d %H:%M:%S}' AND created_at < {O.T_NOW} GROUP BY 1, 2)
+  GROUP BY 1) c ON c.b = g.b""")
+
+
+def _dash(period: str):
+    def run(spark, d):
+        frm = NOW - _dt.timedelta(seconds=G.duration_seconds(period))
+        return G.dashboard_series(Q.events_per_hour(A.ev(spark, d), frm, NOW, limit=None), NOW, period)
+    return run
+
+
+register("dashboard_series", _dash_sql("30d"))(_dash("30d"))
+register("dashboard_series_7d", _dash_sql("7d"))(_dash("7d"))
+register("dashboard_series_24h", _dash_sql("24h"))(_dash("24h"))
+register("dashboard_series_200d", _dash_sql("200d"))(_dash("200d"))
+
+
+@register("project_totals", O.rel_sql(f"""
+SELECT p.id AS pid, p.name, CAST(coalesce(s.total, 0) AS BIGINT) AS total, coalesce(s.series, '') AS series
+FROM projects p LEFT JOIN (
+  SELECT pid, sum(event_count) AS total,
+         string_agg(strftime(ts, '%Y-%m-%dT%H:%M') || '=' || CAST(event_count AS VARCHAR), ',' ORDER BY ts) AS series
+  FROM (SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live
+        WHERE created_at >= {O.T_NOW} - INTERVAL 1 DAY AND created_at < {O.T_NOW} GROUP BY 1, 2) GROUP BY pid
+) s ON s.pid = p.id"""))
+def _project_totals(spark, d):
+    return G.project_totals(A.projects(spark, d), A.ev(spark, d), NOW)
+
+
+_FRM14 = NOW - _dt.timedelta(days=14)
+_T14 = f"TIMESTAMP '{_FRM14:%Y-%m-%d %H:%M:%S}'"
+
+
+def _entries_sql(search: str = "") -> str:
+    return f"""
+met AS (SELECT gid, count(*) AS times_seen, min(created_at) AS first_seen, max(created_at) AS last_seen,
+               count(DISTINCT nullif(user_ref, '')) AS user_count
+        FROM live WHERE created_at >= {_T14} AND created_at <= {O.T_NOW} GROUP BY gid),
+mcount AS (SELECT issue_id, count(*) AS cnt FROM comments GROUP BY issue_id),
+entries AS (
+  SELECT i.id, i.project_id, i.message, i.error_type, i.view, i.priority, met.times_seen, met.first_seen,
+         met.last_seen, met.user_count, CAST(coalesce(mcount.cnt, 0) AS BIGINT) AS message_count
+  FROM issues i JOIN met ON met.gid = i.id LEFT JOIN mcount ON mcount.issue_id = i.id
+  WHERE (i.last_seen BETWEEN {_T14} AND {O.T_NOW} OR i.first_seen BETWEEN {_T14} AND {O.T_NOW}) {search})"""
+
+
+_LIST_COLS = ("id, project_id, message, error_type, view, priority, times_seen, first_seen, last_seen, user_count, "
+              "message_count")
+
+
+def _issue_list_sql(search: str = "") -> str:
+    return O.rel_sql(f"""
+SELECT {_LIST_COLS}, rn, total FROM (
+  SELECT *, row_number() OVER (ORDER BY times_seen DESC, last_seen DESC, id) AS rn, count(*) OVER () AS total
+  FROM entries) WHERE rn > 0 AND rn <= 50""", _entries_sql(search))
+
+
+def _list_out(df):
+    return df.select(*[c.strip() for c in _LIST_COLS.split(",")], F.col("rn").cast("bigint").alias("rn"),
+                     F.col("total").cast("bigint").alias("total"))
+
+
+@register("issue_list", _issue_list_sql())
+def _issue_list(spark, d):
+    return _list_out(G.issue_list(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), _FRM14, NOW))
+
+
+_SEARCH = 'level:error "REFUSED" os:!darwin'
+
+
+@register("issue_list_search", _issue_list_sql(
+    f"AND i.id IN (SELECT DISTINCT gid FROM live WHERE created_at >= {_T14} AND created_at <= {O.T_NOW} "
+    f"AND {_GS_FILTER})"))
+def _issue_list_search(spark, d):
+    return _list_out(G.issue_list(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), _FRM14, NOW,
+                                  query=_SEARCH))
+
+
+@register("new_issues", O.rel_sql(f"""
+SELECT id, project_id, first_seen FROM entries WHERE first_seen > {O.T_NOW} - INTERVAL 7 DAY""", _entries_sql()))
+def _new_issues(spark, d):
+    e = G._entries(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), _FRM14, NOW)
+    return G.new_issues(e, NOW).select("id", "project_id", "first_seen")
+
+
+@register("project_issue_page", O.rel_sql(f"""
+SELECT project_id, id, times_seen, is_new, total_all, total_new, rn, page FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY times_seen DESC, last_seen DESC, id) AS rn,
+         CAST(floor((row_number() OVER (PARTITION BY project_id ORDER BY times_seen DESC, last_seen DESC, id) - 1)
+              / 5) AS BIGINT) + 1 AS page
+  FROM (SELECT *, first_seen > {O.T_NOW} - INTERVAL 7 DAY AS is_new,
+               count(*) OVER (PARTITION BY project_id) AS total_all,
+               CAST(sum(CASE WHEN first_seen > {O.T_NOW} - INTERVAL 7 DAY THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY project_id) AS BIGINT) AS total_new FROM entries))
+WHERE page = 1""", _entries_sql()))
+def _project_issue_page(spark, d):
+    df = G.project_issue_page(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), _FRM14, NOW, NOW)
+    return df.select("project_id", "id", "times_seen", "is_new", F.col("total_all").cast("bigint").alias("total_all"),
+                     "total_new", F.col("rn").cast("bigint").alias("rn"), "page")
+
+
+@register("issue_detail", O.rel_sql(f"""
+SELECT i.id AS gid, i.project_id, m.times_seen, m.user_count, m.m_first AS first_seen, m.m_last AS last_seen,
+       CAST(coalesce(tot.total_30d, 0) AS BIGINT) AS total_30d, CAST(coalesce(tot.total_24h, 0) AS BIGINT) AS total_24h,
+       coalesce(tg.top_tags, '') AS top_tags, nw.latest_event_id, nb.next_id AS previous_event_id,
+       nb.first_id AS newest_other_id, CAST(coalesce(mcount.cnt, 0) AS BIGINT) AS message_count,
+       coalesce(asg.username, '') AS assignee, i.first_seen > {O.T_NOW} - INTERVAL 7 DAY AS is_new,
+       CASE nw.platform WHEN 1 THEN 'Go' WHEN 2 THEN 'Rust' ELSE 'unknown' END AS platform_name,
+       CASE i.priority WHEN 1 THEN 'Low' WHEN 2 THEN 'Med' WHEN 3 THEN 'High' ELSE 'Unknown' END AS priority_name
+FROM issues i
+JOIN (SELECT e.gid, count(*) AS times_seen, min(e.created_at) AS m_first, max(e.created_at) AS m_last,
+             count(DISTINCT nullif(e.user_ref, '')) AS user_count
+      FROM live e JOIN issues i2 ON i2.id = e.gid
+      WHERE e.created_at >= i2.first_seen - INTERVAL 10 MINUTE AND e.created_at <= {O.T_NOW} GROUP BY e.gid) m
+  ON m.gid = i.id
+LEFT JOIN (SELECT gid, sum(c) AS total_30d, arg_max(c, day) AS total_24h FROM (
+             SELECT gid, CAST(created_at AS DATE) AS day, count(*) AS c FROM live WHERE {_RANGE_HALF} GROUP BY 1, 2)
+           GROUP BY gid) tot ON tot.gid = i.id
+LEFT JOIN (SELECT tvk.gid, array_to_string(list_sort(list(tvk.tag || '=' || tvk.value || '=' ||
+             CAST(CAST(floor(CASE WHEN tk.key_rank <= 1000 THEN event_count / tk.tag_count * 100 ELSE 0 END) AS BIGINT)
+                  AS VARCHAR))), ',') AS top_tags
+           FROM tvk LEFT JOIN tk ON tvk.gid = tk.gid AND tvk.tag = tk.tag GROUP BY tvk.gid) tg ON tg.gid = i.id
+LEFT JOIN (SELECT gid, arg_max(event_id, (created_at, event_id)) AS latest_event_id,
+                  arg_max(platform, (created_at, event_id)) AS platform
+           FROM live WHERE {_RANGE_HALF} GROUP BY gid) nw ON nw.gid = i.id
+LEFT JOIN (SELECT gid, event_id, lag(event_id) OVER w AS next_id,
+                  nullif(last_value(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+                         event_id) AS first_id
+           FROM live WHERE created_at >= {O.T_NOW} - INTERVAL 360 DAY AND created_at <= {O.T_NOW}
+           WINDOW w AS (PARTITION BY gid ORDER BY created_at, event_id)) nb
+  ON nb.gid = i.id AND nb.event_id = nw.latest_event_id
+LEFT JOIN (SELECT issue_id, count(*) AS cnt FROM comments GROUP BY issue_id) mcount ON mcount.issue_id = i.id
+LEFT JOIN (SELECT ca.issue_id, a.username FROM current_assign ca JOIN issues ii ON ii.id = ca.issue_id
+           JOIN projects p ON p.id = ii.project_id JOIN accounts a ON a.id = ca.user_id
+           WHERE EXISTS (SELECT 1 FROM members mm WHERE mm.user_id = ca.user_id AND mm.team_id = p.team_id)) asg
+  ON asg.issue_id = i.id""", _ACCEPTED + "," + _TV_AGG + """,
+tk AS (SELECT gid, tag, tag_count, row_number() OVER (PARTITION BY gid ORDER BY tag_count DESC, tag) AS key_rank
+       FROM (SELECT gid, tag, CAST(sum(event_count) AS BIGINT) AS tag_count FROM tv GROUP BY 1, 2))"""))
+def _issue_detail(spark, d):
+    cur, _ = R.assignment_current(A.assignment_feed(spark, d), A.members(spark, d))
+    asg = R.issue_assignees(A.issues(spark, d), A.projects(spark, d), cur, A.members(spark, d), A.accounts(spark, d))
+    return G.issue_detail(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), asg, NOW)
