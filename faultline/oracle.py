@@ -307,3 +307,48 @@ issues AS (SELECT gid AS id, pid AS project_id, primary_hash AS hash, min(create
 def rel_sql(body: str, more: str = "") -> str:
     extra = rel_ctes() + ("," + more if more.strip() else "")
     return sql(body, extra)
+
+
+def timeframe_seconds(expr: str) -> str:
+    from faultline.functions.columns import TIMEFRAME_SECONDS
+    return _case(expr, TIMEFRAME_SECONDS, "3600")
+
+
+def alert_ctes(now: str) -> str:
+    return f"""
+r_listed AS (SELECT ar.* FROM alert_rules ar JOIN projects p ON p.id = ar.project_id
+             ORDER BY ar.created_at DESC, ar.id DESC LIMIT 1000),
+rw AS (SELECT id AS rule_id, project_id, threshold, condition, status, team_id, rule_name, timeframe, high_priority,
+              {timeframe_seconds('timeframe')} AS tf, {now} - to_seconds(CAST({timeframe_seconds('timeframe')} AS BIGINT)) AS w_from
+       FROM r_listed WHERE status IN ('Active', 'Triggered')),
+per AS (SELECT rw.rule_id, e.gid, count(*) AS times_seen, count(DISTINCT nullif(e.user_ref, '')) AS user_count
+        FROM live e JOIN rw ON e.pid = rw.project_id AND e.created_at >= rw.w_from AND e.created_at <= {now}
+        GROUP BY 1, 2),
+act AS (SELECT rw.rule_id, i.id AS gid FROM issues i JOIN rw ON i.project_id = rw.project_id
+        AND (i.last_seen BETWEEN rw.w_from AND {now} OR i.first_seen BETWEEN rw.w_from AND {now})),
+evaluated AS (
+  SELECT rw.rule_id, rw.project_id, rw.status, coalesce(h.hit, false) AS hit,
+         CAST(coalesce(h.max_value, 0) AS BIGINT) AS max_value
+  FROM rw LEFT JOIN (
+    SELECT per.rule_id,
+           max(CASE WHEN rw.condition = 2 THEN user_count ELSE times_seen END) AS max_value,
+           bool_or(rw.threshold >= 0 AND (CASE WHEN rw.condition = 2 THEN user_count ELSE times_seen END) > rw.threshold) AS hit
+    FROM per JOIN act ON act.rule_id = per.rule_id AND act.gid = per.gid JOIN rw ON rw.rule_id = per.rule_id
+    GROUP BY per.rule_id) h ON h.rule_id = rw.rule_id),
+transitions AS (
+  SELECT rule_id, status, hit,
+         CASE WHEN status = 'Active' AND hit THEN 'Triggered' WHEN status = 'Triggered' AND NOT hit THEN 'Active'
+              ELSE status END AS new_status,
+         CASE WHEN status = 'Active' AND hit THEN 'triggered' WHEN status = 'Triggered' AND NOT hit THEN 'resolved'
+         END AS transition
+  FROM evaluated),
+outbox AS (
+  SELECT CAST(t.rule_id AS VARCHAR) || ':' || CAST(c.id AS VARCHAR) || ':' || t.transition AS id, t.rule_id,
+         c.id AS channel_id, t.transition AS notification_type,
+         CASE WHEN c.channel_type <> 'webhook' THEN 'unsupported channel type: ' || c.channel_type
+              WHEN w.verified IS NULL THEN 'get webhook config: not found'
+              WHEN NOT w.verified THEN 'webhook not verified' END AS error_message
+  FROM transitions t JOIN alert_rules ar ON ar.id = t.rule_id
+  JOIN channels c ON c.team_id = ar.team_id AND c.enabled
+  LEFT JOIN webhook_configs w ON w.channel_id = c.id
+  WHERE t.transition IS NOT NULL)"""

@@ -672,3 +672,110 @@ def _issue_detail(spark, d):
     cur, _ = R.assignment_current(A.assignment_feed(spark, d), A.members(spark, d))
     asg = R.issue_assignees(A.issues(spark, d), A.projects(spark, d), cur, A.members(spark, d), A.accounts(spark, d))
     return G.issue_detail(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), asg, NOW)
+
+
+# --- A1-A5: alerts -------------------------------------------------------------------------
+from faultline.operators import alerts as AL  # noqa: E402
+
+
+def _alert_sql(body: str, more: str = "") -> str:
+    return O.rel_sql(body, O.alert_ctes(O.T_NOW) + ("," + more if more else ""))
+
+
+def _evaluated(spark, d):
+    return AL.alert_evaluate(A.alert_rules(spark, d), A.projects(spark, d), A.issues(spark, d), A.ev(spark, d), NOW)
+
+
+@register("alert_evaluate", _alert_sql("SELECT * FROM evaluated"))
+def _alert_evaluate(spark, d):
+    return _evaluated(spark, d)
+
+
+@register("alert_transitions", _alert_sql("SELECT rule_id, status, hit, new_status, transition FROM transitions"))
+def _alert_transitions(spark, d):
+    return AL.alert_transitions(_evaluated(spark, d), NOW).select("rule_id", "status", "hit", "new_status",
+                                                                 "transition")
+
+
+def _outbox(spark, d):
+    tr = AL.alert_transitions(_evaluated(spark, d), NOW)
+    return AL.notification_outbox(tr, A.alert_rules(spark, d), A.channels(spark, d), A.webhook_configs(spark, d),
+                                  NOW)
+
+
+@register("notification_outbox", _alert_sql("""
+SELECT id, rule_id, channel_id, notification_type,
+       CASE WHEN error_message IS NULL THEN 'pending' ELSE 'failed' END AS status, error_message FROM outbox"""))
+def _notification_outbox(spark, d):
+    return _outbox(spark, d).select("id", "rule_id", "channel_id", "notification_type", "status", "error_message")
+
+
+@register("pending_notifications", _alert_sql("""
+SELECT id, rule_id, channel_id, notification_type FROM outbox WHERE error_message IS NULL ORDER BY id LIMIT 100"""))
+def _pending_notifications(spark, d):
+    return R.pending_notifications(_outbox(spark, d)).select("id", "rule_id", "channel_id", "notification_type")
+
+
+@register("alert_payload", O.rel_sql(f"""
+SELECT id AS alert_id, '{{"timestamp":"{NOW:%Y-%m-%dT%H:%M:%SZ}","alert_name":"' || rule_name ||
+       '","status":"triggered","condition":"' ||
+       CASE condition WHEN 1 THEN 'occurrences' WHEN 2 THEN 'users_affected' ELSE 'unknown' END ||
+       '","timeframe":"' ||
+       CASE timeframe WHEN 1 THEN '1m' WHEN 2 THEN '5m' WHEN 3 THEN '15m' WHEN 4 THEN '1h' WHEN 5 THEN '1d'
+                      WHEN 6 THEN '1w' WHEN 7 THEN '30d' ELSE 'unknown' END ||
+       '","alert_id":' || CAST(id AS VARCHAR) || ',"project_id":' || CAST(project_id AS VARCHAR) ||
+       ',"team_id":' || CAST(team_id AS VARCHAR) || ',"threshold":' || CAST(threshold AS VARCHAR) ||
+       ',"high_priority":' || CASE WHEN high_priority THEN 'true' ELSE 'false' END || '}}' AS payload
+FROM alert_rules"""))
+def _alert_payload(spark, d):
+    return AL.alert_payload(A.alert_rules(spark, d), "triggered", NOW).select(F.col("id").alias("alert_id"),
+                                                                             "payload")
+
+
+def _requests(spark, d):
+    s = A.read(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.alias("request_id"), (k % A.N_USERS + 1).alias("user_id"),
+                    (F.col("s_nationkey") + 1).cast("int").alias("project_id"),
+                    F.concat(F.lit("rule-"), F.col("s_name")).alias("rule_name"),
+                    ((k * 7) % 50).cast("int").alias("threshold"), (k % 3 + 1).cast("int").alias("condition"),
+                    (k % 8 + 1).cast("int").alias("timeframe"), (F.col("s_acctbal") > 5000).alias("high_priority"))
+
+
+@register("alert_rules", O.rel_sql(f"""
+SELECT s_suppkey AS request_id, p.id AS project_id, p.team_id, 'rule-' || s_name AS rule_name,
+       'Alert when more than ' || CAST((s_suppkey * 7) % 50 AS VARCHAR) || ' ' ||
+       CASE s_suppkey % 3 + 1 WHEN 2 THEN 'users affected' ELSE 'occurrences' END || ' in ' ||
+       CASE s_suppkey % 8 + 1 WHEN 1 THEN '1 minute' WHEN 2 THEN '5 minutes' WHEN 3 THEN '15 minutes'
+            WHEN 4 THEN '1 hour' WHEN 5 THEN '1 day' WHEN 6 THEN '1 week' WHEN 7 THEN '30 days' ELSE '1 hour' END
+         AS description,
+       'Active' AS status
+FROM supplier JOIN projects p ON p.id = s_nationkey + 1
+WHERE EXISTS (SELECT 1 FROM members m WHERE m.user_id = s_suppkey % {A.N_USERS} + 1 AND m.team_id = p.team_id)"""))
+def _alert_rules(spark, d):
+    return AL.alert_rules(_requests(spark, d), A.projects(spark, d), A.members(spark, d), NOW).select(
+        "request_id", "project_id", "team_id", "rule_name", "description", "status")
+
+
+_TICK0, _TICK_EVERY = _dt.datetime(2024, 1, 1, 6), _dt.timedelta(hours=6)
+_N_TICKS = int((NOW - _TICK0) / _TICK_EVERY) + 1
+
+
+@register("alert_timeline", _alert_sql(f"""
+SELECT rule_id, tick, hit,
+       CASE WHEN after <> before THEN CASE WHEN hit THEN 'triggered' ELSE 'resolved' END END AS transition
+FROM (SELECT *, coalesce(lag(after) OVER (PARTITION BY rule_id ORDER BY tick), status) AS before FROM (
+  SELECT rt.rule_id, rt.status, rt.tick, f.rule_id IS NOT NULL AS hit,
+         CASE WHEN f.rule_id IS NOT NULL THEN 'Triggered' ELSE 'Active' END AS after
+  FROM rt LEFT JOIN fired f ON f.rule_id = rt.rule_id AND f.tick = rt.tick))""", f"""
+rt AS (SELECT rw.rule_id, rw.project_id, rw.status, rw.threshold, rw.condition, rw.tf,
+              TIMESTAMP '{_TICK0:%Y-%m-%d %H:%M:%S}' + to_seconds(CAST(g.range * {int(_TICK_EVERY.total_seconds())} AS BIGINT)) AS tick
+       FROM rw, range({_N_TICKS}) g),
+tper AS (SELECT rt.rule_id, rt.tick, e.gid, count(*) AS ts_n, count(DISTINCT nullif(e.user_ref, '')) AS uc
+         FROM rt JOIN live e ON e.pid = rt.project_id AND e.created_at >= rt.tick - to_seconds(CAST(rt.tf AS BIGINT))
+              AND e.created_at <= rt.tick GROUP BY 1, 2, 3),
+fired AS (SELECT DISTINCT tper.rule_id, tper.tick FROM tper JOIN rt ON rt.rule_id = tper.rule_id AND rt.tick = tper.tick
+          WHERE rt.threshold >= 0 AND (CASE WHEN rt.condition = 2 THEN uc ELSE ts_n END) > rt.threshold)"""))
+def _alert_timeline(spark, d):
+    return AL.alert_timeline(A.alert_rules(spark, d), A.projects(spark, d), A.ev(spark, d), _TICK0, NOW,
+                             _TICK_EVERY)
