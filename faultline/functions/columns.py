@@ -139,11 +139,18 @@ def parse_time_range(start: Column, end: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("start"), b.alias("end")))
 
 
+# Literal patterns replaced by '?' when grouping a query log (RE2 syntax).
+QUERY_LITERAL_RULES = [(r"'(?:[^'\\]|\\.)*'", "?"), (r"\b\d+(?:\.\d+)?\b", "?"), (r"\s+", " ")]
+
+
 def strip_query_literals(q: Column) -> Column:
-    """Query text with literals replaced by '?', for grouping a query log (Q19)."""
-    out = F.regexp_replace(q, r"'(?:[^'\\]|\\.)*'", "?")
-    out = F.regexp_replace(out, r"\b\d+(?:\.\d+)?\b", "?")
-    return F.regexp_replace(out, r"\s+", " ")
+    """Query text with string and number literals replaced by '?' (Q19)."""
+    from faultline.functions.normalize import to_java_regex
+
+    out = q
+    for pattern, repl in QUERY_LITERAL_RULES:
+        out = F.regexp_replace(out, to_java_regex(pattern), repl)
+    return out
 
 
 def ts_lit(t) -> Column:

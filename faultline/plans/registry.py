@@ -779,3 +779,106 @@ fired AS (SELECT DISTINCT tper.rule_id, tper.tick FROM tper JOIN rt ON rt.rule_i
 def _alert_timeline(spark, d):
     return AL.alert_timeline(A.alert_rules(spark, d), A.projects(spark, d), A.ev(spark, d), _TICK0, NOW,
                              _TICK_EVERY)
+
+
+# --- S5, L1-L6: layout; Q19-Q21: reports -----------------------------------------------
+from faultline.operators import layout as L  # noqa: E402
+from faultline.operators import reports as RP  # noqa: E402
+
+
+@register("layout_weekly_partitions", O.sql("""
+SELECT CAST(retention_days AS INTEGER) AS retention_days, CAST(date_trunc('week', created_at) AS DATE) AS week,
+       count(*) AS n_rows, count(DISTINCT pid) AS n_projects FROM ev GROUP BY 1, 2"""))
+def _layout_weekly_partitions(spark, d):
+    path = L.scratch_path(spark, "events")
+    L.write_events(A.ev(spark, d), path, mode="overwrite")
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("retention_days").cast("int").alias("retention_days"), "week").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pid").alias("n_projects"))
+
+
+@register("event_latest_state", O.sql("""
+SELECT pid, primary_hash, event_id, created_at, deleted FROM (
+  SELECT *, row_number() OVER (PARTITION BY pid, CAST(created_at AS DATE), primary_hash, event_id
+                               ORDER BY deleted DESC, ingest_seq DESC) AS rn
+  FROM (SELECT *, 0 AS ingest_seq FROM ev
+        UNION ALL
+        SELECT * REPLACE (CAST(1 - deleted AS SMALLINT) AS deleted), 1 AS ingest_seq FROM ev
+        WHERE substr(event_id, 1, 1) IN ('0', '1', '2'))) WHERE rn = 1 AND deleted = 0"""))
+def _event_latest_state(spark, d):
+    return L.latest_state(A.ev_dup(spark, d)).select("pid", "primary_hash", "event_id", "created_at", "deleted")
+
+
+_RET_NOW = _dt.datetime(2024, 4, 15)
+
+
+@register("retention_sweep", O.sql(f"""
+SELECT pid, count(*) AS kept FROM ev
+WHERE created_at + to_days(CAST(retention_days AS INTEGER)) > TIMESTAMP '{_RET_NOW:%Y-%m-%d %H:%M:%S}' GROUP BY pid"""))
+def _retention_sweep(spark, d):
+    return L.retention_sweep(A.ev(spark, d), _RET_NOW).groupBy("pid").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@register("event_sample")
+def _event_sample(spark, d):
+    return L.event_sample(A.ev(spark, d), 1, 10).select("event_id", "pid", "gid")
+
+
+_QL_CTE = f"""ql AS (
+  SELECT CASE substr(o_orderpriority, 1, 1)
+           WHEN '1' THEN 'SELECT count() FROM event WHERE pid = ' || CAST(o_custkey % 10 AS VARCHAR)
+           WHEN '2' THEN 'SELECT * FROM event WHERE gid = ' || CAST(o_custkey AS VARCHAR) || ' AND env = ''' ||
+                         o_orderstatus || ''''
+           WHEN '3' THEN 'INSERT INTO event VALUES (' || CAST(o_orderkey AS VARCHAR) || ', ''x'')'
+           WHEN '4' THEN 'SELECT gid FROM event  WHERE created_at > ' || CAST(o_orderkey % 1000 AS VARCHAR) || '.5'
+           ELSE 'SELECT 1' END AS query,
+         o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS event_time,
+         CAST(floor(o_totalprice) AS BIGINT) % 5000 AS query_duration_ms, o_custkey % 100 AS result_rows,
+         CAST(floor(o_totalprice * 10) AS BIGINT) AS read_bytes, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 2 END AS type,
+         o_orderkey % 7 <> 0 AS is_initial_query
+  FROM orders)"""
+
+
+def _strip_sql(expr: str) -> str:
+    out = expr
+    for pattern, repl in X.QUERY_LITERAL_RULES:
+        out = f"regexp_replace({out}, {O.q(pattern)}, {O.q(repl)}, 'g')"
+    return out
+
+
+@register("query_log_report", O.sql(f"""
+SELECT normalized_query, round(avg_duration, 6) AS avg_duration, round(avg_result_rows, 6) AS avg_result_rows,
+       total_calls, rb, round(calls_per_minute, 6) AS calls_per_minute, round(percentage_iops, 6) AS percentage_iops,
+       round(percentage_runtime, 6) AS percentage_runtime, round(rb / sum(rb) OVER () * 100, 6) AS percent
+FROM (
+  SELECT normalized_query, avg_duration, avg_result_rows, total_calls, rb,
+         total_calls / greatest(1, date_diff('minute', t0, t1)) AS calls_per_minute,
+         rb / sum(rb) OVER () * 100 AS percentage_iops, runtime / sum(runtime) OVER () * 100 AS percentage_runtime
+  FROM (SELECT {_strip_sql('query')} AS normalized_query, avg(query_duration_ms) AS avg_duration,
+               avg(result_rows) AS avg_result_rows, count(*) AS total_calls, min(event_time) AS t0,
+               max(event_time) AS t1, CAST(sum(read_bytes) AS BIGINT) AS rb, sum(query_duration_ms) AS runtime
+        FROM ql WHERE is_initial_query AND type = 2
+          AND event_time >= TIMESTAMP '{A.QUERY_LOG_NOW:%Y-%m-%d %H:%M:%S}' - INTERVAL 30 DAY
+        GROUP BY 1)
+  ORDER BY rb DESC, normalized_query LIMIT 10)""", _QL_CTE))
+def _query_log_report(spark, d):
+    r = RP.query_log_report(A.query_log(spark, d), A.QUERY_LOG_NOW)
+    dbl = ["avg_duration", "avg_result_rows", "calls_per_minute", "percentage_iops", "percentage_runtime", "percent"]
+    return r.select("normalized_query", "total_calls", F.col("rb").cast("bigint").alias("rb"),
+                    *[F.round(c, 6).alias(c) for c in dbl])
+
+
+@register("error_log_report", O.sql(f"""
+SELECT name, count(*) AS error_count, max(last_error_time) AS max_last_error_time FROM (
+  SELECT 'ERR_' || l_returnflag || '_' || l_linestatus || '_' || CAST(l_linenumber % 3 AS VARCHAR) AS name,
+         l_shipdate + to_seconds(CAST(l_orderkey % 86400 AS BIGINT)) AS last_error_time FROM lineitem)
+WHERE last_error_time > TIMESTAMP '{A.ERROR_LOG_SINCE:%Y-%m-%d %H:%M:%S}' GROUP BY name"""))
+def _error_log_report(spark, d):
+    return RP.error_log_report(A.error_log(spark, d), A.ERROR_LOG_SINCE)
+
+
+@register("storage_report")
+def _storage_report(spark, d):
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+             "embeddings", "pages", "benchmark", "labels", "conversations"]
+    return RP.storage_report(spark, {n: f"{d}/{n}.parquet" for n in names})

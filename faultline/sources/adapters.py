@@ -425,3 +425,53 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("(No error message)").alias("message"),
         F.max_by("message", F.struct("created_at", "event_id")).alias("error_type"),
         F.lit("").alias("view"), F.lit(3).alias("priority"), F.lit(0).cast("bigint").alias("num_comments"))
+
+
+# ---------------------------------------------------------------------------
+# System logs for the reports (Q19, Q20)
+# ---------------------------------------------------------------------------
+QUERY_LOG_NOW = _dt.datetime(2001, 8, 2)
+ERROR_LOG_SINCE = _dt.datetime(2001, 1, 1)
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    kind = F.substring("o_orderpriority", 1, 1)
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    query = (
+        F.when(kind == "1", F.concat(F.lit("SELECT count() FROM event WHERE pid = "), (cust % 10).cast("string")))
+        .when(kind == "2", F.concat(F.lit("SELECT * FROM event WHERE gid = "), cust.cast("string"),
+                                    F.lit(" AND env = '"), F.col("o_orderstatus"), F.lit("'")))
+        .when(kind == "3", F.concat(F.lit("INSERT INTO event VALUES ("), key.cast("string"), F.lit(", 'x')")))
+        .when(kind == "4", F.concat(F.lit("SELECT gid FROM event  WHERE created_at > "), (key % 1000).cast("string"),
+                                    F.lit(".5")))
+        .otherwise(F.lit("SELECT 1"))
+    )
+    return o.select(
+        query.alias("query"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=key % 86400)).cast("timestamp_ntz").alias("event_time"),
+        (F.floor("o_totalprice").cast("bigint") % 5000).alias("query_duration_ms"),
+        (cust % 100).alias("result_rows"),
+        F.floor(F.col("o_totalprice") * 10).cast("bigint").alias("read_bytes"),
+        F.when(key % 10 == 0, 1).otherwise(2).alias("type"),
+        (key % 7 != 0).alias("is_initial_query"),
+    )
+
+
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("ERR_"), F.col("l_returnflag"), F.lit("_"), F.col("l_linestatus"), F.lit("_"),
+                 (F.col("l_linenumber") % 3).cast("string")).alias("name"),
+        (F.col("l_shipdate") + F.make_dt_interval(secs=F.col("l_orderkey") % 86400)).cast("timestamp_ntz")
+        .alias("last_error_time"),
+    )
+
+
+def ev_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ev`` plus a re-delivered copy of about 3/16 of it with the tombstone flag
+    flipped and a later ingest sequence (for the version dedup, L2 / R2)."""
+    e = ev(spark, sf_dir).withColumn("ingest_seq", F.lit(0))
+    again = e.where(F.substring("event_id", 1, 1).isin("0", "1", "2")).withColumn(
+        "deleted", (F.lit(1) - F.col("deleted")).cast("smallint")).withColumn("ingest_seq", F.lit(1))
+    return e.unionByName(again)
