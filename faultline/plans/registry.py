@@ -882,3 +882,69 @@ def _storage_report(spark, d):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
              "embeddings", "pages", "benchmark", "labels", "conversations"]
     return RP.storage_report(spark, {n: f"{d}/{n}.parquet" for n in names})
+
+
+# --- S2-S4, R1-R5: streaming (file streams, availableNow) ------------------------------
+from faultline.streaming import jobs as ST  # noqa: E402
+
+_STREAM_FILES = 4
+
+
+def _event_stream_input(spark, d, frame):
+    """Write ``frame`` as time-ordered JSON files and open a file stream over them."""
+    path = L.scratch_path(spark, "stream-in")
+    ST.write_json_files(frame, path, "created_at", _STREAM_FILES)
+    return ST.json_stream(spark, path, frame.schema)
+
+
+@register("stream_event_load", O.sql(f"SELECT event_id, pid, created_at, gid, {O.tags_text()} AS tags_text FROM ev"))
+def _stream_event_load(spark, d):
+    stream = _event_stream_input(spark, d, A.ev(spark, d))
+    out, ck = L.scratch_path(spark, "stream-events"), L.scratch_path(spark, "ck")
+    ST.stream_event_load(stream, out, ck)
+    return spark.read.parquet(out).select("event_id", "pid", "created_at", "gid", tags_text().alias("tags_text"))
+
+
+@register("stream_dedup", O.sql("SELECT DISTINCT pid, event_id FROM ev"))
+def _stream_dedup(spark, d):
+    stream = _event_stream_input(spark, d, A.ev_dup(spark, d))
+    out, ck = L.scratch_path(spark, "stream-dedup"), L.scratch_path(spark, "ck")
+    ST.stream_dedup(stream, out, ck)
+    return spark.read.parquet(out).select("pid", "event_id")
+
+
+@register("stream_events_per_hour", O.sql("""
+SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live GROUP BY 1, 2"""))
+def _stream_events_per_hour(spark, d):
+    stream = _event_stream_input(spark, d, A.ev(spark, d))
+    out, ck = L.scratch_path(spark, "stream-hourly"), L.scratch_path(spark, "ck")
+    ST.stream_events_per_hour(stream, out, ck)
+    return ST.hourly_counts(spark, out)
+
+
+@register("stream_issue_upsert", ORACLE["issue_upsert"])
+def _stream_issue_upsert(spark, d):
+    raw = A.raw_envelopes(spark, d)
+    path = L.scratch_path(spark, "stream-raw")
+    ST.write_json_files(raw.withColumnRenamed("received_at", "created_at"), path, "created_at", _STREAM_FILES)
+    schema = ST.RAW_ENVELOPE
+    stream = ST.json_stream(spark, path, T_raw(schema)).withColumnRenamed("created_at", "received_at")
+    issues, events, ck = (L.scratch_path(spark, "stream-issues"), L.scratch_path(spark, "stream-ev"),
+                          L.scratch_path(spark, "ck"))
+    ST.stream_issue_upsert(stream, A.projects(spark, d), issues, events, ck)
+    return ST.latest_snapshot(spark, issues)
+
+
+def T_raw(schema):
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField("created_at" if f.name == "received_at" else f.name, f.dataType)
+                         for f in schema.fields])
+
+
+@register("stream_alerts")
+def _stream_alerts(spark, d):
+    stream = _event_stream_input(spark, d, A.ev(spark, d))
+    ev_out, state, ck = (L.scratch_path(spark, "alert-ev"), L.scratch_path(spark, "alert-state"),
+                         L.scratch_path(spark, "ck"))
+    ST.stream_alerts(stream, A.alert_rules(spark, d), A.projects(spark, d), A.issues(spark, d), ev_out, state, ck)
+    return spark.read.parquet(state).select("v", "rule_id", "status", "hit", "new_status", "transition")
