@@ -84,8 +84,34 @@ def ev_message(df: DataFrame) -> Column:
     )
 
 
+_EV_TABLES: dict[tuple[str, str], str] = {}
+
+
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event fact table (schema of ``faultline.schema.EVENT``) over ``events``."""
+    """The event table over ``events``, stored once per session.
+
+    The first call runs the row-local mapping (normalization, fingerprint,
+    tags) and writes the result as the partitioned, clustered event table
+    (``layout.write_events``) under the shared checkpoint folder; later calls
+    read that table, as every analytic query of the original reads its stored
+    event table.  Reading also cuts the lineage of the mapping.
+    """
+    from faultline.operators import layout as L
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _EV_TABLES.get(key)
+    if path is None:
+        path = L.scratch_path(spark, "event-table")
+        L.write_events(ev_mapped(spark, sf_dir), path, mode="overwrite")
+        _EV_TABLES[key] = path
+    stored = spark.read.parquet(path)
+    cols = [c for c in stored.columns if c not in ("retention_days", "week", "day")]
+    return stored.select(*cols[:3], F.col("retention_days").cast("smallint").alias("retention_days"), *cols[3:],
+                         "week")
+
+
+def ev_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event fact table computed from ``events`` (the mapping itself)."""
     e = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     os_name = F.when(F.col("event_id") % 3 == 0, F.lit(OS_BY_MOD3[0])).when(
