@@ -948,3 +948,23 @@ def _stream_alerts(spark, d):
                          L.scratch_path(spark, "ck"))
     ST.stream_alerts(stream, A.alert_rules(spark, d), A.projects(spark, d), A.issues(spark, d), ev_out, state, ck)
     return spark.read.parquet(state).select("v", "rule_id", "status", "hit", "new_status", "transition")
+
+
+def _ss_pred() -> str:
+    msg_or_title = lambda t: f"({O.contains_ci('e.message', O.q(t))} OR {O.contains_ci('e.title', O.q(t))})"
+    return f"""CASE s.n % 4
+  WHEN 0 THEN {O.has_tag('e.tags', O.q('level'), O.q('error'))} AND {msg_or_title('refused')}
+  WHEN 1 THEN NOT {O.has_tag('e.tags', O.q('env'), O.q('staging'))} AND {O.has_tag('e.tags', O.q('os'), O.q('linux'))}
+  WHEN 2 THEN {msg_or_title('FAILED id')} AND {O.has_tag('e.tags', O.q('k'), 'CAST((s.n * 3) % 100 AS VARCHAR)')}
+  ELSE {O.has_tag('e.tags', O.q('release'), "'nordland@1.' || CAST(s.n % 4 AS VARCHAR) || '.0'")}
+       AND NOT {O.has_tag('e.tags', O.q('level'), O.q('info'))} END"""
+
+
+@register("saved_search_matches", O.sql(f"""
+SELECT s.search_id, CAST(count(e.gid) AS BIGINT) AS match_events, CAST(count(DISTINCT e.gid) AS BIGINT) AS match_issues
+FROM ss s LEFT JOIN live e ON e.pid = s.pid AND e.created_at >= s.frm AND e.created_at <= s.to AND {_ss_pred()}
+GROUP BY s.search_id""", f"""ss AS (SELECT CAST(n_nationkey AS BIGINT) AS search_id, n_nationkey AS n,
+       CAST(n_nationkey % 5 + 1 AS INTEGER) AS pid, {O.T_NOW} - to_days(CAST(n_nationkey + 1 AS INTEGER)) AS frm,
+       {O.T_NOW} AS "to" FROM nation)"""))
+def _saved_search_matches(spark, d):
+    return Q.saved_search_matches(A.ev(spark, d), A.saved_searches(spark, d))

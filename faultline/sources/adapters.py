@@ -501,3 +501,19 @@ def ev_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = e.where(F.substring("event_id", 1, 1).isin("0", "1", "2")).withColumn(
         "deleted", (F.lit(1) - F.col("deleted")).cast("smallint")).withColumn("ingest_seq", F.lit(1))
     return e.unionByName(again)
+
+
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved searches from ``nation``: one per nation, project (n % 5) + 1, window of the
+    last n + 1 days, query text by template n % 4."""
+    n = read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    query = (
+        F.when(k % 4 == 0, F.lit('level:error "refused"'))
+        .when(k % 4 == 1, F.lit("env:!staging os:linux"))
+        .when(k % 4 == 2, F.concat(F.lit('"FAILED id" k:'), ((k * 3) % 100).cast("string")))
+        .otherwise(F.concat(F.lit("release:'nordland@1."), (k % 4).cast("string"), F.lit(".0' level:!info")))
+    )
+    return n.select(
+        k.cast("bigint").alias("search_id"), (k % 5 + 1).cast("int").alias("pid"), query.alias("query"),
+        (X.ts_lit(NOW) - F.make_dt_interval(days=(k + 1).cast("int"))).alias("frm"), X.ts_lit(NOW).alias("to"))
