@@ -15,6 +15,8 @@ byte-identical fingerprints, so each pattern is rewritten before use:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,26 +97,51 @@ def rules() -> list[tuple[str, str]]:
 
 _WORD = "[0-9A-Za-z_]"
 _ASCII_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_NOT_AFTER_WORD = f"(?<!{_WORD})"
+_NOT_BEFORE_WORD = f"(?!{_WORD})"
+# A token that can only match word characters: \d, a class of letters/digits
+# ranges, a literal letter/digit (optionally behind "(?:" or "v?").
+_WORD_TOKEN_AHEAD = re.compile(r"^(?:\(\?:)?(?:v\?)?(?:\\d|\[[0-9A-Za-z-]+\]|[0-9A-Za-z_])")
+_WORD_TOKEN_BEHIND = re.compile(r"(?:\\d|\[[0-9A-Za-z-]+\])(?:\+|\{\d+(?:,\d*)?\})$")
+
+
+def _boundary(re2: str, i: int) -> str:
+    """Java form of the RE2 ``\b`` at position ``i``.
+
+    Next to a token that always matches a word character a boundary only has
+    to look at the other side, which is much cheaper than the general form
+    that is evaluated at every start position of the scan.
+    """
+    if _WORD_TOKEN_AHEAD.match(re2[i + 2:]):
+        return _NOT_AFTER_WORD
+    if i + 2 == len(re2) and _WORD_TOKEN_BEHIND.search(re2[:i]):
+        return _NOT_BEFORE_WORD
+    return _ASCII_BOUNDARY
 
 
 def to_java_regex(re2: str) -> str:
     """Rewrite RE2 shorthands whose Java meaning differs into explicit ASCII forms."""
     out = []
     i = 0
+    in_class = False
     while i < len(re2):
         ch = re2[i]
         if ch == "\\" and i + 1 < len(re2):
             nxt = re2[i + 1]
-            if nxt == "b":
-                out.append(_ASCII_BOUNDARY)
+            if nxt == "b" and not in_class:
+                out.append(_boundary(re2, i))
             elif nxt == "s":
-                out.append(r"[\t\n\f\r ]")
-            elif nxt == "S":
+                out.append(r"\t\n\f\r " if in_class else r"[\t\n\f\r ]")
+            elif nxt == "S" and not in_class:
                 out.append(r"[^\t\n\f\r ]")
             else:
                 out.append(re2[i : i + 2])
             i += 2
             continue
+        if ch == "[" and not in_class:
+            in_class = True
+        elif ch == "]" and in_class and out and out[-1] not in ("[", "[^"):
+            in_class = False
         out.append(ch)
         i += 1
     return "".join(out)

@@ -189,17 +189,26 @@ def project_issue_page(issues: DataFrame, events: DataFrame, comments: DataFrame
                        ) -> DataFrame:
     """Q17 (batch over projects): per project the counts of all and new issues and
     page ``page`` of the chosen view (P13: anything but 'new' means 'all');
-    page <= 0 -> every entry; a page past the end -> no rows."""
+    page <= 0 -> every entry; a page past the end -> no rows.
+
+    The counts are a per-project aggregate joined back; the ranking keeps only
+    the first page * page_size rows per project (a WindowGroupLimit, applied
+    before the shuffle too), so a project holding most issues is never sorted
+    whole in one task.
+    """
     view = view if view in VIEWS else "all"
     entries = _entries(issues, events, comments, frm, to)
     entries = entries.withColumn("is_new", F.col("first_seen") > X.ts_lit(now - NEW_ISSUE_AGE))
-    by_p = Window.partitionBy("project_id")
-    counted = entries.withColumn("total_all", F.count(F.lit(1)).over(by_p)).withColumn(
-        "total_new", F.sum(F.col("is_new").cast("int")).over(by_p).cast("bigint"))
-    shown = counted if view == "all" else counted.where("is_new")
-    ranked = shown.withColumn("rn", F.row_number().over(by_p.orderBy(*_order())))
+    counts = entries.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("total_all"), F.sum(F.col("is_new").cast("int")).cast("bigint").alias("total_new"))
+    shown = entries if view == "all" else entries.where("is_new")
+    ranked = shown.withColumn("rn", F.row_number().over(Window.partitionBy("project_id").orderBy(*_order())))
+    if page > 0:
+        ranked = ranked.where(F.col("rn") <= page * page_size)
     ranked = ranked.withColumn("page", F.floor((F.col("rn") - 1) / page_size).cast("bigint") + 1)
-    return ranked if page <= 0 else ranked.where(F.col("page") == page)
+    if page > 0:
+        ranked = ranked.where(F.col("page") == page)
+    return ranked.join(counts, "project_id")
 
 
 # Q18 ---------------------------------------------------------------------------
