@@ -162,3 +162,25 @@ def ts_lit(t) -> Column:
 def trunc_ntz(unit: str, c: Column) -> Column:
     """``date_trunc`` that keeps TIMESTAMP_NTZ (the session zone is UTC)."""
     return F.date_trunc(unit, c).cast("timestamp_ntz")
+
+
+def stack_details(frames: Column) -> Column:
+    """Stored frames as (filepath, function, lineno, in_app) in reverse order
+    (innermost call first)."""
+    return F.reverse(F.transform(frames, lambda f: F.struct(
+        f["abs_path"].alias("filepath"), f["function"].alias("function"), f["lineno"].alias("lineno"),
+        (f["in_app"] == 1).alias("in_app"))))
+
+
+def context_groups(contexts: Column) -> Column:
+    """Contexts (a later duplicate key wins) grouped by the key part before the
+    first '.', keys without a '.' dropped; groups sorted by prefix, each with a
+    map of the remaining key parts."""
+    entries = F.filter(F.map_entries(context_map(contexts)), lambda e: F.instr(e["key"], ".") > 0)
+    prefixes = F.array_sort(F.array_distinct(F.transform(entries, lambda e: F.substring_index(e["key"], ".", 1))))
+    return F.transform(prefixes, lambda p: F.struct(
+        p.alias("prefix"),
+        F.map_from_entries(F.transform(
+            F.filter(entries, lambda e: F.substring_index(e["key"], ".", 1) == p),
+            lambda e: F.struct(F.regexp_extract(e["key"], r"^[^.]*\.(.*)$", 1).alias("k"), e["value"].alias("v")),
+        )).alias("fields")))

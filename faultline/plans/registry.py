@@ -968,3 +968,41 @@ GROUP BY s.search_id""", f"""ss AS (SELECT CAST(n_nationkey AS BIGINT) AS search
        {O.T_NOW} AS "to" FROM nation)"""))
 def _saved_search_matches(spark, d):
     return Q.saved_search_matches(A.ev(spark, d), A.saved_searches(spark, d))
+
+
+# --- X13 / X17 over ingested events -------------------------------------------------------
+@register("stack_details", _raw_sql(f"""
+SELECT i AS envelope_id, array_to_string(list_transform(list_reverse(CASE
+         WHEN len(flatten(list_transform(exceptions, lambda e: e.frames))) > 0
+         THEN list_transform(flatten(list_transform(exceptions, lambda e: e.frames)),
+                             lambda f: {{'p': f.abs_path, 'fn': f.function, 'l': f.lineno, 'a': true}})
+         ELSE list_transform(thread_frames, lambda f: {{'p': f.abs_path, 'fn': f.function, 'l': f.lineno, 'a': f.in_app}})
+       END), lambda s: s.p || '|' || s.fn || '|' || CAST(s.l AS VARCHAR) || '|' || CASE WHEN s.a THEN 'In App' ELSE '' END),
+       ';') AS stack_text
+FROM rv WHERE status = 'ok'"""))
+def _stack_details(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    st = X.stack_details(F.col("exception_frames"))
+    text = F.array_join(F.transform(st, lambda s: F.concat_ws(
+        "|", s["filepath"], s["function"], s["lineno"].cast("string"),
+        F.when(s["in_app"], F.lit("In App")).otherwise(F.lit("")))), ";")
+    return rows.select("envelope_id", text.alias("stack_text"))
+
+
+@register("context_groups", _raw_sql("""
+SELECT rv.i AS envelope_id, coalesce(g.groups_text, '') AS groups_text FROM rv LEFT JOIN (
+  SELECT i, string_agg(prefix || '{' || fields || '}', ';' ORDER BY prefix) AS groups_text FROM (
+    SELECT i, prefix, string_agg(k || '=' || v, ',' ORDER BY k) AS fields FROM (
+      SELECT i, split_part(kv.key, '.', 1) AS prefix, substr(kv.key, instr(kv.key, '.') + 1) AS k, kv.value AS v
+      FROM (SELECT i, unnest(contexts) AS kv FROM rv WHERE status = 'ok') WHERE instr(kv.key, '.') > 0)
+    GROUP BY i, prefix) GROUP BY i) g ON g.i = rv.i
+WHERE rv.status = 'ok'"""))
+def _context_groups(spark, d):
+    _, rows, _ = _ingested(spark, d)
+    groups = X.context_groups(F.col("contexts"))
+    text = F.array_join(F.transform(groups, lambda g: F.concat(
+        g["prefix"], F.lit("{"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(g["fields"])),
+                                 lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","),
+        F.lit("}"))), ";")
+    return rows.select("envelope_id", text.alias("groups_text"))
