@@ -1006,3 +1006,20 @@ def _context_groups(spark, d):
                                  lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","),
         F.lit("}"))), ";")
     return rows.select("envelope_id", text.alias("groups_text"))
+
+
+# --- S7: outbox status fold -------------------------------------------------------------
+@register("notification_status", _alert_sql(f"""
+SELECT id, status FROM (
+  SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM (
+    SELECT id, CASE WHEN error_message IS NULL THEN 'pending' ELSE 'failed' END AS status, {O.T_NOW} AS updated_at
+    FROM outbox
+    UNION ALL
+    SELECT id, 'sent', {O.T_NOW} + INTERVAL 1 MINUTE FROM outbox WHERE error_message IS NULL)) WHERE rn = 1"""))
+def _notification_status(spark, d):
+    """The outbox as an append-only log: the created rows, then a 'sent' row for every
+    pending one a minute later; the current status is the latest row per id."""
+    out = _outbox(spark, d).select("id", "status", F.col("created_at").alias("updated_at"))
+    sent = out.where(F.col("status") == AL.PENDING).select(
+        "id", F.lit(AL.SENT).alias("status"), (F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")).alias("updated_at"))
+    return L.latest_per_id(out.unionByName(sent)).select("id", "status")

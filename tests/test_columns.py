@@ -89,3 +89,24 @@ def test_tag_probe_escape(spark):
     got = [r[0] for r in df.select(P.has_tag(F.col("tags"), "a=b", "c")).collect()]
     # the unescaped probe 'a=b=c' hits the stored (a, b=c); a key holding '=' never matches itself
     assert got == [True, False, False]
+
+
+def test_time_range(spark):
+    df = spark.createDataFrame([("2024-01-01T10:00:00", "2024-01-02T00:00:00"), ("invalid", "2024-01-02T00:00:00"),
+                                ("2024-01-01T10:00:00", "invalid"), ("", ""),
+                                ("2024-01-01T10:00:00.5", "2024-01-02T00:00:00")], "a string, b string")
+    got = [r[0] for r in df.select(X.parse_time_range(F.col("a"), F.col("b"))).collect()]
+    assert got[0] is not None and got[0].start == dt.datetime(2024, 1, 1, 10)
+    assert got[1] is None and got[2] is None and got[3] is None
+    assert got[4] is not None
+
+
+def test_period_window():
+    now = dt.datetime(2024, 1, 31)
+    assert G.period_window(now, "", page="issues") == (now - dt.timedelta(days=14), now)
+    assert G.period_window(now, "2h", page="issues") == (now - dt.timedelta(hours=2), now)
+    assert G.period_window(now, "2h", "2024-01-01T00:00:00", "2024-01-02T00:00:00", page="issues") == (
+        dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
+    assert G.period_window(now, None, page="tags") == (now - dt.timedelta(days=1), now)
+    first = dt.datetime(2024, 1, 5)
+    assert G.period_window(now, None, page="events", first_seen=first) == (first - dt.timedelta(seconds=1), now)
