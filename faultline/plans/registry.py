@@ -893,7 +893,8 @@ _STREAM_FILES = 4
 def _event_stream_input(spark, d, frame):
     """Write ``frame`` as time-ordered JSON files and open a file stream over them."""
     path = L.scratch_path(spark, "stream-in")
-    ST.write_json_files(frame, path, "created_at", _STREAM_FILES)
+    # S3: one JSON record per event, written as the text of the stream messages
+    ST.write_json_files(frame, path, "created_at", _STREAM_FILES, as_messages=True)
     return ST.json_stream(spark, path, frame.schema)
 
 
