@@ -75,10 +75,10 @@ def _issue_metrics_approx(spark, d):
 
 
 @register("events_per_day", O.sql(f"""
-SELECT gid, CAST(created_at AS DATE) AS day, count(*) AS event_count FROM live
+SELECT gid, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS day, count(*) AS event_count FROM live
 WHERE {_RANGE_HALF} GROUP BY 1, 2"""))
 def _events_per_day(spark, d):
-    return Q.events_per_day(A.ev(spark, d), FRM, NOW)
+    return Q.events_per_day(A.ev(spark, d), FRM, NOW).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @register("issue_totals_30d_24h", O.sql(f"""
@@ -787,13 +787,14 @@ from faultline.operators import reports as RP  # noqa: E402
 
 
 @register("layout_weekly_partitions", O.sql("""
-SELECT CAST(retention_days AS INTEGER) AS retention_days, CAST(date_trunc('week', created_at) AS DATE) AS week,
+SELECT CAST(retention_days AS INTEGER) AS retention_days, CAST(date_trunc('week', created_at) AS TIMESTAMP) AS week,
        count(*) AS n_rows, count(DISTINCT pid) AS n_projects FROM ev GROUP BY 1, 2"""))
 def _layout_weekly_partitions(spark, d):
     path = L.scratch_path(spark, "events")
     L.write_events(A.ev(spark, d), path, mode="overwrite")
     back = spark.read.parquet(path)
-    return back.groupBy(F.col("retention_days").cast("int").alias("retention_days"), "week").agg(
+    return back.groupBy(F.col("retention_days").cast("int").alias("retention_days"),
+                        F.col("week").cast("timestamp_ntz").alias("week")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pid").alias("n_projects"))
 
 
