@@ -267,9 +267,9 @@ accounts AS (SELECT c_custkey + 1 AS id, 'user' || CAST(c_custkey + 1 AS VARCHAR
 members AS (SELECT c_custkey + 1 AS user_id, CAST(c_nationkey % 5 + 1 AS INTEGER) AS team_id FROM customer
             UNION ALL
             SELECT c_custkey + 1, CAST((c_nationkey % 5 + 1) % 5 + 1 AS INTEGER) FROM customer WHERE c_custkey % 7 = 0),
-projects AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS id, 'project-' || lower(n_name) AS name,
-                    'key' || CAST(n_nationkey + 1 AS VARCHAR) AS key, CAST(n_regionkey + 1 AS INTEGER) AS team_id
-             FROM nation),
+projects AS (SELECT CAST(s_suppkey + 1 AS INTEGER) AS id, 'project-' || lower(s_name) AS name,
+                    'key' || CAST(s_suppkey + 1 AS VARCHAR) AS key, CAST(s_nationkey % 5 + 1 AS INTEGER) AS team_id
+             FROM supplier),
 comments AS (SELECT conv_id * 100 + turn AS id, ev.gid AS issue_id, (conv_id * 7 + turn) % {A.N_USERS} + 1 AS user_id,
                     {now} - to_hours(CAST(conv_id AS BIGINT)) + to_minutes(CAST(turn AS BIGINT)) AS created_at,
                     text AS content,
@@ -279,15 +279,15 @@ feed AS (SELECT o_orderkey AS request_id, ev.gid AS issue_id, o_custkey % {A.N_U
                 o_orderkey % {A.N_USERS} + 1 AS assigned_by,
                 o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS created_at,
                 CASE WHEN o_orderstatus = 'P' THEN 'delete' ELSE 'assign' END AS action
-         FROM orders JOIN ev ON md5(CAST(o_orderkey AS VARCHAR)) = ev.event_id),
-alert_rules AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS id, CAST(n_nationkey % 5 + 1 AS INTEGER) AS project_id,
-                       CAST(n_nationkey % 5 + 1 AS INTEGER) AS team_id, 'rule-' || CAST(n_nationkey + 1 AS VARCHAR) AS rule_name,
-                       CAST((n_nationkey * 13) % 40 - 3 AS INTEGER) AS threshold,
-                       CAST(n_nationkey % 2 + 1 AS INTEGER) AS condition, CAST(n_nationkey % 7 + 1 AS INTEGER) AS timeframe,
-                       ['Active', 'Inactive', 'Triggered'][n_nationkey % 3 + 1] AS status,
-                       n_nationkey % 2 = 0 AS high_priority,
-                       {now} - to_days(CAST(n_nationkey AS INTEGER)) AS created_at
-                FROM nation),
+         FROM orders JOIN ev ON md5(CAST(o_orderkey % (SELECT count(*) FROM ev) AS VARCHAR)) = ev.event_id),
+alert_rules AS (SELECT CAST(p_partkey + 1 AS INTEGER) AS id, CAST(p_partkey % 5 + 1 AS INTEGER) AS project_id,
+                       pr.team_id, 'rule-' || CAST(p_partkey + 1 AS VARCHAR) AS rule_name,
+                       CAST((p_partkey * 13) % 40 - 3 AS INTEGER) AS threshold,
+                       CAST(p_partkey % 2 + 1 AS INTEGER) AS condition, CAST(p_partkey % 7 + 1 AS INTEGER) AS timeframe,
+                       ['Active', 'Inactive', 'Triggered'][p_partkey % 3 + 1] AS status,
+                       p_partkey % 2 = 0 AS high_priority,
+                       {now} - to_seconds(CAST((p_partkey * 97) % 2592000 AS BIGINT)) AS created_at
+                FROM part JOIN projects pr ON pr.id = p_partkey % 5 + 1),
 channels AS (SELECT CAST(r_regionkey * 2 + 1 AS INTEGER) AS id, CAST(r_regionkey + 1 AS INTEGER) AS team_id,
                     'webhook' AS channel_type, true AS enabled, {now} - to_days(CAST(1 + r_regionkey AS INTEGER)) AS created_at
              FROM region

@@ -485,9 +485,9 @@ def _visible_projects(spark, d):
 
 
 @register("project_list", O.rel_sql("""
-SELECT id, name, team_id FROM projects WHERE team_id IN (1, 2, 3) AND lower(name) LIKE '%nation_1%'"""))
+SELECT id, name, team_id FROM projects WHERE team_id IN (1, 2, 3) AND lower(name) LIKE '%supplier#00000000%'"""))
 def _project_list(spark, d):
-    return R.project_list(A.projects(spark, d), team_ids=[1, 2, 3], name="NATION_1").select("id", "name", "team_id")
+    return R.project_list(A.projects(spark, d), team_ids=[1, 2, 3], name="SUPPLIER#00000000").select("id", "name", "team_id")
 
 
 @register("team_webhook", O.rel_sql("""

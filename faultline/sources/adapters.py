@@ -317,16 +317,16 @@ def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects from ``nation``: id = n_nationkey + 1, key 'key<id>', team = region + 1."""
-    n = read(spark, sf_dir, "nation")
-    pid = (F.col("n_nationkey") + 1).cast("int")
-    return n.select(
+    """Projects from ``supplier``: id = s_suppkey + 1, key 'key<id>', team = nation % 5 + 1."""
+    sp = read(spark, sf_dir, "supplier")
+    pid = (F.col("s_suppkey") + 1).cast("int")
+    return sp.select(
         pid.alias("id"),
-        F.concat(F.lit("project-"), F.lower(F.col("n_name"))).alias("name"),
+        F.concat(F.lit("project-"), F.lower(F.col("s_name"))).alias("name"),
         F.concat(F.lit("key"), pid.cast("string")).alias("key"),
         F.when(pid % 2 == 0, F.lit(2)).otherwise(F.lit(1)).cast("smallint").alias("platform"),
-        (F.col("n_regionkey") + 1).cast("int").alias("team_id"),
-        (X.ts_lit(NOW) - F.make_dt_interval(F.lit(0) + pid * 10)).cast("timestamp_ntz").alias("created_at"),
+        (F.col("s_nationkey") % 5 + 1).cast("int").alias("team_id"),
+        (X.ts_lit(NOW) - F.make_dt_interval(F.lit(0) + (pid * 10) % 1000)).cast("timestamp_ntz").alias("created_at"),
     )
 
 
@@ -385,10 +385,12 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assign / unassign requests from ``orders``: order o concerns the issue of event o."""
+    """Assign / unassign requests from ``orders``: order o concerns the issue of event
+    o mod (number of events), so every order is a request."""
     o = read(spark, sf_dir, "orders")
     g = _event_gids(spark, sf_dir)
-    j = o.join(g, F.md5(o.o_orderkey.cast("string")) == g.event_id)
+    n_events = g.count()  # one scalar: orders wrap around the events so every order is used
+    j = o.join(g, F.md5((o.o_orderkey % F.lit(n_events)).cast("string")) == g.event_id)
     return j.select(
         F.col("o_orderkey").alias("request_id"),
         F.col("gid").alias("issue_id"),
@@ -401,21 +403,24 @@ def assignment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
+    """Alert rules from ``part``: rule k watches project k % 5 + 1 and belongs to that
+    project's team; threshold, condition, timeframe and status cycle with k."""
+    pt = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
     status = F.element_at(F.array(F.lit("Active"), F.lit("Inactive"), F.lit("Triggered")), (k % 3 + 1).cast("int"))
-    return n.select(
+    rules = pt.select(
         (k + 1).cast("int").alias("id"),
         (k % 5 + 1).cast("int").alias("project_id"),
-        (k % 5 + 1).cast("int").alias("team_id"),
         F.concat(F.lit("rule-"), (k + 1).cast("string")).alias("rule_name"),
         ((k * 13) % 40 - 3).cast("int").alias("threshold"),
         (k % 2 + 1).cast("int").alias("condition"),
         (k % 7 + 1).cast("int").alias("timeframe"),
         status.alias("status"),
         (k % 2 == 0).alias("high_priority"),
-        (X.ts_lit(NOW) - F.make_dt_interval(k.cast("int"))).cast("timestamp_ntz").alias("created_at"),
+        (X.ts_lit(NOW) - F.make_dt_interval(secs=(k * 97) % 2592000)).cast("timestamp_ntz").alias("created_at"),
     )
+    teams_of = projects(spark, sf_dir).select(F.col("id").alias("project_id"), "team_id")
+    return rules.join(teams_of, "project_id")
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
