@@ -30,14 +30,14 @@ def with_layout_columns(events: DataFrame) -> DataFrame:
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """S5 + L1 + L3 + L6: append events as a partitioned, clustered Parquet dataset.
 
-    Rows are range-partitioned on (retention_days, week, pid, day, primary_hash,
-    event_id) and sorted inside each task by the store's primary-key prefix.
+    Rows are rebalanced on (retention_days, week, pid) and sorted inside each
+    task by the store's primary-key prefix.
     """
     df = with_layout_columns(events)
-    # Range partitioning on the full clustering key: sampled bounds split a hot
-    # (week, project) over many tasks, and each task writes one contiguous key
-    # range, i.e. few partition folders and well-clustered files.
-    (df.repartitionByRange(*PARTITION_COLUMNS, "pid", "day", "primary_hash", "event_id")
+    # REBALANCE: hash on (partition values, project) so a task writes few folders;
+    # AQE splits a skewed (week, project) over several tasks and merges small
+    # ones - no sampling pass over the input, unlike a range repartition.
+    (df.hint("rebalance", *PARTITION_COLUMNS, "pid")
        .sortWithinPartitions(*PARTITION_COLUMNS, "pid", "day", "primary_hash")
        .write.mode(mode)
        .option("parquet.bloom.filter.enabled#release", "true")
