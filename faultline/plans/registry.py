@@ -943,33 +943,54 @@ def T_raw(schema):
                          for f in schema.fields])
 
 
-@register("stream_alerts")
+_ALERT_BOUNDS = [_dt.datetime(2024, 1, 8), _dt.datetime(2024, 1, 15), _dt.datetime(2024, 1, 22)]
+
+
+def _stream_alerts_sql() -> str:
+    b = ", ".join(f"({k}, TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}')" for k, t in enumerate(_ALERT_BOUNDS))
+    n = len(_ALERT_BOUNDS)
+    return O.rel_sql(f"""
+SELECT v, rule_id, status, hit, new_status,
+       CASE WHEN status = 'Active' AND hit THEN 'triggered' WHEN status = 'Triggered' AND NOT hit THEN 'resolved'
+       END AS transition
+FROM (SELECT v, rule_id, hit, new_status,
+             coalesce(lag(new_status) OVER (PARTITION BY rule_id ORDER BY v), orig_status) AS status
+      FROM (SELECT bn.v, rw.rule_id, rw.status AS orig_status, coalesce(h.hit, false) AS hit,
+                   CASE WHEN coalesce(h.hit, false) THEN 'Triggered' ELSE 'Active' END AS new_status
+            FROM bn CROSS JOIN rw LEFT JOIN hits h ON h.v = bn.v AND h.rule_id = rw.rule_id))""", f"""
+ub AS (SELECT * FROM (VALUES {b}, ({n}, TIMESTAMP '9999-01-01 00:00:00')) t(v, hi)),
+bn AS (SELECT ub.v, (SELECT max(created_at) FROM ev WHERE created_at <= ub.hi
+                     AND created_at > coalesce((SELECT u2.hi FROM ub u2 WHERE u2.v = ub.v - 1), TIMESTAMP '0001-01-01'))
+                 AS now FROM ub),
+r_listed AS (SELECT ar.* FROM alert_rules ar JOIN projects p ON p.id = ar.project_id
+             ORDER BY ar.created_at DESC, ar.id DESC LIMIT 1000),
+rw AS (SELECT id AS rule_id, project_id, threshold, condition, status, {O.timeframe_seconds('timeframe')} AS tf
+       FROM r_listed WHERE status IN ('Active', 'Triggered')),
+win AS (SELECT bn.v, bn.now, rw.*, bn.now - to_seconds(CAST(rw.tf AS BIGINT)) AS w_from FROM bn CROSS JOIN rw),
+iss AS (SELECT bn.v, e.gid, e.pid, min(e.created_at) AS first_seen, max(e.created_at) AS last_seen
+        FROM bn JOIN ev e ON e.created_at <= bn.now GROUP BY 1, 2, 3),
+per AS (SELECT w.v, w.rule_id, e.gid, count(*) AS ts_n, count(DISTINCT nullif(e.user_ref, '')) AS uc
+        FROM win w JOIN live e ON e.pid = w.project_id AND e.created_at >= w.w_from AND e.created_at <= w.now
+        GROUP BY 1, 2, 3),
+hits AS (SELECT per.v, per.rule_id,
+                bool_or(w.threshold >= 0 AND (CASE WHEN w.condition = 2 THEN uc ELSE ts_n END) > w.threshold) AS hit
+         FROM per JOIN win w ON w.v = per.v AND w.rule_id = per.rule_id
+         JOIN iss i ON i.v = per.v AND i.gid = per.gid AND i.pid = w.project_id
+              AND (i.last_seen BETWEEN w.w_from AND w.now OR i.first_seen BETWEEN w.w_from AND w.now)
+         GROUP BY 1, 2)""")
+
+
+@register("stream_alerts", _stream_alerts_sql())
 def _stream_alerts(spark, d):
-    stream = _event_stream_input(spark, d, A.ev(spark, d))
+    frame = A.ev(spark, d)
+    path = L.scratch_path(spark, "stream-in")
+    ST.write_json_files(frame, path, "created_at", len(_ALERT_BOUNDS) + 1, as_messages=True, bounds=_ALERT_BOUNDS)
+    stream = ST.json_stream(spark, path, frame.schema)
     ev_out, state, ck = (L.scratch_path(spark, "alert-ev"), L.scratch_path(spark, "alert-state"),
                          L.scratch_path(spark, "ck"))
-    ST.stream_alerts(stream, A.alert_rules(spark, d), A.projects(spark, d), A.issues(spark, d), ev_out, state, ck)
-    return spark.read.parquet(state).select("v", "rule_id", "status", "hit", "new_status", "transition")
-
-
-def _ss_pred() -> str:
-    msg_or_title = lambda t: f"({O.contains_ci('e.message', O.q(t))} OR {O.contains_ci('e.title', O.q(t))})"
-    return f"""CASE s.n % 4
-  WHEN 0 THEN {O.has_tag('e.tags', O.q('level'), O.q('error'))} AND {msg_or_title('refused')}
-  WHEN 1 THEN NOT {O.has_tag('e.tags', O.q('env'), O.q('staging'))} AND {O.has_tag('e.tags', O.q('os'), O.q('linux'))}
-  WHEN 2 THEN {msg_or_title('FAILED id')} AND {O.has_tag('e.tags', O.q('k'), 'CAST((s.n * 3) % 100 AS VARCHAR)')}
-  ELSE {O.has_tag('e.tags', O.q('release'), "'nordland@1.' || CAST(s.n % 4 AS VARCHAR) || '.0'")}
-       AND NOT {O.has_tag('e.tags', O.q('level'), O.q('info'))} END"""
-
-
-@register("saved_search_matches", O.sql(f"""
-SELECT s.search_id, CAST(count(e.gid) AS BIGINT) AS match_events, CAST(count(DISTINCT e.gid) AS BIGINT) AS match_issues
-FROM ss s LEFT JOIN live e ON e.pid = s.pid AND e.created_at >= s.frm AND e.created_at <= s.to AND {_ss_pred()}
-GROUP BY s.search_id""", f"""ss AS (SELECT CAST(n_nationkey AS BIGINT) AS search_id, n_nationkey AS n,
-       CAST(n_nationkey % 5 + 1 AS INTEGER) AS pid, {O.T_NOW} - to_days(CAST(n_nationkey + 1 AS INTEGER)) AS frm,
-       {O.T_NOW} AS "to" FROM nation)"""))
-def _saved_search_matches(spark, d):
-    return Q.saved_search_matches(A.ev(spark, d), A.saved_searches(spark, d))
+    ST.stream_alerts(stream, A.alert_rules(spark, d), A.projects(spark, d), ev_out, state, ck)
+    return spark.read.parquet(state).select(F.col("v").cast("int").alias("v"), "rule_id", "status", "hit",
+                                            "new_status", "transition")
 
 
 # --- X13 / X17 over ingested events -------------------------------------------------------
