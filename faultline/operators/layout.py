@@ -81,10 +81,15 @@ def retention_sweep(events: DataFrame, now: _dt.datetime) -> DataFrame:
                         > X.ts_lit(now))
 
 
+def sample_key(event_id):
+    """L5 sampling key: the first 32 bits of md5(event_id) (any engine with md5 agrees)."""
+    return F.conv(F.substring(F.md5(event_id), 1, 8), 16, 10).cast("bigint")
+
+
 def event_sample(events: DataFrame, k: int, n: int) -> DataFrame:
     """Deterministic sample by a hash of the event id: about k/n of the rows,
-    the same rows on every run."""
-    return events.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) < k)
+    the same rows on every run and in every engine."""
+    return events.where(sample_key(F.col("event_id")) % n < k)
 
 
 def latest_per_id(log: DataFrame, id_col: str = "id", order_col: str = "updated_at") -> DataFrame:

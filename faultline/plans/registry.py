@@ -820,7 +820,9 @@ def _retention_sweep(spark, d):
     return L.retention_sweep(A.ev(spark, d), _RET_NOW).groupBy("pid").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@register("event_sample")
+@register("event_sample", O.sql("""
+SELECT event_id, pid, gid FROM ev
+WHERE CAST(('0x' || substr(md5(event_id), 1, 8)) AS BIGINT) % 10 < 1"""))
 def _event_sample(spark, d):
     return L.event_sample(A.ev(spark, d), 1, 10).select("event_id", "pid", "gid")
 
