@@ -29,6 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
     pruning still reach the scan below the repartition.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote session: leave the scan as it is
+        return df
     return df.repartition(want) if have < want else df
