@@ -64,3 +64,15 @@ def test_upsert_keeps_first_and_moves_last(spark):
     assert second.first_seen == t0 and second.last_seen == t0 + dt.timedelta(hours=1) and second.message == "new"
     replay = I.upsert_issues(first, rows(t0 - dt.timedelta(hours=1), "older")).first()
     assert replay.first_seen == t0 - dt.timedelta(hours=1) and replay.message == "old"
+
+
+def test_ingested_rows_follow_the_event_schema(spark):
+    from conftest import SF_SMALL
+    from faultline.schema import EVENT
+    from faultline.sources import adapters as A
+
+    rows, _ = I.ingest(A.raw_envelopes(spark, SF_SMALL), A.projects(spark, SF_SMALL))
+    got = {f.name: f.dataType for f in rows.schema.fields}
+    for f in EVENT.fields:
+        assert f.name in got, f.name
+        assert got[f.name].simpleString() == f.dataType.simpleString(), f.name
