@@ -233,8 +233,22 @@ def issue_detail(issues: DataFrame, events: DataFrame, comments: DataFrame, assi
             "=", "tag", "value", F.col("percent_floor").cast("string")))), ",").alias("top_tags"))
     newest = Q.issue_event_detail(events, frm30, now).select(
         "gid", F.col("event_id").alias("latest_event_id"), "platform")
-    neighbors = Q.event_neighbors(events, now - _dt.timedelta(days=360), now).select(
-        "gid", F.col("event_id").alias("latest_event_id"), "next_id", "first_id")
+    # Neighbours (Q9, window [now - 360 d, now]) of the newest event L of the last
+    # 30 days: L is also the newest event before ``now``, so its next older event
+    # is the second newest before ``now`` (a top-2 per issue, WindowGroupLimit),
+    # and a newer one can only sit exactly at ``now``.
+    lo360, at_now = X.ts_lit(now - _dt.timedelta(days=360)), X.ts_lit(now)
+    recent = live.where((F.col("created_at") >= lo360) & (F.col("created_at") < at_now))
+    top2 = recent.withColumn("rn", F.row_number().over(
+        Window.partitionBy("gid").orderBy(F.desc("created_at"), F.desc("event_id")))).where(F.col("rn") <= 2)
+    second = top2.groupBy("gid").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("event_id"))).alias("latest_event_id"),
+        F.max(F.when(F.col("rn") == 2, F.col("event_id"))).alias("next_id"))
+    newer = live.where(F.col("created_at") == at_now).groupBy("gid").agg(
+        F.max_by("event_id", F.struct("created_at", "event_id")).alias("first_id"))
+    neighbors = second.join(newer, "gid", "left").select(
+        "gid", X.id_no_dashes(F.col("latest_event_id")).alias("latest_event_id"),
+        X.id_no_dashes(F.col("next_id")).alias("next_id"), X.id_no_dashes(F.col("first_id")).alias("first_id"))
     counts = R.message_counts(issues, comments).withColumnRenamed("issue_id", "gid")
     a = assignees.select(F.col("issue_id").alias("gid"), F.col("username").alias("assignee"))
     base = issues.select(F.col("id").alias("gid"), "project_id", "first_seen", "priority")
