@@ -16,9 +16,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A whole-stage method above the JIT's 8000-byte limit runs interpreted; the
-    # wide ingest projections cross it, so fall back to per-expression codegen.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
