@@ -4,7 +4,7 @@ A document's set is its distinct word shingles (lower-cased A-Z; with fewer word
 Equal sets are one node, identified by a 64-bit hash of the set, so copies cost one node whatever their number.
 
 Two sets of sizes s <= t with Jaccard similarity >= num / den have t <= s * den / num and differ in at most
-(den - num) * (s + t) / (den + num) elements.  Sizes fall into bands whose ends grow by (den / num) ** 2; a set
+(den - num) * (s + t) / (den + num) elements.  Sizes fall into bands whose ends grow by den / num; a set
 emits signatures for its own band and, if a partner may lie there, for the next one.  In a band with at most K
 differences the feature domain is hashed into ceil((K + 1) / 2) groups of 3 parts: some group holds at most one
 difference, so two of its three parts agree.  Each (group, subset of two parts) gives one signature: hash of the
@@ -17,12 +17,14 @@ Candidates are then confirmed exactly:
    its bucket as often as there are map batches.
 2. Links that hold give components.  A bucket with one component needs no more work, which covers groups of near
    copies of any size.
-3. In the others all sets of different components are compared inside blocks of ``BLOCK`` x ``BLOCK`` sets
-   (only pairs that pass leave a task), so the result has every link's effect on the components.
-
-Comparisons first use the parity sketch: 2048 bits, each the parity of the features hashed to it.  The number of
-bits in which two sketches differ never exceeds the number of features in which the sets differ, so a pair with
-more different bits than allowed is no link.  The rest is counted exactly on the sets.
+3. Of the other buckets one for each distinct group of sets remains; in it all sets of different components are
+   compared inside blocks of ``BLOCK`` x ``BLOCK`` sets (only pairs that pass leave a task), so the result has every
+   link's effect on the components.
+
+Comparisons first use the parity sketch: 512 bits (2048 for sets over ``LARGE``), each the parity of the features
+hashed to it; a long sketch folds into a short one.  The number of bits in which two sketches differ never exceeds
+the number of features in which the sets differ, so a pair with more different bits than allowed is no link.  The
+rest is counted exactly on the sets.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ from faultline.llm.shared import bitmap, in_bitmap, materialize
 
 U64 = np.uint64
 SKETCH_BITS = 2048
+SHORT_BITS = 512
+LARGE = 1200
 BLOCK = 1024
-#: Signatures of one shard, which one task sorts in memory (24 bytes each).
+#: Signatures of one shard, which one task sorts in memory.  Inside a shard 32 bits of a signature are kept: two
+#: different ones meet with a chance of some 10^-4, which costs a comparison and loses nothing.
 SHARD_ROWS = 500_000
 HASH_BITS = 54  # features keep 54 bits, so that (row in chunk, feature) sorts as one key
 
@@ -78,11 +83,16 @@ def sketches(rows: int, doc: np.ndarray, feature: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(rows, SKETCH_BITS), axis=1)
 
 
+def packed_sketches(size: np.ndarray, sk: np.ndarray) -> pa.Array:
+    short = np.bitwise_xor.reduce(sk.reshape(len(sk), SKETCH_BITS // SHORT_BITS, -1), axis=1)
+    return pa.array([None if n == 0 else (x if n > LARGE else y).tobytes() for n, x, y in zip(size, sk, short)], pa.binary())
+
+
 def bands(num: int, den: int, upto: int) -> np.ndarray:
     """First size of each band, up to the band after the one that holds ``upto``."""
     first = [1]
     while len(first) < 3 or first[-3] <= upto:
-        first.append(max(first[-1] + 1, first[-1] * den * den // (num * num) + 1))
+        first.append(max(first[-1] + 1, first[-1] * den // num + 1))
     return np.array(first)
 
 
@@ -124,18 +134,18 @@ def signatures(size: np.ndarray, doc: np.ndarray, feature: np.ndarray, num: int,
     return np.repeat(row[who], 3)[keep.ravel()], out.ravel()[keep.ravel()]
 
 
-def smallest_first(sig: np.ndarray, node: np.ndarray, size: np.ndarray):
-    """Sorted by (signature, node) without repetition; starts of the signatures."""
+def by_signature(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by (signature, node) without repetition; whether a row is a signature's first."""
     order = np.lexsort((node, sig))
-    sig, node, size = sig[order], node[order], size[order]
-    if len(sig):
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node, size = sig[new], node[new], size[new]
-    begin = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=bool)
-    return sig, node, size, begin
+    sig, node = sig[order], node[order]
+    if not len(sig):
+        return sig, node, np.zeros(0, dtype=bool)
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+    sig, node = sig[new], node[new]
+    return sig, node, np.concatenate(([True], sig[1:] != sig[:-1]))
 
 
-MEMBER = "sig long, node long, hub long, size int, hub_size int"
+MEMBER = "sig long, node long, hub long"
 
 
 def shingle_table(docs: DataFrame, n: int) -> DataFrame:
@@ -148,7 +158,7 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
             for a, rows, doc, feature in shingle_sets(buf, off, n):
                 size, node = set_ids(rows, doc, feature)
                 empty = size == 0
-                sk = pa.array([None if e else s.tobytes() for e, s in zip(empty, sketches(rows, doc, feature))], pa.binary())
+                sk = packed_sketches(size, sketches(rows, doc, feature))
                 ids = pa.array(node.view(np.int64), mask=empty)
                 yield pa.record_batch([batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(size), ids, sk], schema)
 
@@ -157,26 +167,25 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
 
 
 def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFrame:
-    """Sets that share a signature with another: (sig, node, hub, size, hub_size); hub: a smaller node of the bucket."""
+    """Sets that share a signature with another: (sig, node, hub); hub: a smaller node of the bucket."""
     schema = pa.schema([("shard", pa.int32()), ("linked", pa.bool_()), ("data", pa.binary())])
 
-    def emit(sig, node, size):
-        batch: list[tuple[np.ndarray, ...]] = [smallest_first(sig, node, size)]
-        s, m, z, begin = batch[0]
+    def emit(sig, node):
+        # A signature is its shard and 32 bits inside it.
+        shard = (sig >> U64(40)).astype(np.int64) % shards
+        s, m, begin = by_signature((shard.astype(U64) << U64(32)) | (sig & U64(0xFFFFFFFF)), node)
         if not len(s):
             return
         at = np.flatnonzero(begin)
-        hub = at[np.cumsum(begin) - 1]
-        shard = (s >> U64(40)).astype(np.int64) % shards
+        hub = m[at[np.cumsum(begin) - 1]]
         for linked, sel in ((False, begin), (True, ~begin)):
             idx = np.flatnonzero(sel)
-            idx = idx[np.argsort(shard[idx], kind="stable")]
-            cut = np.searchsorted(shard[idx], np.arange(shards + 1))
+            cut = np.searchsorted(s[idx], np.arange(shards + 1, dtype=U64) << U64(32))
             for k in range(shards):
                 if cut[k] < cut[k + 1]:
                     i = idx[cut[k] : cut[k + 1]]
-                    cols = (s[i], m[i], z[i].astype(U64), m[hub[i]], z[hub[i]].astype(U64)) if linked else (s[i], m[i], z[i].astype(U64))
-                    yield k, linked, np.concatenate(cols).tobytes()
+                    low = s[i].astype(np.uint32).tobytes()
+                    yield k, linked, (m[i].tobytes() + hub[i].tobytes() if linked else m[i].tobytes()) + low
 
     def signed(batches):
         for batch in batches:
@@ -191,25 +200,26 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
                     keep = lone[doc]
                     doc, feature = doc[keep], feature[keep]
                 row, sig = signatures(np.bincount(doc, minlength=rows), doc, feature, num, den)
-                got.append((sig, node[row], size[row]))
+                got.append((sig, node[row]))
             if got:
                 out = list(emit(*(np.concatenate(x) for x in zip(*got))))
                 for a in range(0, len(out), 64):
                     yield pa.record_batch([pa.array(x) for x in zip(*out[a : a + 64])], schema=schema)
 
-    def table(sig, node, hub, size, hub_size):
-        cols = [x.view(np.int64) for x in (sig, node, hub)] + [x.astype(np.int32) for x in (size, hub_size)]
+    def table(k, low, node, hub):
+        sig = (np.int64(k) << np.int64(32)) | low.astype(np.int64)
+        cols = [sig, node.view(np.int64), hub.view(np.int64)]
         for a in range(0, len(sig), 100_000):
-            yield pa.record_batch([pa.array(c[a : a + 100_000]) for c in cols], names=["sig", "node", "hub", "size", "hub_size"])
+            yield pa.record_batch([pa.array(c[a : a + 100_000]) for c in cols], names=["sig", "node", "hub"])
 
-    def bucket(parts):
+    def bucket(k, parts):
         if not parts:
             return
-        s, m, z, begin = smallest_first(*(np.concatenate(x) for x in zip(*parts)))
+        s, m, begin = by_signature(*(np.concatenate(x) for x in zip(*parts)))
         at = np.flatnonzero(begin)
-        hub = at[np.cumsum(begin) - 1]
+        hub = m[at[np.cumsum(begin) - 1]]
         i = np.flatnonzero(~begin)
-        yield from table(s[i], m[i], m[hub[i]], z[i], z[hub[i]])
+        yield from table(k, s[i], m[i], hub[i])
 
     def shard(batches):
         """Rows come sorted by shard."""
@@ -217,15 +227,16 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
         for batch in batches:
             for k, linked, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != now:
-                    yield from bucket(parts)
+                    yield from bucket(now, parts)
                     now, parts = k, []
-                x = np.frombuffer(data, dtype=U64)
+                rows = len(data) // (20 if linked else 12)
+                node = np.frombuffer(data, dtype=U64, count=rows)
+                low = np.frombuffer(data, dtype=np.uint32, offset=len(data) - 4 * rows)
                 if linked:
-                    s, m, z, hm, hz = x.reshape(5, -1)
-                    yield from table(s, m, hm, z, hz)
+                    yield from table(k, low, node, np.frombuffer(data, dtype=U64, count=rows, offset=8 * rows))
                 else:
-                    parts.append(tuple(x.reshape(3, -1)))
-        yield from bucket(parts)
+                    parts.append((low, node))
+        yield from bucket(now, parts)
 
     blobs = docs.select("text").mapInArrow(signed, "shard int, linked boolean, data binary")
     return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(shard, MEMBER)
@@ -238,8 +249,28 @@ def allowed(s: np.ndarray, t: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(least > np.minimum(s, t), -1, both - 2 * least)
 
 
-def _bits(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=U64).reshape(len(col), SKETCH_BITS // 64)
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ; of unequal lengths the longer one is folded."""
+    out = np.empty(len(x), dtype=np.int64)
+    short = SHORT_BITS // 8
+    kind = np.array([(len(a) > short) & (len(b) > short) for a, b in zip(x, y)], dtype=bool)
+
+    def words(col, idx, long):
+        if long:
+            return np.frombuffer(b"".join(col[i] for i in idx), dtype=U64).reshape(len(idx), -1)
+        return _folded([col[i] for i in idx])
+
+    for long in (False, True):
+        idx = np.flatnonzero(kind == long)
+        if len(idx):
+            out[idx] = np.bitwise_count(words(x, idx, long) ^ words(y, idx, long)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _folded(col: list[bytes]) -> np.ndarray:
+    short = SHORT_BITS // 8
+    fold = [a if len(a) == short else np.bitwise_xor.reduce(np.frombuffer(a, dtype=np.uint8).reshape(-1, short)).tobytes() for a in col]
+    return np.frombuffer(b"".join(fold), dtype=U64).reshape(len(col), -1)
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -249,8 +280,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
     def sketch(batches):
         for batch in batches:
             s, t = (batch.column(i).to_numpy() for i in (2, 3))
-            x, y = (_bits(batch.column(i)) for i in (4, 5))
-            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= allowed(s, t, num, den)
+            ok = differing(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= allowed(s, t, num, den)
             yield pa.record_batch([c.filter(pa.array(ok)) for c in batch.columns[:4]], names=["a", "b", "s", "t"])
 
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("sketch").alias("x"))
@@ -305,44 +335,53 @@ def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     cut = cut.select("sig", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "root", "size", "sketch")
 
-    def pairs(rows):
-        tab = pa.Table.from_batches(rows).combine_chunks() if len(rows) > 1 else rows[0]
-        mine, q = tab.column(3).to_numpy(), tab.column(2).to_numpy()
-        node, root, size = (tab.column(i).to_numpy() for i in (4, 5, 6))
-        sk = tab.column(7)
-        sk = _bits(sk.combine_chunks() if isinstance(sk, pa.ChunkedArray) else sk)
-        within = tab.column(1)[0].as_py() == int(q[0])
-        left = np.arange(len(node)) if within else np.flatnonzero(mine != q[0])
-        right = np.arange(len(node)) if within else np.flatnonzero(mine == q[0])
-        for a in range(0, len(left), 64):
-            i = left[a : a + 64]
-            most = allowed(size[i][:, None], size[right][None, :], num, den)
-            ok = (most >= 0) & (root[i][:, None] != root[right][None, :])
-            if within:
-                ok &= right[None, :] > i[:, None]
-            x, y = np.nonzero(ok)
-            for c in range(0, len(x), 1 << 14):  # 4 MB of sketches at a time
-                u, v = i[x[c : c + (1 << 14)]], right[y[c : c + (1 << 14)]]
-                near = np.bitwise_count(sk[u] ^ sk[v]).sum(axis=1, dtype=np.int64) <= most[x[c : c + (1 << 14)], y[c : c + (1 << 14)]]
-                if near.any():
-                    u, v = node[u[near]], node[v[near]]
-                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+    def pairs(tab: pa.Table):
+        """All rows of some groups, sorted by group."""
+        sig, p, q, mine, node, root, size = (tab.column(i).to_numpy() for i in range(7))
+        data = tab.column(7).to_pylist()
+        large = size > LARGE
+        sk = _folded(data)
+        full = np.zeros((int(large.sum()), SKETCH_BITS // 64), dtype=U64)
+        place = np.cumsum(large) - 1
+        for k, r in enumerate(np.flatnonzero(large)):
+            full[k] = np.frombuffer(data[r], dtype=U64)
+        rows = len(sig)
+        ends = np.flatnonzero(np.concatenate(((sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]))) + 1
+        count = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(rows) - 1
+        total = np.concatenate(([0], np.cumsum(count)))
+        a = 0
+        while a < rows:  # rows whose pairs with later rows of the group are some 2 ** 17 at a time
+            b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 17), "right")) - 1)
+            u = np.repeat(np.arange(a, b), count[a:b])
+            v = u + 1 + np.arange(len(u)) - np.repeat(total[a:b] - total[a], count[a:b])
+            a = b
+            most = allowed(size[u], size[v], num, den)
+            ok = (most >= 0) & (root[u] != root[v]) & ((p[u] == q[u]) | (mine[u] != mine[v]))
+            u, v, most = u[ok], v[ok], most[ok]
+            ok = np.bitwise_count(sk[u] ^ sk[v]).sum(axis=1, dtype=np.int64) <= most
+            u, v, most = u[ok], v[ok], most[ok]
+            both = np.flatnonzero(large[u] & large[v])
+            ok = np.ones(len(u), dtype=bool)
+            ok[both] = np.bitwise_count(full[place[u[both]]] ^ full[place[v[both]]]).sum(axis=1, dtype=np.int64) <= most[both]
+            x, y = node[u[ok]], node[v[ok]]
+            if len(x):
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
-        now, held = None, []
+        held = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
-            for a, b in zip(starts[:-1], starts[1:]):
-                if a == b:
-                    continue
-                if held and tuple(key[a]) != now:
-                    yield from pairs(held)
-                    held = []
-                now = tuple(key[a])
-                held.append(batch.slice(a, b - a))
+            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if not len(new):  # the group goes on
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, new[-1]))
+            yield from pairs(pa.Table.from_batches(held))
+            held = [batch.slice(new[-1])]
         if held:
-            yield from pairs(held)
+            yield from pairs(pa.Table.from_batches(held))
 
     keys = ["sig", "p", "q"]
     return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
@@ -360,10 +399,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     known = nodes_all.where("node IS NOT NULL")
     bucket = materialize(members(docs, n, num, den, shards), "members")
 
-    def fits(a, b):
-        return F.least(a, b) * den >= F.greatest(a, b) * num
-
-    stars = bucket.where(fits("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = bucket.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     touched = bitmap(bucket.select(F.explode(F.array("node", "hub")).alias("node")), "node")
     mask = docs.sparkSession.sparkContext.broadcast(touched)
 
@@ -380,12 +416,14 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     # Buckets that still hold several components.
     of = comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     seen = bucket.join(comp, "node", "left").join(of, "hub", "left")
-    seen = seen.select("sig", "node", "hub", "size", "hub_size", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    seen = seen.select("sig", "node", "hub", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
     seen = materialize(seen, "seen")
     # Every set but a bucket's hub has one row or more; two rows at least make a pair that no hub was part of.
-    state = seen.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root") != F.col("hub_root")).alias("apart"))
-    state = state.where("apart AND n > 1").select("sig", F.col("n") + 1)
-    state = state.toDF("sig", "n")
+    state = seen.groupBy("sig").agg(
+        (F.count(F.lit(1)) + 1).alias("n"), F.max(F.col("root") != F.col("hub_root")).alias("apart"),
+        F.bit_xor(F.xxhash64("node", "hub")).alias("who"), F.bit_xor(F.xxhash64("hub", "node")).alias("whom"),
+    ).where("apart AND n > 2")
+    state = state.groupBy("n", "who", "whom").agg(F.min("sig").alias("sig")).select("sig", "n")
     still = seen.join(state, "sig")
     rows = still.select("sig", "n", "node", "root").unionByName(still.select("sig", "n", F.col("hub").alias("node"), F.col("hub_root").alias("root")))
     rows = rows.distinct().join(nodes, "node")
