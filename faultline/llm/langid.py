@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
+from faultline.llm.shared import map_arrow
 
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
@@ -140,7 +141,7 @@ def count_trigrams(train: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([name] * len(slot)), pa.array(slot.astype(np.int32)), pa.array(c[slot])], names=["lang", "slot", "n"])
 
     rows = train.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    return rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -276,4 +277,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
                 yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(kinds[pred], pa.string()), pa.array(value), lists], names=cols + ["lang_pred", "score", "spans"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    return map_arrow(docs, run, f"{kinds}lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words as W
 from faultline.llm.elias_fano import EliasFano, encode
-from faultline.llm.shared import materialize, shared_path
+from faultline.llm.shared import map_arrow, materialize, shared_path
 
 U64 = np.uint64
 MIN_PAIR = 2
@@ -209,7 +209,7 @@ def count_words(train: DataFrame, parts: int) -> DataFrame:
             key, n = add_counts(held)
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())]), pa.array([pack_plain(key, n)], pa.binary())], names=["part", "n", "total", "data"])
 
-    return _dealt(train.select("text").mapInArrow(count, "part int, data binary"), parts).mapInArrow(merge, "part int, n long, total long, data binary")
+    return map_arrow(_dealt(map_arrow(train.select("text"), count, "part int, data binary"), parts), merge, "part int, n long, total long, data binary")
 
 
 def pack_plain(key: np.ndarray, n: np.ndarray) -> bytes:
@@ -273,7 +273,7 @@ def write_words(vocab: DataFrame, folder: str, firsts: list[int]) -> int:
                 write_arrays(f"{folder}/words-{k}", named("words", seq) | {"counts": codes, "count_of": count_of})
                 yield pa.record_batch([pa.array([k], pa.int32())], names=["part"])
 
-    return vocab.select("part", "data").mapInArrow(write, "part int").count()
+    return map_arrow(vocab.select("part", "data"), write, "part int").count()
 
 
 def pair_ids(model: Model, t: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def write_pairs(train: DataFrame, vocab: DataFrame, model: Model, tasks: int) ->
             shard = np.searchsorted(firsts, (key >> U64(32)).astype(np.int64), "right") - 1
             yield from _blobs(key, n, shard, shards)
 
-    kept = _dealt(train.select("text").mapInArrow(count, "part int, data binary"), tasks).mapInArrow(keep, "part int, data binary")
+    kept = map_arrow(_dealt(map_arrow(train.select("text"), count, "part int, data binary"), tasks), keep, "part int, data binary")
     # The shard's own words come first in it.
     own = vocab.select("part", F.lit(0).alias("no"), "data")
     rows = kept.select("part", F.lit(1).alias("no"), "data").unionByName(own)
@@ -346,7 +346,7 @@ def write_pairs(train: DataFrame, vocab: DataFrame, model: Model, tasks: int) ->
         if now is not None:
             yield level(now, counts, held)
 
-    return rows.mapInArrow(build, "part int").count()
+    return map_arrow(rows, build, "part int").count()
 
 
 def train_model(train: DataFrame) -> Model:
@@ -395,4 +395,4 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(x) for x in out], names=cols + ["n_tokens", "n_known", "base_score", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double")
+    return map_arrow(docs, run, f"{kinds}, n_tokens long, n_known long, base_score double, score double")

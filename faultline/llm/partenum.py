@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words as W
 from faultline.llm.components import connected_components
-from faultline.llm.shared import bitmap, in_bitmap, materialize
+from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize
 
 U64 = np.uint64
 SKETCH_BITS = 2048
@@ -163,7 +163,7 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(size), ids, sk], schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, size long, node long, sketch binary")
+    return map_arrow(rows, run, "doc_id long, text_key long, size long, node long, sketch binary")
 
 
 def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFrame:
@@ -238,8 +238,8 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
                     parts.append((low, node))
         yield from bucket(now, parts)
 
-    blobs = docs.select("text").mapInArrow(signed, "shard int, linked boolean, data binary")
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(shard, MEMBER)
+    blobs = map_arrow(docs.select("text"), signed, "shard int, linked boolean, data binary")
+    return map_arrow(blobs.repartition(shards, "shard").sortWithinPartitions("shard"), shard, MEMBER)
 
 
 def allowed(s: np.ndarray, t: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -286,7 +286,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("sketch").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("sketch").alias("y"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y")
-    near = materialize(near.mapInArrow(sketch, "a long, b long, s long, t long"), "near")
+    near = materialize(map_arrow(near, sketch, "a long, b long, s long, t long"), "near")
     want = near.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = spark.sparkContext.broadcast(bitmap(want, "node"))
 
@@ -305,7 +305,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
                     data = pa.array([feature[begin[r] : begin[r + 1]].tobytes() for r in i], pa.binary())
                     yield pa.record_batch([pa.array(node[i]), data], names=["node", "data"])
 
-    whole = docs.select("text").mapInArrow(sets, "node long, data binary")
+    whole = map_arrow(docs.select("text"), sets, "node long, data binary")
     whole = whole.join(want.distinct(), "node", "left_semi").dropDuplicates(["node"])
     whole = materialize(whole, "sets")
 
@@ -321,7 +321,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
 
     pair = near.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
     pair = pair.join(whole.select(F.col("node").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-    return pair.mapInArrow(count, "a long, b long")
+    return map_arrow(pair, count, "a long, b long")
 
 
 def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
@@ -384,7 +384,7 @@ def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
             yield from pairs(pa.Table.from_batches(held))
 
     keys = ["sig", "p", "q"]
-    return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(cut.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -408,7 +408,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(m, batch.column(0).to_numpy())))
 
-    nodes = known.select("node", "size", "sketch").mapInArrow(some, "node long, size long, sketch binary")
+    nodes = map_arrow(known.select("node", "size", "sketch"), some, "node long, size long, sketch binary")
     nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
     links = materialize(confirm(stars, nodes, docs, n, num, den), "links")
     comp = materialize(connected_components(links), "components")

@@ -10,8 +10,9 @@ classifiers, each fitted on a different ``(MEMBERS - 1) / MEMBERS`` of both samp
 
 Bounds (documented parameters, the same at every size): ``POSITIVES`` and ``UNLABELLED`` sampled rows, those with the
 smallest hash of the id, and ``FEATURES`` words.  Words are runs of letters and digits (A-Z lower-cased), known by
-their 64-bit hash.  A word is a candidate if at least ``MIN_POSITIVES`` sampled positives hold it; the words with the
-largest lower bound (``Z`` standard errors) of the ratio of their rates in positives and unlabelled texts stay.
+their 64-bit hash.  A word is a candidate if at least ``MIN_POSITIVES`` sampled positives hold it and the lower bound
+(``Z`` standard errors) of the ratio of its rates in positives and unlabelled texts is over ``MIN_RATIO``; those with the
+largest bounds stay.
 Scoring covers every word of every text.
 """
 
@@ -23,18 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
-from faultline.llm.shared import crc_mod, materialize, table
+from faultline.llm.shared import crc_mod, map_arrow, materialize, table
 
 U64 = np.uint64
 POSITIVES = 6_000
 UNLABELLED = 24_000
 FEATURES = 1_024
 MIN_POSITIVES = 5
-Z = 3.0
+Z = 2.5
+MIN_RATIO = 2.0
 MEMBERS = 3
-STEPS = 400
+STEPS = 800
 RATE = 0.1
-L2 = 1e-4
+L2 = 1e-5
 THRESHOLD = 0.7
 
 
@@ -68,7 +70,7 @@ def sampled_words(texts: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(i).take(d) for i in range(3)] + [pa.array(h[new].view(np.int64))], names=["kind", "fold", "text_id", "word"])
 
     rows = texts.select("kind", "fold", F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(run, "kind int, fold int, text_id long, word long")
+    return map_arrow(rows, run, "kind int, fold int, text_id long, word long")
 
 
 def _loss_gradient(z: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def fit(train: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     count = words.groupBy("word").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
     p, u = (F.col("p") + 0.5) / n_p, (F.col("u") + 0.5) / n_u
     low = F.log(p / u) - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))
-    best = count.where(F.col("p") >= MIN_POSITIVES).orderBy(low.desc(), "word").select("word").limit(FEATURES)
+    best = count.where((F.col("p") >= MIN_POSITIVES) & (low > F.log(F.lit(MIN_RATIO)))).orderBy(low.desc(), "word").select("word").limit(FEATURES)
     rows = words.join(F.broadcast(best), "word").groupBy("kind", "fold", "text_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
     # All texts of the samples count, also those without a chosen word.
     rows = both.select("kind", "fold", F.xxhash64("text").alias("text_id")).join(rows, ["kind", "fold", "text_id"], "left").toArrow()
@@ -172,7 +174,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text: bool
                 yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(out)], names=cols + [name])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
-    return docs.mapInArrow(run, f"{kinds}{name} double")
+    return map_arrow(docs, run, f"{kinds}{name} double")
 
 
 def held_out(col: str = "doc_id"):

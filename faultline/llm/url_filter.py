@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
+from faultline.llm.shared import map_arrow
 
 U64 = np.uint64
 BITS_PER_URL = 12
@@ -101,7 +102,7 @@ def build_filter(listed: DataFrame) -> np.ndarray:
             if len(first):
                 yield pa.record_batch([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(bit, first).view(np.int64))], names=["word", "bits"])
 
-    rows = listed.select("canonical").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = map_arrow(listed.select("canonical"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(blocks * 8, dtype=np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(U64)
@@ -128,7 +129,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
             yield pa.record_batch(batch.columns + [pa.array(hit)], names=names + ["possible"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.mapInArrow(run, f"{kinds}, possible boolean")
+    rows = map_arrow(rows, run, f"{kinds}, possible boolean")
     hits = rows.where("possible").join(known.withColumn("listed", F.lit(True)), "canonical", "left")
     hits = hits.withColumn("listed", F.coalesce("listed", F.lit(False)))
     found = hits.unionByName(rows.where("NOT possible").withColumn("listed", F.lit(False)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
-from faultline.llm.shared import bitmap, in_bitmap, materialize, table
+from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize, table
 
 U64 = np.uint64
 WINDOW = 10
@@ -89,7 +89,7 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), ids.take(pa.array(doc + a)), pa.array(ctx, pa.binary())], names=["fp", "size", "item", "ctx"])
 
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return rows.mapInArrow(run, "fp long, size int, item string, ctx binary").distinct()
+    return map_arrow(rows, run, "fp long, size int, item string, ctx binary").distinct()
 
 
 def document_grams(docs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def document_grams(docs: DataFrame, grams: DataFrame) -> DataFrame:
                         yield pa.record_batch([ids.take(d), keys.take(d), pa.nulls(len(d), pa.int64()), pa.array(fp[e].view(np.int64)), pa.array(size[e].astype(np.int32)), pa.array(pos[e]), pa.array(ctx[e], pa.binary())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_words long, fp long, size int, pos long, ctx binary")
+    return map_arrow(rows, run, "doc_id long, text_key long, n_words long, fp long, size int, pos long, ctx binary")
 
 
 def _extend(batches):
@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = found.where("pos >= 0").select("doc_id", "text_key", "fp", "size", "pos", F.col("ctx").alias("x"))
     joined = hits.join(grams.withColumnRenamed("ctx", "y"), ["fp", "size"])
     runs = joined.select("doc_id", "text_key", "size", "pos", "x", "y", "item")
-    runs = materialize(runs.mapInArrow(_extend, "doc_id long, text_key long, item string, first long, last long"), "runs")
+    runs = materialize(map_arrow(runs, _extend, "doc_id long, text_key long, item string, first long, last long"), "runs")
     keys = ["doc_id", "text_key"]
     spans = runs.select(*keys, "first", "last").distinct()
     hit = spans.select(*keys, F.explode(F.sequence("first", F.col("last") - 1)).alias("pos")).distinct()
