@@ -18,8 +18,9 @@ Candidates are then confirmed exactly:
 2. Links that hold give components.  A bucket with one component needs no more work, which covers groups of near
    copies of any size.
 3. Of the other buckets one for each distinct group of sets remains; in it all sets of different components are
-   compared inside blocks of ``BLOCK`` x ``BLOCK`` sets (only pairs that pass leave a task), so the result has every
-   link's effect on the components.
+   compared inside blocks of ``BLOCK`` x ``BLOCK`` sets.  First only the closest pair of every two components leaves a
+   task and is counted, which joins nearly all that belong together; then every pair that still lies between components
+   does, so the result has every link's effect on the components.
 
 Comparisons first use the parity sketch: 512 bits (2048 for sets over ``LARGE``), each the parity of the features
 hashed to it; a long sketch folds into a short one.  The number of bits in which two sketches differ never exceeds
@@ -324,8 +325,9 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
     return map_arrow(pair, count, "a long, b long")
 
 
-def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components inside one bucket that sizes and sketches allow.
+def compare_blocks(open_members: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
+    """Pairs of different components inside one bucket that sizes and sketches allow; with ``closest`` only the pair
+    with the least different sketches for every two components.
 
     open_members(sig, n, node, root, size, sketch).  Buckets over BLOCK sets are cut into blocks; each pair of
     blocks is one group of at most 2 * BLOCK rows.
@@ -358,12 +360,19 @@ def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
             most = allowed(size[u], size[v], num, den)
             ok = (most >= 0) & (root[u] != root[v]) & ((p[u] == q[u]) | (mine[u] != mine[v]))
             u, v, most = u[ok], v[ok], most[ok]
-            ok = np.bitwise_count(sk[u] ^ sk[v]).sum(axis=1, dtype=np.int64) <= most
-            u, v, most = u[ok], v[ok], most[ok]
+            apart = np.bitwise_count(sk[u] ^ sk[v]).sum(axis=1, dtype=np.int64)
+            ok = apart <= most
+            u, v, most, apart = u[ok], v[ok], most[ok], apart[ok]
             both = np.flatnonzero(large[u] & large[v])
-            ok = np.ones(len(u), dtype=bool)
-            ok[both] = np.bitwise_count(full[place[u[both]]] ^ full[place[v[both]]]).sum(axis=1, dtype=np.int64) <= most[both]
-            x, y = node[u[ok]], node[v[ok]]
+            apart[both] = np.bitwise_count(full[place[u[both]]] ^ full[place[v[both]]]).sum(axis=1, dtype=np.int64)
+            ok = apart <= most
+            u, v, apart = u[ok], v[ok], apart[ok]
+            if closest and len(u):
+                x, y = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+                order = np.lexsort((node[v], node[u], apart, y, x))
+                new = np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))
+                u, v = u[order[new]], v[order[new]]
+            x, y = node[u], node[v]
             if len(x):
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -387,6 +396,23 @@ def compare_blocks(open_members: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(cut.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
 
 
+def open_members(bucket: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components and a pair that no hub was part of, one bucket for each
+    distinct group: (sig, n, node, root, size, sketch)."""
+    of = comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    seen = bucket.join(comp, "node", "left").join(of, "hub", "left")
+    seen = seen.select("sig", "node", "hub", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    seen = materialize(seen, "seen")
+    state = seen.groupBy("sig").agg(
+        (F.count(F.lit(1)) + 1).alias("n"), F.max(F.col("root") != F.col("hub_root")).alias("apart"),
+        F.bit_xor(F.xxhash64("node", "hub")).alias("who"), F.bit_xor(F.xxhash64("hub", "node")).alias("whom"),
+    ).where("apart AND n > 2")
+    state = state.groupBy("n", "who", "whom").agg(F.min("sig").alias("sig")).select("sig", "n")
+    still = seen.join(state, "sig")
+    rows = still.select("sig", "n", "node", "root").unionByName(still.select("sig", "n", F.col("hub").alias("node"), F.col("hub_root").alias("root")))
+    return rows.distinct().join(nodes, "node")
+
+
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_key, n_shingles, root, component_id, one row per input row.
 
@@ -413,24 +439,13 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     links = materialize(confirm(stars, nodes, docs, n, num, den), "links")
     comp = materialize(connected_components(links), "components")
 
-    # Buckets that still hold several components.
-    of = comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    seen = bucket.join(comp, "node", "left").join(of, "hub", "left")
-    seen = seen.select("sig", "node", "hub", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
-    seen = materialize(seen, "seen")
-    # Every set but a bucket's hub has one row or more; two rows at least make a pair that no hub was part of.
-    state = seen.groupBy("sig").agg(
-        (F.count(F.lit(1)) + 1).alias("n"), F.max(F.col("root") != F.col("hub_root")).alias("apart"),
-        F.bit_xor(F.xxhash64("node", "hub")).alias("who"), F.bit_xor(F.xxhash64("hub", "node")).alias("whom"),
-    ).where("apart AND n > 2")
-    state = state.groupBy("n", "who", "whom").agg(F.min("sig").alias("sig")).select("sig", "n")
-    still = seen.join(state, "sig")
-    rows = still.select("sig", "n", "node", "root").unionByName(still.select("sig", "n", F.col("hub").alias("node"), F.col("hub_root").alias("root")))
-    rows = rows.distinct().join(nodes, "node")
-    more = compare_blocks(rows, num, den).join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(more, "more"), nodes, docs, n, num, den), "links")
-    if not more.isEmpty():
-        comp = materialize(connected_components(links.unionByName(more)), "components")
+    for closest in (True, False):
+        rows = open_members(bucket, comp, nodes)
+        pairs = compare_blocks(rows, num, den, closest).join(stars, ["a", "b"], "left_anti")
+        more = materialize(confirm(materialize(pairs, "pairs"), nodes, docs, n, num, den), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = materialize(connected_components(links), "components")
 
     root = nodes_all.select("doc_id", "text_key", F.col("size").alias("n_shingles"), "node").join(comp, "node", "left")
     root = root.withColumn("root", F.coalesce("root", "node"))
