@@ -46,17 +46,17 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # (k-mer hash without its low bits | position), sorted: equal k-mers stand together in text order.
     df = _let(df, "__k", f"""CASE WHEN size(__w) = 0 THEN cast(array() AS array<bigint>)
         WHEN size(__w) < {K} THEN array(xxhash64(__w) & ~{mask}L)
-        ELSE array_sort(transform(slice(__w, 1, size(__w) - {K - 1}), (x, i) -> (xxhash64(x, {', '.join(f'__w[i + {j}]' for j in range(1, K))}) & ~{mask}L) | (i & {mask}L))) END""")
+        ELSE sort_array(transform(slice(__w, 1, size(__w) - {K - 1}), (x, i) -> (xxhash64(x, {', '.join(f'__w[i + {j}]' for j in range(1, K))}) & ~{mask}L) | (i & {mask}L))) END""")
     # First place of each k-mer, then 0, 1, 2, ... along its run.
     df = _let(df, "__s", f"filter(transform(__k, (x, i) -> CASE WHEN i > 0 AND (__k[i - 1] & ~{mask}L) = (x & ~{mask}L) THEN -1 ELSE i END), i -> i >= 0)")
     df = _let(df, "__o", "CASE WHEN size(__s) = size(__k) THEN cast(array() AS array<int>) ELSE flatten(transform(__s, (s, j) -> sequence(0, coalesce(get(__s, j + 1), size(__k)) - s - 1))) END")
     # The smallest hashes of (k-mer, occurrence), and their bins.
-    df = _let(df, "__h", f"array_sort(transform(__k, (x, i) -> (xxhash64(x & ~{mask}L, coalesce(get(__o, i), 0)) & ~{mask}L) | (x & {mask}L)))")
+    df = _let(df, "__h", f"sort_array(transform(__k, (x, i) -> (xxhash64(x & ~{mask}L, coalesce(get(__o, i), 0)) & ~{mask}L) | (x & {mask}L)))")
     df = _let(df, "__p", f"slice(__h, 1, {POOL})")
     # (bin, rank in the pool), sorted by bin: the first L of a bin stay, as (bin, position, rank).
-    df = _let(df, "__b", f"array_sort(transform(__p, (x, i) -> ((shiftrightunsigned(x, {POS}) % {BINS}) << 32) | i))")
+    df = _let(df, "__b", f"sort_array(transform(__p, (x, i) -> ((shiftrightunsigned(x, {POS}) % {BINS}) << 32) | i))")
     df = _let(df, "__f", f"filter(__b, (x, i) -> i < {L} OR shiftright(__b[i - {L}], 32) <> shiftright(x, 32))")
-    df = _let(df, "__t", f"array_sort(transform(__f, x -> (shiftright(x, 32) << {POS + 16}) | ((__p[cast(x & 4294967295L AS int)] & {mask}L) << 16) | (x & 65535L)))")
+    df = _let(df, "__t", f"sort_array(transform(__f, x -> (shiftright(x, 32) << {POS + 16}) | ((__p[cast(x & 4294967295L AS int)] & {mask}L) << 16) | (x & 65535L)))")
     bin_ = f"shiftright(x, {POS + 16})"
     df = _let(df, "__g", f"filter(transform(__t, (x, i) -> CASE WHEN i > 0 AND shiftright(__t[i - 1], {POS + 16}) = {bin_} THEN -1 ELSE i END), i -> i >= 0)")
     hash_ = lambda at: f"(__p[cast(__t[{at}] & 65535L AS int)] & ~{mask}L)"

@@ -36,7 +36,7 @@ def fingerprint(text):
     w = [h(x) for x in re.split("[\x20\x09-\x0D]+", text) if x]
     if not w:
         return []
-    grams = [(h(*w) if len(w) >= O.K else h(w[0])) & ~LOW] if len(w) <= O.K else [h(*w[i : i + O.K]) & ~LOW for i in range(len(w) - O.K + 1)]
+    grams = [h(*w) & ~LOW] if len(w) <= O.K else [h(*w[i : i + O.K]) & ~LOW for i in range(len(w) - O.K + 1)]
     seen, rows = {}, []
     for pos, g in enumerate(grams):
         seen[g] = seen.get(g, -1) + 1
