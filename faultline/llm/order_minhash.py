@@ -4,8 +4,8 @@ The k-mers of a text are its runs of ``K`` words (A-Z as they are; a text with f
 occurrence, so a repeated k-mer counts as often as it occurs.  Hashes of (k-mer, occurrence) are dealt to ``BINS`` bins
 by their own bits; each bin selects the ``L`` smallest, puts them back into text order and hashes the tuple.  Moving a
 passage changes tuples although the set of k-mers stays, which is what makes the signature follow edit distance.  One
-hash serves all bins (one-permutation hashing): bins look at the ``POOL`` smallest hashes of a text, which holds L for
-nearly every bin of a long text; a bin without k-mers has no entry.
+hash serves all bins (one-permutation hashing): bins look at the ``POOL`` smallest hashes of a text, four a bin on
+average; a bin without k-mers has no entry and one with fewer than L a shorter tuple.
 
 The work is in arrays inside the row: longs packed as (hash | position) are sorted as primitives, so the cost is
 n log n in the words of a text and no k-mer is shuffled.
@@ -22,7 +22,7 @@ from faultline.llm.shared import materialize
 K = 3
 L = 2
 BINS = 64
-POOL = 8 * BINS
+POOL = 4 * BINS
 #: Bits for the position of a word; texts beyond 2 ** 24 words keep their order in steps of 2 ** 24.
 POS = 24
 #: Rows of one bucket of neighbouring ids, and most buckets (their table is broadcast: 2.4 MB).
@@ -30,39 +30,40 @@ BUCKET_ROWS = 4096
 MAX_BUCKETS = 100_000
 
 
-def _let(df: DataFrame, name: str, expr: str) -> DataFrame:
-    """A column computed once per row: behind a generator it can't be copied into the lambdas that read it."""
-    return freeze(df, **{name: F.expr(expr)})
+def _let(df: DataFrame, keep: list[str], carry: list[str], **exprs: str) -> DataFrame:
+    """``keep``, ``carry`` and new columns, each computed once per row: behind a generator they can't be copied into the
+    lambdas that read them."""
+    return freeze(df, **{k: F.expr(e) for k, e in exprs.items()}).select(*keep, *carry, *exprs)
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array of longs, (bin << 32) | 32-bit tuple hash, by bin; empty for a text without words.
-
-    The steps are columns, so that each array is computed once.
-    """
+    """Adds ``out``: array of longs, (bin << 32) | 32-bit tuple hash, by bin; empty for a text without words."""
     keep = df.columns
-    mask = (1 << POS) - 1
-    df = _let(df, "__w", f"transform(filter(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''), x -> xxhash64(x))")
-    # (k-mer hash without its low bits | position), sorted: equal k-mers stand together in text order.
-    df = _let(df, "__k", f"""CASE WHEN size(__w) = 0 THEN cast(array() AS array<bigint>)
-        WHEN size(__w) < {K} THEN array(xxhash64(__w) & ~{mask}L)
-        ELSE sort_array(transform(slice(__w, 1, size(__w) - {K - 1}), (x, i) -> (xxhash64(x, {', '.join(f'__w[i + {j}]' for j in range(1, K))}) & ~{mask}L) | (i & {mask}L))) END""")
-    # First place of each k-mer, then 0, 1, 2, ... along its run.
-    df = _let(df, "__s", f"filter(transform(__k, (x, i) -> CASE WHEN i > 0 AND (__k[i - 1] & ~{mask}L) = (x & ~{mask}L) THEN -1 ELSE i END), i -> i >= 0)")
-    df = _let(df, "__o", "CASE WHEN size(__s) = size(__k) THEN cast(array() AS array<int>) ELSE flatten(transform(__s, (s, j) -> sequence(0, coalesce(get(__s, j + 1), size(__k)) - s - 1))) END")
-    # The smallest hashes of (k-mer, occurrence), and their bins.
-    df = _let(df, "__h", f"sort_array(transform(__k, (x, i) -> (xxhash64(x & ~{mask}L, coalesce(get(__o, i), 0)) & ~{mask}L) | (x & {mask}L)))")
-    df = _let(df, "__p", f"slice(__h, 1, {POOL})")
+    low = f"{(1 << POS) - 1}L"
+    head = f"~{low}"
+    none, ints = "cast(array() AS array<bigint>)", "cast(array() AS array<int>)"
+    words = f"split(trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM coalesce({text}, '')), '[\\\\x20\\\\x09-\\\\x0D]+')"
+    df = _let(df, keep, [], __w=f"transform({words}, x -> CASE WHEN x <> '' THEN xxhash64(x) END)")
+    # k-mer hashes in text order, the low bits free for the position.
+    more = ", ".join(f"__w[i + {j}]" for j in range(1, K))
+    df = _let(df, keep, [], __q=f"""CASE WHEN __w[0] IS NULL THEN {none} WHEN size(__w) < {K} THEN array(xxhash64(__w) & {head})
+        ELSE transform(slice(__w, 1, size(__w) - {K - 1}), (x, i) -> xxhash64(x, {more}) & {head}) END""")
+    # Of texts with repeated k-mers: (k-mer | position) sorted, so that equal ones stand together in text order ...
+    df = _let(df, keep, ["__q"], __k=f"CASE WHEN size(array_distinct(__q)) < size(__q) THEN sort_array(transform(__q, (x, i) -> x | (i & {low}))) ELSE {none} END")
+    # ... the first place of each, and 0, 1, 2, ... along its run.
+    df = _let(df, keep, ["__q", "__k"], __s=f"filter(transform(__k, (x, i) -> CASE WHEN i > 0 AND (__k[i - 1] & {head}) = (x & {head}) THEN -1 ELSE i END), i -> i >= 0)")
+    df = _let(df, keep, ["__q", "__k"], __o=f"CASE WHEN size(__k) = 0 THEN {ints} ELSE flatten(transform(__s, (s, j) -> sequence(0, coalesce(get(__s, j + 1), size(__k)) - s - 1))) END")
+    # The smallest hashes of (k-mer, occurrence).
+    df = _let(df, keep, [], __p=f"""slice(sort_array(CASE WHEN size(__k) = 0 THEN transform(__q, (x, i) -> (xxhash64(x, 0) & {head}) | (i & {low}))
+        ELSE transform(__k, (x, i) -> (xxhash64(x & {head}, __o[i]) & {head}) | (x & {low})) END), 1, {POOL})""")
     # (bin, rank in the pool), sorted by bin: the first L of a bin stay, as (bin, position, rank).
-    df = _let(df, "__b", f"sort_array(transform(__p, (x, i) -> ((shiftrightunsigned(x, {POS}) % {BINS}) << 32) | i))")
-    df = _let(df, "__f", f"filter(__b, (x, i) -> i < {L} OR shiftright(__b[i - {L}], 32) <> shiftright(x, 32))")
-    df = _let(df, "__t", f"sort_array(transform(__f, x -> (shiftright(x, 32) << {POS + 16}) | ((__p[cast(x & 4294967295L AS int)] & {mask}L) << 16) | (x & 65535L)))")
-    bin_ = f"shiftright(x, {POS + 16})"
-    df = _let(df, "__g", f"filter(transform(__t, (x, i) -> CASE WHEN i > 0 AND shiftright(__t[i - 1], {POS + 16}) = {bin_} THEN -1 ELSE i END), i -> i >= 0)")
-    hash_ = lambda at: f"(__p[cast(__t[{at}] & 65535L AS int)] & ~{mask}L)"
-    second = " ".join(f", CASE WHEN i + {j} < coalesce(get(__g, j + 1), size(__t)) THEN (get(__p, cast(get(__t, i + {j}) & 65535L AS int)) & ~{mask}L) END" for j in range(1, L))
-    df = _let(df, out, f"transform(__g, (i, j) -> (shiftright(__t[i], {POS + 16}) << 32) | (xxhash64({hash_('i')}{second}) & 4294967295L))")
-    return df.select(*keep, out)
+    df = _let(df, keep, ["__p"], __b=f"sort_array(transform(__p, (x, i) -> ((shiftrightunsigned(x, {POS}) % {BINS}) << 32) | i))")
+    df = _let(df, keep, ["__p"], __t=f"""sort_array(transform(filter(__b, (x, i) -> i < {L} OR shiftright(__b[i - {L}], 32) <> shiftright(x, 32)),
+        x -> (shiftright(x, 32) << {POS + 16}) | ((__p[cast(x & 4294967295L AS int)] & {low}) << 16) | (x & 65535L)))""")
+    df = _let(df, keep, ["__p", "__t"], __g=f"filter(transform(__t, (x, i) -> CASE WHEN i > 0 AND shiftright(__t[i - 1], {POS + 16}) = shiftright(x, {POS + 16}) THEN -1 ELSE i END), i -> i >= 0)")
+    value = lambda at: f"(get(__p, cast(get(__t, {at}) & 65535L AS int)) & {head})"
+    rest = "".join(f", CASE WHEN i + {j} < coalesce(get(__g, j + 1), size(__t)) THEN {value(f'i + {j}')} END" for j in range(1, L))
+    return _let(df, keep, [], **{out: f"transform(__g, (i, j) -> (shiftright(__t[i], {POS + 16}) << 32) | (xxhash64({value('i')}{rest}) & 4294967295L))"})
 
 
 def as_text(c: str) -> Column:
