@@ -9,6 +9,7 @@ searches are matched against the events in one distributed join.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -66,69 +67,36 @@ class Token:
     is_raw_text: bool = False
 
 
-def _strip_quotes(v: str) -> str:
-    if len(v) >= 2 and v[0] == v[-1] and v[0] in "\"'":
-        return v[1:-1]
-    return v
+#: A piece of a query: quoted segments and characters other than space and quotes (an unclosed quote runs to the end).
+PIECE = r"""(?:"[^"]*"?|'[^']*'?|[^ "'])+"""
+GROUPED = r"""(?:"([^"]*)"?|'([^']*)'?)"""
 
 
-def _token(text: str) -> Token:
-    if ":" in text:
-        key, value = text.split(":", 1)
-        op = IS
-        if value.startswith("!"):
-            op, value = IS_NOT, value[1:]
-        return Token(key=key, operator=op, value=_strip_quotes(value))
-    return Token(value=_strip_quotes(text), is_raw_text=True)
+def _unquoted(v: str) -> str:
+    """A value without a pair of equal quotes around it."""
+    return re.sub(r"""^(["'])([\s\S]*)\1$""", r"\2", v)
+
+
+def _pieces(q: str) -> list[str]:
+    texts = (re.sub(GROUPED, r"\1\2", p) for p in re.findall(PIECE, q))
+    return [t for t in texts if t]
 
 
 def parse_query(q: str) -> list[Token]:
-    """Space-separated tokens; quotes group words and are removed; 'k:v', 'k:!v' or raw text."""
-    tokens: list[Token] = []
-    cur: list[str] = []
-    quote = ""
-    for ch in q:
-        if not quote and ch in "\"'":
-            quote = ch
-        elif quote and ch == quote:
-            quote = ""
-        elif not quote and ch == " ":
-            if cur:
-                tokens.append(_token("".join(cur)))
-                cur = []
-        else:
-            cur.append(ch)
-    if cur:
-        tokens.append(_token("".join(cur)))
-    return tokens
+    """P6 for one request parameter: 'k:v', 'k:!v' or raw text (``query_tokens`` for a column)."""
+    found = (re.fullmatch(r"(?:([^:]*):(!?))?([\s\S]*)", t).groups() for t in _pieces(q))
+    return [
+        Token(value=_unquoted(value), is_raw_text=True) if key is None else Token(key, IS_NOT if no else IS, _unquoted(value))
+        for key, no, value in found
+    ]
 
 
 def parse_query_v2(q: str) -> list[Token]:
-    """The second dialect: 'key:op:value' with op '' -> is, '!' -> is not; raw text is dropped."""
-    out: list[Token] = []
-    fields: list[str] = []
-    cur: list[str] = []
-    quote = False
-    for ch in q:
-        if ch == '"':
-            quote = not quote
-        elif ch == " " and not quote:
-            if cur:
-                fields.append("".join(cur))
-                cur = []
-        else:
-            cur.append(ch)
-    if cur:
-        fields.append("".join(cur))
-    for f in fields:
-        parts = f.split(":", 2)
-        if len(parts) != 3:
-            continue
-        key, op, value = parts
-        if op not in ("", "!"):
-            continue
-        out.append(Token(key=key, operator=IS if op == "" else IS_NOT, value=_strip_quotes(value)))
-    return out
+    """The second dialect, 'key:value' or 'key:op:value' (the value keeps further colons); op '' is ``is``, '!'
+    is ``is not``, any other stays as it is; raw text is dropped."""
+    names = {"": IS, "!": IS_NOT}
+    found = (re.fullmatch(r"([^:]*):(?:([^:]*):)?([\s\S]*)", t) for t in _pieces(q))
+    return [Token(m[1], names.get(m[2] or "", m[2]), _unquoted(m[3])) for m in found if m]
 
 
 def event_list_predicate(tokens: list[Token], message: Column, tags: Column) -> Column:
@@ -166,8 +134,7 @@ def query_tokens(q: Column) -> Column:
     are then dropped, empty pieces give no token, and each piece is split into
     key / operator / value at its first ':' exactly like ``parse_query``.
     """
-    piece = r"""(?:"[^"]*"?|'[^']*'?|[^ "'])+"""
-    texts = F.filter(F.transform(F.regexp_extract_all(q, F.lit(piece), 0), _group_unquote),
+    texts = F.filter(F.transform(F.regexp_extract_all(q, F.lit(PIECE), 0), _group_unquote),
                      lambda t: F.length(t) > 0)
 
     def to_struct(t: Column) -> Column:
@@ -190,7 +157,7 @@ def query_tokens(q: Column) -> Column:
 
 def _group_unquote(p: Column) -> Column:
     """Drop the grouping quote characters of one piece (an unclosed quote runs to the end)."""
-    return F.regexp_replace(p, r"""(?:"([^"]*)"?|'([^']*)'?)""", "$1$2")
+    return F.regexp_replace(p, GROUPED, "$1$2")
 
 
 def _strip_quotes_col(v: Column) -> Column:

@@ -39,6 +39,11 @@ def _window(events: DataFrame, frm, to, closed_upper: bool, pids=None, gids=None
     return _restrict(df, pids, gids)
 
 
+def live_between(events: DataFrame, frm, to, closed_upper: bool) -> DataFrame:
+    """Live events of a time range, with the week bounds of the stored table."""
+    return _window(events, frm, to, closed_upper)
+
+
 def _restrict(df: DataFrame, pids=None, gids=None) -> DataFrame:
     """Id lists.  A Python list becomes ``IN``; a DataFrame becomes a left-semi join
     (AQE broadcasts it when its runtime size is under the broadcast threshold)."""
@@ -59,8 +64,8 @@ def _top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ra
 
 
 # Q1 -------------------------------------------------------------------------
-def events_per_hour(events: DataFrame, frm, to, pids=None, limit: int | None = 5000) -> DataFrame:
-    """Q1: events per (UTC hour, project) in [frm, to); oldest first, first ``limit`` rows."""
+def events_per_hour(events: DataFrame, frm, to, pids=None, limit: int | None = None) -> DataFrame:
+    """Q1: events per (UTC hour, project) in [frm, to); with ``limit`` (a page size) the oldest so many rows."""
     df = (
         _window(events, frm, to, False, pids)
         .groupBy(X.trunc_ntz("hour", F.col("created_at")).alias("ts"), "pid")

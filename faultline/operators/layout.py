@@ -76,7 +76,11 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def retention_sweep(events: DataFrame, now: _dt.datetime) -> DataFrame:
-    """L4: rows still alive at ``now`` (created_at + retention_days days > now)."""
+    """L4: rows still alive at ``now`` (created_at + retention_days days > now).  In the stored table a week whose
+    last day has expired is not read at all."""
+    if "week" in events.columns:
+        last = F.date_add("week", F.col("retention_days").cast("int") + 7)
+        events = events.where(last >= F.lit(now.date()))
     return events.where(F.col("created_at") + F.make_dt_interval(days=F.col("retention_days").cast("int"))
                         > X.ts_lit(now))
 

@@ -59,10 +59,11 @@ def alert_list(alerts: DataFrame, projects: DataFrame, team_ids=None, project_na
         j = j.where(F.col("team_id").isin(list(team_ids))) if team_ids else j.limit(0)
     if project_name:
         j = j.where(F.col("project_name") == project_name)
-    by_team = Window.partitionBy("team_id")
-    w = by_team.orderBy(F.desc("created_at"), F.desc("id"))
-    ranked = j.withColumn("rn", F.row_number().over(w)).withColumn("total", F.count(F.lit(1)).over(by_team))
-    return ranked.where((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
+    # the page alone plans as a group limit before the shuffle; the totals are a combinable aggregate joined to it
+    w = Window.partitionBy("team_id").orderBy(F.desc("created_at"), F.desc("id"))
+    page = j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= offset + limit).where(F.col("rn") > offset)
+    total = j.groupBy("team_id").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("team_id", "_team")
+    return page.join(total, F.col("team_id").eqNullSafe(F.col("_team"))).drop("_team")
 
 
 def alerts_by_project(alerts: DataFrame) -> DataFrame:

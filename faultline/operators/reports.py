@@ -47,7 +47,9 @@ def error_log_report(log: DataFrame, since: _dt.datetime) -> DataFrame:
     latest time, most frequent first (``rn``)."""
     g = log.where(F.col("last_error_time") > X.ts_lit(since)).groupBy("name").agg(
         F.count(F.lit(1)).alias("error_count"), F.max("last_error_time").alias("max_last_error_time"))
-    return g
+    # one row per error name, ordered as the report shows them
+    rank = F.row_number().over(Window.orderBy(F.desc("error_count"), "name"))
+    return g.withColumn("rn", rank).orderBy("rn")
 
 
 def storage_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -65,4 +67,5 @@ def storage_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    rank = F.row_number().over(Window.orderBy(F.desc("total_bytes"), "name"))  # one row per dataset
+    return out.withColumn("rn", rank).orderBy("rn")

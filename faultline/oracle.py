@@ -317,7 +317,7 @@ def timeframe_seconds(expr: str) -> str:
 def alert_ctes(now: str) -> str:
     return f"""
 r_listed AS (SELECT ar.* FROM alert_rules ar JOIN projects p ON p.id = ar.project_id
-             ORDER BY ar.created_at DESC, ar.id DESC LIMIT 1000),
+             ),
 rw AS (SELECT id AS rule_id, project_id, threshold, condition, status, team_id, rule_name, timeframe, high_priority,
               {timeframe_seconds('timeframe')} AS tf, {now} - to_seconds(CAST({timeframe_seconds('timeframe')} AS BIGINT)) AS w_from
        FROM r_listed WHERE status IN ('Active', 'Triggered')),

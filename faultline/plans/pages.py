@@ -83,7 +83,8 @@ def _go_trunc(epoch: int, interval: int) -> int:
 
 
 def dashboard_grid(now: _dt.datetime, period: str = DEFAULT_PERIOD) -> tuple[int, int, int]:
-    """Bucket grid (start epoch, interval seconds, bucket count) of a dashboard."""
+    """Bucket grid (start epoch, interval seconds, bucket count) of a dashboard: every bucket up to ``now``, however
+    many the period has."""
     secs = duration_seconds(period or DEFAULT_PERIOD) or duration_seconds(DEFAULT_PERIOD)
     interval = 3600 if secs <= 86400 else (6 * 3600 if secs <= 7 * 86400 else 86400)
     now_e = int(now.replace(tzinfo=_dt.timezone.utc).timestamp())
@@ -92,12 +93,7 @@ def dashboard_grid(now: _dt.datetime, period: str = DEFAULT_PERIOD) -> tuple[int
     start, end = _go_trunc(start, interval), _go_trunc(end, interval)
     if end < now_e:
         end += interval
-    n = (end - start) // interval
-    if n > 100:
-        n = 100
-        interval = (end - start) // 100
-        start = _go_trunc(start, interval)
-    return start, interval, n
+    return start, interval, (end - start) // interval
 
 
 def dashboard_series(per_hour: DataFrame, now: _dt.datetime, period: str = DEFAULT_PERIOD) -> DataFrame:

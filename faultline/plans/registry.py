@@ -56,7 +56,7 @@ _RANGE_CLOSED = f"created_at >= {O.T_FROM} AND created_at <= {O.T_NOW}"
 
 @register("events_per_hour", O.sql(f"""
 SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live
-WHERE {_RANGE_HALF} GROUP BY 1, 2 ORDER BY ts, pid LIMIT 5000"""))
+WHERE {_RANGE_HALF} GROUP BY 1, 2"""))
 def _events_per_hour(spark, d):
     return Q.events_per_hour(A.ev(spark, d), FRM, NOW)
 
@@ -522,16 +522,21 @@ from faultline.plans import pages as G  # noqa: E402
 
 
 def _dash_sql(period: str) -> str:
-    start, interval, n = G.dashboard_grid(NOW, period)
-    frm = NOW - _dt.timedelta(seconds=G.duration_seconds(period))
+    """Own grid: edges are multiples of the interval counted from year 1; the last bucket holds ``now``."""
+    count, unit = int(period[:-1]), period[-1]
+    secs = count * {"h": 3600, "d": 86400}[unit]
+    step = 3600 if secs <= 86400 else 21600 if secs <= 604800 else 86400
     return O.sql(f"""
-SELECT make_timestamp(CAST((({start}) + g.b * {interval}) * 1000000 AS BIGINT)) AS bucket,
-       CAST(coalesce(c.c, 0) AS BIGINT) AS event_count
-FROM (SELECT range AS b FROM range({n})) g LEFT JOIN (
-  SELECT CAST(floor((epoch(ts) - ({start})) / {interval}) AS BIGINT) AS b, sum(event_count) AS c FROM (
-    SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live
-    WHERE created_at >= TIMESTAMP '{frm:%Y-%m-%d %H:%M:%S}' AND created_at < {O.T_NOW} GROUP BY 1, 2)
-  GROUP BY 1) c ON c.b = g.b""")
+SELECT make_timestamp(g.e * 1000000) AS bucket, CAST(coalesce(c.c, 0) AS BIGINT) AS event_count
+FROM (SELECT unnest(range(a, z, {step})) AS e FROM (
+  SELECT ((top - {secs} + 62135596800) // {step}) * {step} - 62135596800 AS a,
+         CASE WHEN ((top + 62135596800) // {step}) * {step} - 62135596800 < n
+              THEN ((top + 62135596800) // {step} + 1) * {step} - 62135596800
+              ELSE ((top + 62135596800) // {step}) * {step} - 62135596800 END AS z
+  FROM (SELECT CAST(epoch({O.T_NOW}) AS BIGINT) AS n, (CAST(epoch({O.T_NOW}) AS BIGINT) // 3600 + 1) * 3600 AS top))) g
+LEFT JOIN (
+  SELECT ((CAST(epoch(created_at) AS BIGINT) // 3600 * 3600 + 62135596800) // {step}) * {step} - 62135596800 AS e, count(*) AS c
+  FROM live WHERE created_at >= {O.T_NOW} - to_seconds({secs}) AND created_at < {O.T_NOW} GROUP BY 1) c ON c.e = g.e""")
 
 
 def _dash(period: str):
@@ -872,10 +877,11 @@ def _query_log_report(spark, d):
 
 
 @register("error_log_report", O.sql(f"""
+SELECT *, row_number() OVER (ORDER BY error_count DESC, name) AS rn FROM (
 SELECT name, count(*) AS error_count, max(last_error_time) AS max_last_error_time FROM (
   SELECT 'ERR_' || l_returnflag || '_' || l_linestatus || '_' || CAST(l_linenumber % 3 AS VARCHAR) AS name,
          l_shipdate + to_seconds(CAST(l_orderkey % 86400 AS BIGINT)) AS last_error_time FROM lineitem)
-WHERE last_error_time > TIMESTAMP '{A.ERROR_LOG_SINCE:%Y-%m-%d %H:%M:%S}' GROUP BY name"""))
+WHERE last_error_time > TIMESTAMP '{A.ERROR_LOG_SINCE:%Y-%m-%d %H:%M:%S}' GROUP BY name)"""))
 def _error_log_report(spark, d):
     return RP.error_log_report(A.error_log(spark, d), A.ERROR_LOG_SINCE)
 
@@ -926,8 +932,7 @@ def _stream_events_per_hour(spark, d):
     return ST.hourly_counts(spark, out)
 
 
-@register("stream_issue_upsert", ORACLE["issue_upsert"])
-def _stream_issue_upsert(spark, d):
+def _run_issue_stream(spark, d):
     raw = A.raw_envelopes(spark, d)
     path = L.scratch_path(spark, "stream-raw")
     ST.write_json_files(raw.withColumnRenamed("received_at", "created_at"), path, "created_at", _STREAM_FILES)
@@ -935,8 +940,19 @@ def _stream_issue_upsert(spark, d):
     stream = ST.json_stream(spark, path, T_raw(schema)).withColumnRenamed("created_at", "received_at")
     issues, events, ck = (L.scratch_path(spark, "stream-issues"), L.scratch_path(spark, "stream-ev"),
                           L.scratch_path(spark, "ck"))
-    ST.stream_issue_upsert(stream, A.projects(spark, d), issues, events, ck)
-    return ST.latest_snapshot(spark, issues)
+    rejects = L.scratch_path(spark, "stream-rejects")
+    ST.stream_issue_upsert(stream, A.projects(spark, d), issues, events, rejects, ck)
+    return issues, rejects
+
+
+@register("stream_ingest_rejects", _raw_sql("SELECT i AS envelope_id, status AS reason FROM rs WHERE status <> 'ok'"))
+def _stream_ingest_rejects(spark, d):
+    return spark.read.parquet(_run_issue_stream(spark, d)[1]).select("envelope_id", "reason")
+
+
+@register("stream_issue_upsert", ORACLE["issue_upsert"])
+def _stream_issue_upsert(spark, d):
+    return ST.latest_snapshot(spark, _run_issue_stream(spark, d)[0])
 
 
 def T_raw(schema):
@@ -965,7 +981,7 @@ bn AS (SELECT ub.v, (SELECT max(created_at) FROM ev WHERE created_at <= ub.hi
                      AND created_at > coalesce((SELECT u2.hi FROM ub u2 WHERE u2.v = ub.v - 1), TIMESTAMP '0001-01-01'))
                  AS now FROM ub),
 r_listed AS (SELECT ar.* FROM alert_rules ar JOIN projects p ON p.id = ar.project_id
-             ORDER BY ar.created_at DESC, ar.id DESC LIMIT 1000),
+             ),
 rw AS (SELECT id AS rule_id, project_id, threshold, condition, status, {O.timeframe_seconds('timeframe')} AS tf
        FROM r_listed WHERE status IN ('Active', 'Triggered')),
 win AS (SELECT bn.v, bn.now, rw.*, bn.now - to_seconds(CAST(rw.tf AS BIGINT)) AS w_from FROM bn CROSS JOIN rw),

@@ -6,7 +6,8 @@ DataFrame of envelopes (one row each; read them with ``spark.read.text(...,
 wholetext=True)``, ``binaryFile`` or from a stream) into typed event rows plus
 a dead-letter DataFrame with a ``reason`` column.
 
-The event JSON is parsed once into a VARIANT (``try_parse_json``).  Spark's
+The event JSON is parsed once into a VARIANT (``try_parse_json``; of a repeated
+key the last value counts, as in the original's decoder).  Spark's
 ``from_json`` silently turns ``"level": 5`` into the string "5", while the
 original decoder rejects a wrong JSON type; so every field is type-checked on
 the variant (``schema_of_variant``) before the typed struct is extracted with
@@ -227,6 +228,7 @@ def parse_envelopes(raw: DataFrame, body: str = "body", project_id: str = "proje
     ``threads`` and ``extra``.  ``rejects`` keeps the input columns plus
     ``reason``.  Everything is row-local: no shuffle.
     """
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = F.split(F.col(body), "\n", -1)
     staged = freeze(
         raw,

@@ -76,3 +76,24 @@ def test_ingested_rows_follow_the_event_schema(spark):
     for f in EVENT.fields:
         assert f.name in got, f.name
         assert got[f.name].simpleString() == f.dataType.simpleString(), f.name
+
+
+def _raw(spark, rows):
+    cols = ("envelope_id long, project_id string, auth string, remote_addr string, received_at timestamp_ntz, "
+            "body string")
+    return spark.createDataFrame(rows, cols)
+
+
+def test_equal_bodies_get_ids_of_their_own(spark):
+    at = dt.datetime(2024, 1, 1, 10)
+    body = '{}\n{"type":"event"}\n{"message":"m"}'
+    raw = _raw(spark, [(i, "1", "sentry_key=k", "10.0.0.1:5", at, body) for i in range(40)])
+    projects = spark.createDataFrame([(1, "k")], "id int, key string")
+    ids = lambda n: sorted(r[0] for r in I.ingest(raw.repartition(n), projects)[0].select("event_id").collect())
+    assert len(set(ids(1))) == 40
+    assert ids(1) == ids(7)
+
+
+def test_repeated_key_takes_the_last_value(spark):
+    p = _parse(spark, '{"message":"first","message":"last","level":"error"}')
+    assert p.select("event.message").first()[0] == "last"

@@ -10,7 +10,7 @@ def _plan(df) -> str:
 
 def test_metrics_prune_and_partially_aggregate(spark):
     p = _plan(R.SPARK["issue_metrics"](spark, SF_SMALL))
-    assert "PartitionFilters: [isnotnull(week" in p or "PartitionFilters" in p
+    assert "PartitionFilters: [isnotnull(week" in p
     assert "partial_count" in p
     assert "PushedFilters" in p
 
@@ -20,10 +20,19 @@ def test_saved_searches_are_broadcast(spark):
     assert "Broadcast" in p
 
 
-def test_alert_rules_broadcast_not_cartesian(spark):
+def test_alert_rules_join_on_keys_and_prune_weeks(spark):
     p = _plan(R.SPARK["alert_evaluate"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in p
-    assert "CartesianProduct" not in p
+    assert "CartesianProduct" not in p and "NestedLoop" not in p
+    assert "PartitionFilters: [isnotnull(week" in p
+
+
+def test_retention_reads_no_expired_week(spark):
+    p = _plan(R.SPARK["retention_sweep"](spark, SF_SMALL))
+    assert "date_add(week" in p[p.index("PartitionFilters"):]
+
+
+def test_alert_page_is_a_group_limit(spark):
+    assert "WindowGroupLimit" in _plan(R.SPARK["alert_list"](spark, SF_SMALL))
 
 
 def test_neighbors_have_no_issue_wide_window(spark):
