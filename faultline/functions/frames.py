@@ -20,18 +20,11 @@ def freeze(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """Deal the rows of a table of fewer files than cores to all cores.
 
-    The parsing and normalization jobs are CPU-bound per row; a small input
-    stored as one Parquet row group would otherwise run in a single task.  A
-    scan that already has enough splits (any real-size input) is returned
-    unchanged, so this never adds a shuffle at scale.  Filters and column
-    pruning still reach the scan below the repartition.
+    The parsing and normalization jobs are CPU-bound per row, and a file of one
+    row group is one task.  A table of many files, as large inputs are, stays
+    as it is scanned.
     """
-    spark = df.sparkSession
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a remote session: leave the scan as it is
-        return df
-    return df.repartition(want) if have < want else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -157,10 +157,10 @@ def tag_value_percent(events: DataFrame, frm, to, per_tag: int = 4, limit: int =
     top = _top_per_key(agg, ["gid", "tag"], [F.desc("event_count"), F.asc("value")], per_tag)
     top = _top_per_key(top, ["gid"], [F.desc("event_count"), F.asc("tag"), F.asc("value")], limit)
     totals = agg.groupBy("gid", "tag").agg(F.sum("event_count").cast("bigint").alias("tag_count"))
-    totals = totals.withColumn("key_rank", F.row_number().over(
-        Window.partitionBy("gid").orderBy(F.desc("tag_count"), F.asc("tag"))))
-    joined = top.join(totals, ["gid", "tag"], "left")
-    pct = F.when(F.col("key_rank") <= limit, F.col("event_count") / F.col("tag_count") * 100).otherwise(F.lit(0.0))
+    within = _top_per_key(totals, ["gid"], [F.desc("tag_count"), F.asc("tag")], limit)  # a group limit
+    within = within.select("gid", "tag", F.lit(True).alias("within"))
+    joined = top.join(totals, ["gid", "tag"], "left").join(within, ["gid", "tag"], "left")
+    pct = F.when(F.col("within"), F.col("event_count") / F.col("tag_count") * 100).otherwise(F.lit(0.0))
     return joined.select(
         "gid", "tag", "value", "event_count", "first_seen", "last_seen", "tag_count",
         F.round(pct, 6).alias("percent"),

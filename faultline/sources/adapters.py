@@ -47,9 +47,14 @@ LEVEL_BY_TYPE = {"error": "error", "click": "info", "view": "debug", "signup": "
 OS_BY_MOD3 = {0: "linux", 1: "darwin"}  # event_id % 3 = 2 -> no os tag
 
 
+#: Tables whose rows are parsed or normalized one by one.
+PARSED = ("events", "documents")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in PARSED else df
 
 
 def _kv(key: str, value: Column) -> Column:

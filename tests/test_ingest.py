@@ -97,3 +97,11 @@ def test_equal_bodies_get_ids_of_their_own(spark):
 def test_repeated_key_takes_the_last_value(spark):
     p = _parse(spark, '{"message":"first","message":"last","level":"error"}')
     assert p.select("event.message").first()[0] == "last"
+
+
+def test_ipv6_is_checked_and_canonical(spark):
+    cases = {"2001:DB8:0:0:0:0:0:1": "2001:db8::1", "::": "::", "::1": "::1", "1::": "1::", "a:b": None, "1:::2": None,
+             "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9": None, "0001:0:0:2:0:0:0:3": "1:0:0:2::3",
+             "1::2::3": None, ":1::": None, "12345::": None, "1:0:2:3:4:5:6:7": "1:0:2:3:4:5:6:7", "fe80::0": "fe80::"}
+    df = spark.createDataFrame([(k,) for k in cases], "a string").select("a", I.canonical_v6(F.col("a")).alias("c"))
+    assert {r["a"]: r["c"] for r in df.collect()} == cases
