@@ -232,7 +232,7 @@ def label_words(w: Words, logp: np.ndarray, can: np.ndarray) -> tuple[np.ndarray
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """docs(..., text) -> its other columns, lang_pred, score, spans.
+    """docs(..., text) -> its other columns, lang_pred, score, spans (these replace columns of the same names).
 
     spans: array of (start, end, lang), code points, end exclusive, from the first letter of a run of equally labelled
     words to the last.  lang_pred: the language with most letters in spans (ties: first by name); ``und`` without a
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
     """
     names, logp, can = model
     shared = docs.sparkSession.sparkContext.broadcast((logp, can))
-    cols = [c for c in docs.columns if c != "text"]
+    cols = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "spans")]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches):
@@ -276,5 +276,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[s], np.arange(rows + 1)).astype(np.int32)), spans)
                 yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(kinds[pred], pa.string()), pa.array(value), lists], names=cols + ["lang_pred", "score", "spans"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
     return map_arrow(docs, run, f"{kinds}lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")

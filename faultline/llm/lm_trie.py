@@ -372,8 +372,10 @@ def train_model(train: DataFrame) -> Model:
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, ...) -> its other columns and n_tokens, n_known, base_score, score (log10)."""
-    cols = [c for c in docs.columns if c != "text"]
+    """docs(text, ...) -> its other columns and n_tokens, n_known, base_score, score (log10); these replace columns of the
+    same names."""
+    new = ["n_tokens", "n_known", "base_score", "score"]
+    cols = [c for c in docs.columns if c != "text" and c not in new]
     down = model.denominator()
 
     def run(batches):
@@ -392,7 +394,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 rows = len(off) - 1
                 known = np.add.reduceat((n > 0).astype(np.int64), off[:-1])
                 out = [np.diff(off), known, np.add.reduceat(np.log10(p), off[:-1]), np.add.reduceat(np.log10(full), off[:-1])]
-                yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(x) for x in out], names=cols + ["n_tokens", "n_known", "base_score", "score"])
+                yield pa.record_batch(rest.slice(a, rows).columns + [pa.array(x) for x in out], names=cols + new)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return map_arrow(docs, run, f"{kinds}, n_tokens long, n_known long, base_score double, score double")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
+    return map_arrow(docs, run, f"{kinds}n_tokens long, n_known long, base_score double, score double")

@@ -54,21 +54,29 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "target", rate.alias("rate"))
 
 
+def _planned(docs: DataFrame) -> DataFrame:
+    """docs and __size, __source_size, __target, __copies."""
+    targets = source_targets(docs.select("source", n_words().alias("size")))
+    targets = materialize(targets.toDF("__source", "__source_size", "__target", "__rate"), "targets")
+    out = docs.withColumn("__size", n_words()).join(targets, F.col("source").eqNullSafe(F.col("__source")))
+    whole = F.floor("__rate")
+    extra = (draw() < F.col("__rate") - whole).cast("long")
+    return out.withColumn("__copies", whole + extra).drop("__source", "__rate")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> its columns and size, source_size, target, copies.
+    """docs(doc_id, text, source, ...) -> its columns and size, source_size, target, copies (these replace columns of the
+    same names).
 
     Null texts have size 0; null sources are one source.  Rows with one id are copied alike.  The table of targets is
     written first, so its size decides how it is joined: small ones are broadcast and texts stay where they are.
     """
-    sized = docs.select("source", n_words().alias("size"))
-    targets = materialize(source_targets(sized).withColumnRenamed("source", "__source"), "targets")
-    out = docs.withColumn("size", n_words()).join(targets, F.col("source").eqNullSafe(F.col("__source")))
-    whole = F.floor("rate")
-    extra = (draw() < F.col("rate") - whole).cast("long")
-    return out.withColumn("copies", whole + extra).drop("__source", "rate")
+    new = ["size", "source_size", "target", "copies"]
+    return _planned(docs).select(*[c for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mixture takes it, numbered from 1 by the column ``copy``."""
-    plan = mixture(docs.select(*docs.columns)).where("copies > 0")
-    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+    """Pipeline stage: every document as often as the mixture takes it, numbered from 1 by the column ``copy`` (which
+    replaces one of that name)."""
+    number = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")
+    return _planned(docs).where("__copies > 0").select(*[c for c in docs.columns if c != "copy"], number)

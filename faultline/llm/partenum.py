@@ -6,9 +6,11 @@ Equal sets are one node, identified by a 64-bit hash of the set, so copies cost
 Two sets of sizes s <= t with Jaccard similarity >= num / den have t <= s * den / num and differ in at most
 (den - num) * (s + t) / (den + num) elements.  Sizes fall into bands whose ends grow by den / num; a set
 emits signatures for its own band and, if a partner may lie there, for the next one.  In a band with at most K
-differences the feature domain is hashed into ceil((K + 1) / 2) groups of 3 parts: some group holds at most one
-difference, so two of its three parts agree.  Each (group, subset of two parts) gives one signature: hash of the
-features in it.  So every pair of similar sets shares a signature; no candidate is capped or dropped.
+differences the feature domain is hashed into ceil((K + 1) / 2) + m groups of 3 parts: at least m + 1 groups hold at
+most one difference each, so two of their three parts agree.  Each (group, subset of two parts) gives one signature:
+hash of the features in it.  So every pair of similar sets shares signatures in m + 1 groups; no candidate is capped.
+A signature of no features says nothing and would bring unrelated sets together.  A set with such signatures in m
+groups or fewer leaves them out: of the m + 1 shared groups one has features, for both sets alike.
 
 Candidates are then confirmed exactly:
 
@@ -22,8 +24,8 @@ Candidates are then confirmed exactly:
    task and is counted, which joins nearly all that belong together; then every pair that still lies between components
    does, so the result has every link's effect on the components.
 
-Comparisons first use the parity sketch: 512 bits (2048 for sets over ``LARGE``), each the parity of the features
-hashed to it; a long sketch folds into a short one.  The number of bits in which two sketches differ never exceeds
+Comparisons first use the parity sketch: 512 bits, four times as many for each further factor 4 of the size over
+``SMALL``, each the parity of the features hashed to it; a long sketch folds into a short one.  The number of bits in which two sketches differ never exceeds
 the number of features in which the sets differ, so a pair with more different bits than allowed is no link.  The
 rest is counted exactly on the sets.
 """
@@ -42,9 +44,8 @@ from faultline.llm.components import connected_components
 from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize
 
 U64 = np.uint64
-SKETCH_BITS = 2048
 SHORT_BITS = 512
-LARGE = 1200
+SMALL = 900
 BLOCK = 1024
 #: Signatures of one shard, which one task sorts in memory.  Inside a shard 32 bits of a signature are kept: two
 #: different ones meet with a chance of some 10^-4, which costs a comparison and loses nothing.
@@ -78,15 +79,48 @@ def set_ids(rows: int, doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray
     return size, W.mix(total + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def sketches(rows: int, doc: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    slot = doc * SKETCH_BITS + (W.mix(feature + U64(77)) >> U64(64 - 11)).astype(np.int64)
-    bits = np.bincount(slot, minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
-    return np.packbits(bits.reshape(rows, SKETCH_BITS), axis=1)
+def sketch_level(size: np.ndarray) -> np.ndarray:
+    """Sketches of level k have SHORT_BITS * 4 ** k bits."""
+    return np.ceil(np.log2(np.maximum(size, SMALL) / SMALL) / 2).astype(np.int64)
 
 
-def packed_sketches(size: np.ndarray, sk: np.ndarray) -> pa.Array:
-    short = np.bitwise_xor.reduce(sk.reshape(len(sk), SKETCH_BITS // SHORT_BITS, -1), axis=1)
-    return pa.array([None if n == 0 else (x if n > LARGE else y).tobytes() for n, x, y in zip(size, sk, short)], pa.binary())
+def sketches(size: np.ndarray, doc: np.ndarray, feature: np.ndarray) -> pa.Array:
+    """Packed parity sketch of each set; null for an empty one."""
+    out = np.empty(len(size), dtype=object)
+    level = np.where(size > 0, sketch_level(size), -1)
+    h = W.mix(feature + U64(77))
+    for k in np.unique(level[level >= 0]):
+        rows = np.flatnonzero(level == k)
+        bits = SHORT_BITS << (2 * int(k))
+        place = np.full(len(size), -1, dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        mine = level[doc] == k
+        slot = place[doc[mine]] * bits + (h[mine] & U64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(slot, minlength=len(rows) * bits) & 1).astype(np.uint8)
+        for r, x in zip(rows, np.packbits(odd.reshape(len(rows), bits), axis=1)):
+            out[r] = x.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def folded(data: list[bytes], level: int) -> np.ndarray:
+    """Sketches of this level or higher as words of this level's length."""
+    size = (SHORT_BITS << (2 * level)) // 8
+    fold = [x if len(x) == size else np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size)).tobytes() for x in data]
+    return np.frombuffer(b"".join(fold), dtype=U64).reshape(len(data), -1)
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, at the lower level of the two."""
+    out = np.empty(len(x), dtype=np.int64)
+    short = np.array([min(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64)
+    for size in np.unique(short):
+        idx = np.flatnonzero(short == size)
+        level = (int(size * 8) // SHORT_BITS).bit_length() // 2
+        for a in range(0, len(idx), 4096):
+            i = idx[a : a + 4096]
+            u, v = (folded([col[j] for j in i], level) for col in (x, y))
+            out[i] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def bands(num: int, den: int, upto: int) -> np.ndarray:
@@ -109,7 +143,8 @@ def signatures(size: np.ndarray, doc: np.ndarray, feature: np.ndarray, num: int,
     band = np.concatenate((own, own[also] + 1))
     most = first[band + 1] - 1
     differ = 2 * most * (den - num) // (den + num)
-    group = np.maximum((differ + 2) // 2, 1)  # ceil((K + 1) / 2); K = 0 has one group, whose subsets all agree
+    spare = np.minimum(differ // 8, 3)
+    group = np.maximum((differ + 2) // 2, 1) + spare  # K = 0 has one group, whose subsets all agree
     cell = np.cumsum(group * 3) - group * 3
     sums = np.zeros(int((group * 3).sum()), dtype=U64)
     begin = np.searchsorted(doc, row)
@@ -120,8 +155,10 @@ def signatures(size: np.ndarray, doc: np.ndarray, feature: np.ndarray, num: int,
     seed = W.mix(band.astype(U64) + U64(1000))
     part = W.mix(f + np.repeat(seed, count)) >> U64(32)
     part = ((part * np.repeat((group * 3).astype(U64), count)) >> U64(32)).astype(np.int64)
-    np.add.at(sums, part + np.repeat(cell, count), W.mix(f + U64(1)))
+    part += np.repeat(cell, count)
+    np.add.at(sums, part, W.mix(f + U64(1)))
     parts = sums.reshape(-1, 3)
+    held = np.bincount(part, minlength=len(sums)).reshape(-1, 3)
     who = np.repeat(np.arange(len(row)), group)
     number = np.arange(len(parts)) - np.repeat(np.cumsum(group) - group, group)
     base = W.mix(seed[who] + number.astype(U64) * U64(3))
@@ -130,8 +167,10 @@ def signatures(size: np.ndarray, doc: np.ndarray, feature: np.ndarray, num: int,
     ], axis=1)
     whole = differ[who] == 0  # one signature is enough there: that of the whole set
     out[whole] = W.mix(base[whole] + parts[whole].sum(axis=1, dtype=U64))[:, None]
-    keep = np.ones((len(parts), 3), dtype=bool)
-    keep[whole, 1:] = False
+    bare = np.stack([held[:, (i + 1) % 3] + held[:, (i + 2) % 3] == 0 for i in range(3)], axis=1)
+    several = np.bincount(who, weights=bare.any(axis=1), minlength=len(row)) > spare
+    keep = ~bare | several[who][:, None]
+    keep[whole, 0], keep[whole, 1:] = True, False
     return np.repeat(row[who], 3)[keep.ravel()], out.ravel()[keep.ravel()]
 
 
@@ -159,7 +198,7 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
             for a, rows, doc, feature in shingle_sets(buf, off, n):
                 size, node = set_ids(rows, doc, feature)
                 empty = size == 0
-                sk = packed_sketches(size, sketches(rows, doc, feature))
+                sk = sketches(size, doc, feature)
                 ids = pa.array(node.view(np.int64), mask=empty)
                 yield pa.record_batch([batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(size), ids, sk], schema)
 
@@ -250,46 +289,59 @@ def allowed(s: np.ndarray, t: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(least > np.minimum(s, t), -1, both - 2 * least)
 
 
-def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Bits in which the sketches of each pair differ; of unequal lengths the longer one is folded."""
-    out = np.empty(len(x), dtype=np.int64)
-    short = SHORT_BITS // 8
-    kind = np.array([(len(a) > short) & (len(b) > short) for a, b in zip(x, y)], dtype=bool)
-
-    def words(col, idx, long):
-        if long:
-            return np.frombuffer(b"".join(col[i] for i in idx), dtype=U64).reshape(len(idx), -1)
-        return _folded([col[i] for i in idx])
-
-    for long in (False, True):
-        idx = np.flatnonzero(kind == long)
-        if len(idx):
-            out[idx] = np.bitwise_count(words(x, idx, long) ^ words(y, idx, long)).sum(axis=1, dtype=np.int64)
-    return out
-
-
-def _folded(col: list[bytes]) -> np.ndarray:
-    short = SHORT_BITS // 8
-    fold = [a if len(a) == short else np.bitwise_xor.reduce(np.frombuffer(a, dtype=np.uint8).reshape(-1, short)).tobytes() for a in col]
-    return np.frombuffer(b"".join(fold), dtype=U64).reshape(len(col), -1)
-
-
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links among the distinct pairs (a, b): sizes, then sketches, then the sets themselves."""
-    spark: SparkSession = docs.sparkSession
+def confirm(pairs: DataFrame, links: DataFrame | None, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Adds the links among the distinct pairs (a, b) -> (links, components).
 
+    Sizes and sketches leave few pairs.  Of these each b is first counted against its closest a; after that only pairs
+    that still lie between components are, so sets travel a few times each however many pairs a group has.
+    """
     def sketch(batches):
         for batch in batches:
             s, t = (batch.column(i).to_numpy() for i in (2, 3))
-            ok = differing(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= allowed(s, t, num, den)
-            yield pa.record_batch([c.filter(pa.array(ok)) for c in batch.columns[:4]], names=["a", "b", "s", "t"])
+            apart = differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ok = pa.array(apart <= allowed(s, t, num, den))
+            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(apart).filter(ok)], names=["a", "b", "d"])
 
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("sketch").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("sketch").alias("y"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y")
-    near = materialize(map_arrow(near, sketch, "a long, b long, s long, t long"), "near")
-    want = near.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = spark.sparkContext.broadcast(bitmap(want, "node"))
+    near = materialize(map_arrow(near, sketch, "a long, b long, d long"), "near")
+    sets = materialize(sets_of(near.select(F.explode(F.array("a", "b")).alias("node")), docs, n), "sets")
+
+    def count(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                ok.append(den * common >= num * (len(x) + len(y) - common))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
+
+    def counted(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        both = both.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").select("a", "b", "x", "y")
+        return materialize(map_arrow(both, count, "a long, b long"), "links")
+
+    first = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select("c.a", "b")
+    new = counted(first)
+    links = new if links is None else links.unionByName(new)
+    comp = materialize(connected_components(links), "components")
+    left = near.join(first, ["a", "b"], "left_anti")
+    left = left.join(comp.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+    left = left.join(comp.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    left = materialize(left.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"), "left")
+    if not left.isEmpty():
+        new = counted(left)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comp = materialize(connected_components(links), "components")
+    return links, comp
+
+
+def sets_of(want: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, data): the features of the wanted nodes, packed."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(want, "node"))
 
     def sets(batches):
         mask = np.frombuffer(wanted.value, dtype=U64)
@@ -307,22 +359,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: in
                     yield pa.record_batch([pa.array(node[i]), data], names=["node", "data"])
 
     whole = map_arrow(docs.select("text"), sets, "node long, data binary")
-    whole = whole.join(want.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    whole = materialize(whole, "sets")
-
-    def count(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(den * common >= num * (len(x) + len(y) - common))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
-
-    pair = near.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
-    pair = pair.join(whole.select(F.col("node").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-    return map_arrow(pair, count, "a long, b long")
+    return whole.join(want.distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
 def compare_blocks(open_members: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
@@ -341,12 +378,25 @@ def compare_blocks(open_members: DataFrame, num: int, den: int, closest: bool) -
         """All rows of some groups, sorted by group."""
         sig, p, q, mine, node, root, size = (tab.column(i).to_numpy() for i in range(7))
         data = tab.column(7).to_pylist()
-        large = size > LARGE
-        sk = _folded(data)
-        full = np.zeros((int(large.sum()), SKETCH_BITS // 64), dtype=U64)
-        place = np.cumsum(large) - 1
-        for k, r in enumerate(np.flatnonzero(large)):
-            full[k] = np.frombuffer(data[r], dtype=U64)
+        level = sketch_level(size)
+        words, place = [], []
+        for k in range(int(level.max()) + 1):  # sketches of this level or higher
+            has = level >= k
+            words.append(folded([data[r] for r in np.flatnonzero(has)], k))
+            place.append(np.cumsum(has) - 1)
+
+        def apart_at(u, v):
+            """Differing bits of pairs, at the lower level of the two."""
+            out = np.empty(len(u), dtype=np.int64)
+            low = np.minimum(level[u], level[v])
+            for k in np.unique(low):
+                idx = np.flatnonzero(low == k)
+                step = max(1, (1 << 21) // words[k].shape[1])
+                for c in range(0, len(idx), step):
+                    i = idx[c : c + step]
+                    out[i] = np.bitwise_count(words[k][place[k][u[i]]] ^ words[k][place[k][v[i]]]).sum(axis=1, dtype=np.int64)
+            return out
+
         rows = len(sig)
         ends = np.flatnonzero(np.concatenate(((sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]))) + 1
         count = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(rows) - 1
@@ -360,11 +410,7 @@ def compare_blocks(open_members: DataFrame, num: int, den: int, closest: bool) -
             most = allowed(size[u], size[v], num, den)
             ok = (most >= 0) & (root[u] != root[v]) & ((p[u] == q[u]) | (mine[u] != mine[v]))
             u, v, most = u[ok], v[ok], most[ok]
-            apart = np.bitwise_count(sk[u] ^ sk[v]).sum(axis=1, dtype=np.int64)
-            ok = apart <= most
-            u, v, most, apart = u[ok], v[ok], most[ok], apart[ok]
-            both = np.flatnonzero(large[u] & large[v])
-            apart[both] = np.bitwise_count(full[place[u[both]]] ^ full[place[v[both]]]).sum(axis=1, dtype=np.int64)
+            apart = apart_at(u, v)
             ok = apart <= most
             u, v, apart = u[ok], v[ok], apart[ok]
             if closest and len(u):
@@ -436,16 +482,13 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
 
     nodes = map_arrow(known.select("node", "size", "sketch"), some, "node long, size long, sketch binary")
     nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
-    links = materialize(confirm(stars, nodes, docs, n, num, den), "links")
-    comp = materialize(connected_components(links), "components")
-
+    links, comp = confirm(stars, None, nodes, docs, n, num, den)
     for closest in (True, False):
         rows = open_members(bucket, comp, nodes)
         pairs = compare_blocks(rows, num, den, closest).join(stars, ["a", "b"], "left_anti")
-        more = materialize(confirm(materialize(pairs, "pairs"), nodes, docs, n, num, den), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = materialize(connected_components(links), "components")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.isEmpty():
+            links, comp = confirm(pairs, links, nodes, docs, n, num, den)
 
     root = nodes_all.select("doc_id", "text_key", F.col("size").alias("n_shingles"), "node").join(comp, "node", "left")
     root = root.withColumn("root", F.coalesce("root", "node"))

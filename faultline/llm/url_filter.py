@@ -109,14 +109,15 @@ def build_filter(listed: DataFrame) -> np.ndarray:
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """pages(..., url) -> its columns and host, path, rule, canonical, possible, listed, verdict.
+    """pages(..., url) -> its columns and host, path, rule, canonical, possible, listed, verdict (these replace columns of
+    the same names).
 
     listed(url): blocked URLs.  verdict: the rule's, else block if the canonical URL is listed, else allow.  A null URL
     or one without ``://`` has empty host and path and is never listed.  Every row of pages stays, with repetitions.
     """
     known = listed.select(canonical("url").alias("canonical")).where("canonical IS NOT NULL").distinct()
     shared = pages.sparkSession.sparkContext.broadcast(build_filter(known))
-    cols = pages.columns
+    cols = [c for c in pages.columns if c not in ("host", "path", "rule", "canonical", "possible", "listed", "verdict")]
     rows = pages.select(*cols, host().alias("host"), path().alias("path"), canonical().alias("canonical"))
     names = rows.columns
 

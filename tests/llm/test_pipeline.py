@@ -68,3 +68,25 @@ def test_decisions_take_effect(spark, tmp_path):
     assert set(kept["secrets"]) == clean
     assert all(("[assign]" in t) == (i in secret) for i, t in kept["secrets"].items())
     assert set(kept["mixture"]) <= clean and kept["mixture"]
+
+
+def test_columns_that_clash_with_outputs(spark, edge_dir):
+    from pyspark.sql import functions as F
+
+    from faultline.llm import langid, lm_trie, mixture, url_filter
+
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    names = ["size", "source_size", "target", "copies", "copy", "lang_pred", "spans", "n_tokens", "base_score", "rate", "shard", "node", "sig"]
+    wide = docs.select("*", *[F.lit("x").alias(c) for c in names])
+    n = docs.count()
+    model = langid.fit(docs)
+    assert langid.identify(wide, model).count() == n
+    assert lm_trie.score_texts(wide, lm_trie.train_model(docs)).count() == n
+    plan = mixture.mixture(wide)
+    assert plan.count() == n and plan.schema["size"].dataType.simpleString() == "bigint"
+    out = wide
+    for name, stage in C.STAGES:
+        out = stage(spark, out, edge_dir)
+        assert [c for c in out.columns if c != "copy"] == [c for c in wide.columns if c != "copy"], name
+    pages = spark.read.parquet(f"{edge_dir}/pages.parquet").withColumn("host", F.lit(1)).withColumn("listed", F.lit(2))
+    assert url_filter.url_filter(pages, pages.limit(0), []).count() == pages.count()
