@@ -32,3 +32,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         later = step.select(F.col("a").alias("root"), "to")
         out = out.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return out
+
+
+def extend_components(comp: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components after more links: only the links between the roots of comp(node, root) are contracted."""
+    if comp is None:
+        return materialize(connected_components(new), "components")
+    ends = new.join(comp.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+    ends = ends.join(comp.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    more = connected_components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    more = materialize(more, "merged")
+    old = comp.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    old = old.select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(old.unionByName(more.join(comp, "node", "left_anti")), "components")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
-from faultline.llm.components import connected_components
+from faultline.llm.components import extend_components
 from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize
 
 U64 = np.uint64
@@ -289,8 +289,8 @@ def allowed(s: np.ndarray, t: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(least > np.minimum(s, t), -1, both - 2 * least)
 
 
-def confirm(pairs: DataFrame, links: DataFrame | None, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Adds the links among the distinct pairs (a, b) -> (links, components).
+def confirm(pairs: DataFrame, comp: DataFrame | None, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Adds the links among the distinct pairs (a, b) to the components(node, root).
 
     Sizes and sketches leave few pairs.  Of these each b is first counted against its closest a; after that only pairs
     that still lie between components are, so sets travel a few times each however many pairs a group has.
@@ -324,19 +324,12 @@ def confirm(pairs: DataFrame, links: DataFrame | None, nodes: DataFrame, docs: D
         return materialize(map_arrow(both, count, "a long, b long"), "links")
 
     first = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select("c.a", "b")
-    new = counted(first)
-    links = new if links is None else links.unionByName(new)
-    comp = materialize(connected_components(links), "components")
+    comp = extend_components(comp, counted(first))
     left = near.join(first, ["a", "b"], "left_anti")
     left = left.join(comp.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
     left = left.join(comp.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
     left = materialize(left.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"), "left")
-    if not left.isEmpty():
-        new = counted(left)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = materialize(connected_components(links), "components")
-    return links, comp
+    return comp if left.isEmpty() else extend_components(comp, counted(left))
 
 
 def sets_of(want: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -482,13 +475,13 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
 
     nodes = map_arrow(known.select("node", "size", "sketch"), some, "node long, size long, sketch binary")
     nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
-    links, comp = confirm(stars, None, nodes, docs, n, num, den)
+    comp = confirm(stars, None, nodes, docs, n, num, den)
     for closest in (True, False):
         rows = open_members(bucket, comp, nodes)
         pairs = compare_blocks(rows, num, den, closest).join(stars, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
-            links, comp = confirm(pairs, links, nodes, docs, n, num, den)
+            comp = confirm(pairs, comp, nodes, docs, n, num, den)
 
     root = nodes_all.select("doc_id", "text_key", F.col("size").alias("n_shingles"), "node").join(comp, "node", "left")
     root = root.withColumn("root", F.coalesce("root", "node"))

@@ -1,7 +1,6 @@
 import random
 
 import corpus_pipeline as C
-import pytest
 
 
 def test_stages(spark, edge_dir):
