@@ -59,8 +59,10 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while distance <= most and not up.where("to IS NOT NULL").isEmpty():
         jumps.append((distance, up))
         then = up.select(F.col("tree").alias("tree2"), F.col("node").alias("node2"), F.col("to").alias("to2"), F.col("score").alias("score2"))
-        both = _same(up, then, "to", "node2", "left")
-        up = materialize(both.select("tree", "node", F.col("to2").alias("to"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "up")
+        # Nodes that have reached their root are done; only the others go on.
+        both = _same(up.where("to IS NOT NULL"), then, "to", "node2")
+        on = both.select("tree", "node", F.col("to2").alias("to"), (F.col("score") + F.col("score2")).alias("score"))
+        up = materialize(on.unionByName(up.where("to IS NULL")), "up")
         distance *= 2
     parents = base.where("parent IS NOT NULL").select(F.col("tree").alias("tree2"), F.col("parent").alias("parent2")).distinct()
     leaves = _same(up.where("to IS NULL"), parents, "node", "parent2", "left_anti")
