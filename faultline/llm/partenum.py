@@ -207,7 +207,11 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
 
 
 def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFrame:
-    """Sets that share a signature with another: (sig, node, hub); hub: a smaller node of the bucket."""
+    """Sets that share a signature with another: distinct (sig, node, hub); hub: a smaller node of the bucket.
+
+    A set that recurs in several batches meets its local hub in each, so rows are made distinct after the shards: what
+    identifies a bucket by its rows counts each once.
+    """
     schema = pa.schema([("shard", pa.int32()), ("linked", pa.bool_()), ("data", pa.binary())])
 
     def emit(sig, node):
@@ -279,7 +283,7 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
         yield from bucket(now, parts)
 
     blobs = map_arrow(docs.select("text"), signed, "shard int, linked boolean, data binary")
-    return map_arrow(blobs.repartition(shards, "shard").sortWithinPartitions("shard"), shard, MEMBER)
+    return map_arrow(blobs.repartition(shards, "shard").sortWithinPartitions("shard"), shard, MEMBER).distinct()
 
 
 def allowed(s: np.ndarray, t: np.ndarray, num: int, den: int) -> np.ndarray:

@@ -104,6 +104,29 @@ def test_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == brute(rows, 4, 60, 100)
 
 
+def test_families_that_recur_in_every_partition(spark):
+    """Rows of a set and its local hub come from each partition; they count once when buckets are told apart."""
+    rng = random.Random(9)
+    vocab = ["v%d" % i for i in range(50)]
+    rows = list(enumerate(t for _ in range(6) for t in family(rng, vocab, 9, 14, 2)))
+    docs = lambda copies: spark.createDataFrame(spark.sparkContext.parallelize(rows * copies, copies), "doc_id long, text string")
+    alone = spark.createDataFrame([], "node long, root long")
+
+    def groups(docs):
+        bucket = P.members(docs.select("text"), 4, 60, 100, 4)
+        nodes = P.shingle_table(docs, 4).select("node", "size", "sketch").dropDuplicates(["node"])
+        held = {}
+        for r in P.open_members(bucket, alone, nodes).select("sig", "node").collect():
+            held.setdefault(r["sig"], set()).add(r["node"])
+        return {frozenset(x) for x in held.values()}
+
+    want = groups(docs(1))
+    assert len(want) > 20
+    assert groups(docs(2)) == want
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in P.jaccard_components(docs(4), 4, 60, 100).collect()]
+    assert sorted(got, key=str) == brute(rows * 4, 4, 60, 100)
+
+
 def test_stage_keeps_one_of_each_group(spark, edge_dir, edge_rows):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     out = P.near_duplicates(spark, docs, edge_dir)
