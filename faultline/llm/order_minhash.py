@@ -4,8 +4,8 @@ The k-mers of a text are its runs of ``K`` words (A-Z as they are; a text with f
 occurrence, so a repeated k-mer counts as often as it occurs.  Hashes of (k-mer, occurrence) are dealt to ``BINS`` bins
 by their own bits; each bin selects the ``L`` smallest, puts them back into text order and hashes the tuple.  Moving a
 passage changes tuples although the set of k-mers stays, which is what makes the signature follow edit distance.  One
-hash serves all bins (one-permutation hashing): bins look at the ``POOL`` smallest hashes of a text, four a bin on
-average; a bin without k-mers has no entry and one with fewer than L a shorter tuple.
+hash serves all bins (one-permutation hashing), and bins look at all hashes of a text: only one without k-mers has no
+entry, and one with fewer than L k-mers a shorter tuple.
 
 The work is in arrays inside the row: longs packed as (hash | position) are sorted as primitives, so the cost is
 n log n in the words of a text and no k-mer is shuffled.
@@ -22,9 +22,11 @@ from faultline.llm.shared import materialize
 K = 3
 L = 2
 BINS = 64
-POOL = 4 * BINS
-#: Bits for the position of a word; texts beyond 2 ** 24 words keep their order in steps of 2 ** 24.
+#: Most hashes of a text that the bins look at: all.
+POOL = None
+#: Bits for the position of a word (the hash keeps the others, of which the lowest BIN are the bin); texts beyond 2 ** 24 words keep their order in steps of 2 ** 24.
 POS = 24
+BIN = 6
 #: Rows of one bucket of neighbouring ids, and most buckets (their table is broadcast: 2.4 MB).
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 100_000
@@ -53,15 +55,21 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # ... the first place of each, and 0, 1, 2, ... along its run.
     df = _let(df, keep, ["__q", "__k"], __s=f"filter(transform(__k, (x, i) -> CASE WHEN i > 0 AND (__k[i - 1] & {head}) = (x & {head}) THEN -1 ELSE i END), i -> i >= 0)")
     df = _let(df, keep, ["__q", "__k"], __o=f"CASE WHEN size(__k) = 0 THEN {ints} ELSE flatten(transform(__s, (s, j) -> sequence(0, coalesce(get(__s, j + 1), size(__k)) - s - 1))) END")
-    # The smallest hashes of (k-mer, occurrence).
-    df = _let(df, keep, [], __p=f"""slice(sort_array(CASE WHEN size(__k) = 0 THEN transform(__q, (x, i) -> (xxhash64(x, 0) & {head}) | (i & {low}))
-        ELSE transform(__k, (x, i) -> (xxhash64(x & {head}, __o[i]) & {head}) | (x & {low})) END), 1, {POOL})""")
-    # (bin, rank in the pool), sorted by bin: the first L of a bin stay, as (bin, position, rank).
-    df = _let(df, keep, ["__p"], __b=f"sort_array(transform(__p, (x, i) -> ((shiftrightunsigned(x, {POS}) % {BINS}) << 32) | i))")
-    df = _let(df, keep, ["__p"], __t=f"""sort_array(transform(filter(__b, (x, i) -> i < {L} OR shiftright(__b[i - {L}], 32) <> shiftright(x, 32)),
-        x -> (shiftright(x, 32) << {POS + 16}) | ((__p[cast(x & 4294967295L AS int)] & {low}) << 16) | (x & 65535L)))""")
-    df = _let(df, keep, ["__p", "__t"], __g=f"filter(transform(__t, (x, i) -> CASE WHEN i > 0 AND shiftright(__t[i - 1], {POS + 16}) = shiftright(x, {POS + 16}) THEN -1 ELSE i END), i -> i >= 0)")
-    value = lambda at: f"(get(__p, cast(get(__t, {at}) & 65535L AS int)) & {head})"
+    # Hashes of (k-mer, occurrence) with the position, as (bin, rest of the hash, position) in signed order.
+    rest_of, top = 64 - POS - BIN, 1 << (63 - POS - BIN)
+    packed = lambda x, pos: f"""transform({x}, x -> shiftleft((shiftrightunsigned(x, {POS}) & {BINS - 1}L) ^ {BINS // 2}L, {64 - BIN})
+        | shiftleft(shiftrightunsigned(x, {POS + BIN}) ^ {top}L, {POS}) | ({pos}))"""
+    hashed = f"""CASE WHEN size(__k) = 0 THEN transform(__q, (x, i) -> (xxhash64(x, 0) & {head}) | (i & {low}))
+        ELSE transform(__k, (x, i) -> (xxhash64(x & {head}, __o[i]) & {head}) | (x & {low})) END"""
+    df = _let(df, keep, [], __p=f"sort_array({packed(hashed, f'x & {low}')})")
+    # The first L of each bin.
+    df = _let(df, keep, [], __f=f"filter(__p, (x, i) -> i < {L} OR shiftrightunsigned(__p[i - {L}], {64 - BIN}) <> shiftrightunsigned(x, {64 - BIN}))")
+    # Back in text order: (bin, position, place in __f), and the hashes.
+    df = _let(df, keep, [], __t=f"""sort_array(transform(__f, (x, i) -> shiftleft(shiftrightunsigned(x, {64 - BIN}) ^ {BINS // 2}L, {POS + 16}) | ((x & {low}) << 16) | i))""",
+              __h=f"""transform(__f, x -> shiftleft((shiftrightunsigned(x, {POS}) & {(1 << rest_of) - 1}L) ^ {top}L, {POS + BIN})
+        | shiftleft(shiftrightunsigned(x, {64 - BIN}) ^ {BINS // 2}L, {POS}))""")
+    df = _let(df, keep, ["__h", "__t"], __g=f"filter(transform(__t, (x, i) -> CASE WHEN i > 0 AND shiftright(__t[i - 1], {POS + 16}) = shiftright(x, {POS + 16}) THEN -1 ELSE i END), i -> i >= 0)")
+    value = lambda at: f"get(__h, cast(get(__t, {at}) & 65535L AS int))"
     rest = "".join(f", CASE WHEN i + {j} < coalesce(get(__g, j + 1), size(__t)) THEN {value(f'i + {j}')} END" for j in range(1, L))
     return _let(df, keep, [], **{out: f"transform(__g, (i, j) -> (shiftright(__t[i], {POS + 16}) << 32) | (xxhash64({value('i')}{rest}) & 4294967295L))"})
 

@@ -97,3 +97,19 @@ def test_order_matters(spark):
         rows = O.fingerprint(rows, c, "f" + c)
     got = rows.select(O.likeness("fa", "fb").alias("moved"), O.likeness("fa", "fc").alias("cut")).collect()[0]
     assert got["cut"] > 0.85 and got["moved"] < got["cut"] - 0.2
+
+
+def test_every_bin_of_a_long_text_selects(spark):
+    """All k-mers are looked at: each bin of a long text has its L smallest."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    grams = [h(*(h(f"w{j}") for j in range(i, i + O.K))) & ~LOW for i in range(20_000 - O.K + 1)]
+    bins = {}
+    for pos, g in enumerate(grams):
+        x = h_int(g, 0) & ~LOW
+        bins.setdefault(((x & M64) >> O.POS) % O.BINS, []).append((x, pos))
+    want = []
+    for b, held in sorted(bins.items()):
+        least = sorted(held)[: O.L]
+        want.append((b << 32) | (h(*[x for x, _ in sorted(least, key=lambda r: r[1])]) & 0xFFFFFFFF))
+    got = O.fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "f").collect()[0]["f"]
+    assert len(want) == O.BINS and got == want
