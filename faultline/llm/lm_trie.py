@@ -1,8 +1,8 @@
 """Bigram language model in sharded Elias-Fano tries, built and queried by Spark tasks.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and one end token per text, which is also the context of
-the first token.  Training counts every token and every pair of all training texts; pairs seen less than
-``MIN_PAIR`` times are not stored (their mass goes to the backoff weight, so the model still sums to one).
+the first token.  Training counts every token and every pair of all training texts, and every pair is stored, so a
+passage of one training text is known, too.
 
 * ``P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``; an unknown word has c = 0.
 * ``P(w | h) = max(c(h, w) - D, 0) / c(h) + b(h) P(w)`` for a stored pair, ``b(h) P(w)`` for another pair of a known
@@ -39,7 +39,8 @@ from faultline.llm.elias_fano import EliasFano, encode
 from faultline.llm.shared import map_arrow, materialize, shared_path
 
 U64 = np.uint64
-MIN_PAIR = 2
+#: Least count of a stored pair: all.
+MIN_PAIR = 1
 DISCOUNT = 0.75
 CODES = 65535
 #: Hash of the end token.
@@ -288,7 +289,7 @@ def pair_ids(model: Model, t: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
 
 
 def write_pairs(train: DataFrame, vocab: DataFrame, model: Model, tasks: int) -> int:
-    """Counts all pairs, keeps those seen MIN_PAIR times, and writes the pair levels.  Keys: context id << 32 | word id,
+    """Counts all pairs and writes the pair levels.  Keys: context id << 32 | word id,
     so a model holds less than 2 ** 32 distinct words."""
     if model.words >= 1 << 32:
         raise ValueError("more than 2 ** 32 distinct words")
@@ -306,7 +307,6 @@ def write_pairs(train: DataFrame, vocab: DataFrame, model: Model, tasks: int) ->
     def keep(batches):
         for _, held in _by_part(batches):
             key, n = add_counts(held)
-            key, n = key[n >= MIN_PAIR], n[n >= MIN_PAIR]
             shard = np.searchsorted(firsts, (key >> U64(32)).astype(np.int64), "right") - 1
             yield from _blobs(key, n, shard, shards)
 

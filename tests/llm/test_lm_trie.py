@@ -71,6 +71,19 @@ def test_no_training_rows(spark):
     assert got[1]["score"] == got[1]["base_score"] == 0.0
 
 
+def test_pairs_seen_once_are_stored(spark):
+    """A copy of exactly one training text is scored by that text's pairs."""
+    texts = ["a b c d e", "f g a h", "b d f g"]
+    brute = Brute(texts)
+    brute.kept = dict(brute.pair)
+    brute.free = {h: 1.0 - sum((n - L.DISCOUNT) / brute.uni[h] for (g, _), n in brute.pair.items() if g == h) for h in brute.uni}
+    model = L.train_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    docs = [*texts, "e d c b a"]
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(docs):
+        assert got[i] == pytest.approx(brute.score(t), rel=1e-4)
+
+
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_WORDS", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
