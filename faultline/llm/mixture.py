@@ -33,7 +33,7 @@ def draw(doc_id: str = "doc_id", seed: str = SEED) -> Column:
 
 def source_targets(sized: DataFrame) -> DataFrame:
     """sized(source, size) -> one row per source: source, source_size, target, rate.  Counts are summed before the
-    shuffle; the windows see one row per source."""
+    shuffle; the windows see one row per source, all in one task, which takes n log n time in the number of sources."""
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     no = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (no % len(WEIGHTS) + 1).cast("int"))
@@ -41,10 +41,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
     s = s.withColumn("r", F.col("cap") / F.col("weight"))
     order = [F.col("r"), F.col("source").asc_nulls_last()]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     pool = F.sum("source_size").over(every) * F.lit(SHARE)
-    s = s.withColumn("x", (pool - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    # Weights are small whole numbers, so the difference is exact.
+    left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    s = s.withColumn("x", (pool - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / left)
     s = s.withColumn("no", F.row_number().over(Window.orderBy(*order)))
     fits = F.when(F.col("x") <= F.col("r"), F.struct("no", "x"))
     s = s.withColumn("level", F.min(fits).over(every))

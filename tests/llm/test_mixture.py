@@ -11,6 +11,14 @@ def test_targets_fill_up(spark):
     assert sum(r["target"] for r in got.values()) == pytest.approx(1755)
 
 
+def test_weights_left_are_no_frame_of_their_own(spark):
+    """A frame from the current row on is summed again for each row: quadratic in the number of sources."""
+    sized = spark.createDataFrame([("a", 1)], "source string, size long")
+    plan = M.source_targets(sized)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), -1" in plan
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "0, unboundedfollowing$()" not in plan
+
+
 def test_copies_follow_rates(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
     rows = M.mixture(docs).collect()
