@@ -33,10 +33,11 @@ rest is counted exactly on the sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
@@ -50,6 +51,9 @@ BLOCK = 1024
 #: Signatures of one shard, which one task sorts in memory.  Inside a shard 32 bits of a signature are kept: two
 #: different ones meet with a chance of some 10^-4, which costs a comparison and loses nothing.
 SHARD_ROWS = 500_000
+#: Signatures that a map task holds before it sorts and sends them on, whatever the size of an Arrow batch; one text
+#: may add its own.
+FLUSH = 500_000
 HASH_BITS = 54  # features keep 54 bits, so that (row in chunk, feature) sorts as one key
 
 
@@ -224,17 +228,23 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
         hub = m[at[np.cumsum(begin) - 1]]
         for linked, sel in ((False, begin), (True, ~begin)):
             idx = np.flatnonzero(sel)
-            cut = np.searchsorted(s[idx], np.arange(shards + 1, dtype=U64) << U64(32))
-            for k in range(shards):
-                if cut[k] < cut[k + 1]:
-                    i = idx[cut[k] : cut[k + 1]]
-                    low = s[i].astype(np.uint32).tobytes()
-                    yield k, linked, (m[i].tobytes() + hub[i].tobytes() if linked else m[i].tobytes()) + low
+            of = (s[idx] >> U64(32)).astype(np.int64)
+            cut = np.concatenate((np.flatnonzero(np.diff(of, prepend=-1)), [len(of)]))
+            for a, b in zip(cut[:-1], cut[1:]):
+                i = idx[a:b]
+                low = s[i].astype(np.uint32).tobytes()
+                yield int(of[a]), linked, (m[i].tobytes() + hub[i].tobytes() if linked else m[i].tobytes()) + low
+
+    def packed(got):
+        """Record batches of some blobs each, built one after the other."""
+        rows = emit(*(np.concatenate(x) for x in zip(*got)))
+        while some := list(islice(rows, 64)):
+            yield pa.record_batch([pa.array(x) for x in zip(*some)], schema=schema)
 
     def signed(batches):
+        got, held = [], 0
         for batch in batches:
             buf, off = W.utf8(batch.column(0))
-            got = []
             for _, rows, doc, feature in shingle_sets(buf, off, n):
                 size, node = set_ids(rows, doc, feature)
                 if rows > 1:  # copies inside a chunk
@@ -245,10 +255,12 @@ def members(docs: DataFrame, n: int, num: int, den: int, shards: int) -> DataFra
                     doc, feature = doc[keep], feature[keep]
                 row, sig = signatures(np.bincount(doc, minlength=rows), doc, feature, num, den)
                 got.append((sig, node[row]))
-            if got:
-                out = list(emit(*(np.concatenate(x) for x in zip(*got))))
-                for a in range(0, len(out), 64):
-                    yield pa.record_batch([pa.array(x) for x in zip(*out[a : a + 64])], schema=schema)
+                held += len(sig)
+                if held >= FLUSH:
+                    yield from packed(got)
+                    got, held = [], 0
+        if got:
+            yield from packed(got)
 
     def table(k, low, node, hub):
         sig = (np.int64(k) << np.int64(32)) | low.astype(np.int64)
@@ -502,11 +514,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     cols = docs.columns
     found = materialize(jaccard_components(docs.select("doc_id", "text"), 5, 80, 100), "classes")
+    each = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.first("root").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("first")
-    keep = found.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
-    keep = keep.unionByName(found.where("root IS NULL").select("doc_id", "text_key")).distinct().toDF("__id", "__key")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    kept = docs.join(keep, same, "left_semi")
-    order = [F.col(c).cast("string").asc_nulls_last() for c in cols]
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order)
-    return kept.withColumn("__rn", F.row_number().over(once)).where("__rn = 1").select(*cols)
+    best = found.where("root IS NOT NULL").groupBy("root").agg(first)
+    mine = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
+    # Only ids that go or that repeat are listed, so that texts of other rows stay in the tasks that read them.
+    each = each.join(best, "root", "left").withColumn("drop", F.coalesce(mine != F.col("first"), F.lit(False)))
+    each = each.where("drop OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("drop").alias("__drop"))
+    each = materialize(each, "listed")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
+    kept = docs.join(each, same, "left_anti").select(*cols)
+    order = [x for c in cols for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    again = docs.join(each.where("NOT __drop"), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("__key"))
+    again = again.agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__row")).select("__row.*")
+    return kept.unionByName(again)

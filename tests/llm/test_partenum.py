@@ -148,3 +148,29 @@ def brute_ordered(rows):
     for d, n, c in out:
         tagged.setdefault((d, n), []).append(c)
     return [(d, len(shingles(t, 5)), tagged[(d, len(shingles(t, 5)))].pop()) for d, t in rows]
+
+
+def test_signatures_leave_a_map_task_in_bounded_pieces(spark, monkeypatch):
+    """Long texts in one Arrow batch: signatures are sent on as they come, and links between pieces are not lost."""
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    vocab = ["v%d" % i for i in range(5000)]
+    rows = list(enumerate(t for _ in range(5) for t in family(rng, vocab, 20_000, 1, 300)))
+    monkeypatch.setattr(P, "FLUSH", 4000)
+    monkeypatch.setattr(P.W, "groups", lambda off, rows, size: [(i, i + 1) for i in range(len(off) - 1)])
+    with monkeypatch.context() as m:
+        sizes, taken = [], []
+        real = P.by_signature
+        m.setattr(P, "by_signature", lambda sig, node: (sizes.append(len(sig)), real(sig, node))[1])
+        m.setattr(P, "map_arrow", lambda df, run, schema: (taken.append(run), MagicMock())[1])
+        P.members(MagicMock(), 4, 85, 100, 200)
+        out = list(taken[0](iter([pa.record_batch([pa.array([t for _, t in rows])], names=["text"])])))
+        one_text = 14_000  # the bound is FLUSH and the signatures of one piece of text
+        assert len(sizes) == len(rows) and max(sizes) < P.FLUSH + one_text
+        assert len(out) > len(rows) and all(b.num_rows <= 64 for b in out)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in P.jaccard_components(docs, 4, 85, 100).collect()]
+    assert sorted(got, key=str) == brute(rows, 4, 85, 100)
