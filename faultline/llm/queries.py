@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import langid, lm_trie, mixture, order_minhash, partenum, pu_toxicity, reply_trees, secrets, url_filter, winnowing
+from faultline.llm import align, fim, langid, lm_trie, minhash, mixture, order_minhash, partenum, pu_toxicity, reply_trees, secrets, url_filter, winnowing
 from faultline.llm.shared import crc_mod, table
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,39 @@ def _op9(spark: SparkSession, d: str) -> DataFrame:
 
 
 SPARK["pipeline"] = corpus_pipeline.run
+
+
+@register("op11_token_alignment")
+def _op11(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return align.link_scores(table(spark, d, "documents")).select(*cols)
+
+
+@register("op12_near_duplicates")
+def _op12(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@register("op13_fill_in_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+x AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+    ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+""")
+def _op13(spark: SparkSession, d: str) -> DataFrame:
+    out = fim.restored(fim.fill_in_middle(table(spark, d, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
