@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as X
 from faultline.functions import predicates as P
-from faultline.session import ensure_checkpoint_dir
+from faultline.operators.ranges import group_neighbors
 
 
 MAX_BROADCAST_SEARCHES = 10_000
@@ -221,58 +221,23 @@ def event_count(events: DataFrame, frm, to, message: str | None = None, tags: di
 
 
 # Q9 -------------------------------------------------------------------------
-def event_neighbors(events: DataFrame, frm, to, buckets: int | None = None) -> DataFrame:
+def event_neighbors(events: DataFrame, frm, to, **split) -> DataFrame:
     """Q9 (batch form): for every event of an issue in [frm, to], ordered by (created_at, event_id):
     ``first_id`` = newest, ``last_id`` = oldest, ``next_id`` = next older,
     ``prev_id`` = next newer; each is NULL when it is the event itself.
 
-    Skew-safe plan (no window partitioned by issue alone, which would sort a
-    hot issue in one task):
-
-    1. range-partition all rows by (gid, created_at, event_id): the sampled
-       range bounds split a hot issue across many partitions of equal size;
-    2. lag/lead inside each (range partition, gid) piece - bounded work per task;
-    3. a per-piece summary (first/last event of each piece, at most one row per
-       gid and partition) gives over a window by gid the neighbour across each
-       piece border and the issue's newest / oldest event;
-    4. the summary joins back on (piece, gid): the rows are already hash
-       partitioned on those keys by step 2, so only the small side moves.
+    No window is partitioned by the issue alone: a hot issue is cut into pieces along its order
+    (``ranges.group_neighbors``), and one row per piece carries neighbours across the cuts.
     """
-    spark = events.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = _window(events, frm, to, True).select("pid", "gid", "created_at", "event_id")
-    # Piece ids come from the physical partition, so they are materialized once
-    # in the shared checkpoint folder: both consumers below (and any task
-    # re-run after an executor loss) then see the same assignment.
-    ensure_checkpoint_dir(spark)
-    ordered = df.repartitionByRange(n, "gid", "created_at", "event_id").withColumn(
-        "piece", F.spark_partition_id()).checkpoint(eager=True)
-    w = Window.partitionBy("piece", "gid").orderBy("created_at", "event_id")
-    local = ordered.select(
-        "pid", "gid", "piece", "created_at", "event_id",
-        F.lag("event_id").over(w).alias("older"),
-        F.lead("event_id").over(w).alias("newer"),
-    )
-    key = F.struct("created_at", "event_id")
-    pieces = ordered.groupBy("piece", "gid").agg(
-        F.min_by("event_id", key).alias("piece_first"), F.max_by("event_id", key).alias("piece_last"))
-    wp = Window.partitionBy("gid").orderBy("piece")
-    whole = wp.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = pieces.select(
-        "piece", "gid",
-        F.lag("piece_last").over(wp).alias("older_fix"),
-        F.lead("piece_first").over(wp).alias("newer_fix"),
-        F.last("piece_last").over(whole).alias("newest"),
-        F.first("piece_first").over(whole).alias("oldest"),
-    )
-    out = local.join(links, ["piece", "gid"])
+    out = group_neighbors(df, "gid", ["created_at", "event_id"], "event_id", **split)
     me = F.col("event_id")
     return out.select(
         "pid", "gid", "created_at", X.id_no_dashes(me).alias("event_id"),
         X.id_no_dashes(F.nullif(F.col("newest"), me)).alias("first_id"),
         X.id_no_dashes(F.nullif(F.col("oldest"), me)).alias("last_id"),
-        X.id_no_dashes(F.nullif(F.coalesce("older", "older_fix"), me)).alias("next_id"),
-        X.id_no_dashes(F.nullif(F.coalesce("newer", "newer_fix"), me)).alias("prev_id"),
+        X.id_no_dashes(F.nullif(F.col("older"), me)).alias("next_id"),
+        X.id_no_dashes(F.nullif(F.col("newer"), me)).alias("prev_id"),
     )
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.ranges import group_rank
+
 
 # J2 --------------------------------------------------------------------------
 def message_counts(issues: DataFrame, comments: DataFrame) -> DataFrame:
@@ -24,11 +26,10 @@ def message_counts(issues: DataFrame, comments: DataFrame) -> DataFrame:
 
 # J3 --------------------------------------------------------------------------
 def issue_discussion(comments: DataFrame, users: DataFrame) -> DataFrame:
-    """Comments with their authors (inner join), newest first per issue (``rn``)."""
+    """Comments with their authors (inner join), newest first per issue (``rn``).  An issue with a third of all
+    comments is ranked in pieces (``ranges.group_rank``)."""
     u = users.select(F.col("id").alias("user_id"), "username", "email", F.col("name").alias("user_name"))
-    j = comments.join(u, "user_id")
-    w = Window.partitionBy("issue_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return j.withColumn("rn", F.row_number().over(w))
+    return group_rank(comments.join(u, "user_id"), "issue_id", ["created_at", "id"])
 
 
 # J4 --------------------------------------------------------------------------
@@ -67,9 +68,8 @@ def alert_list(alerts: DataFrame, projects: DataFrame, team_ids=None, project_na
 
 
 def alerts_by_project(alerts: DataFrame) -> DataFrame:
-    """U8: alerts of each project, newest first (``rn`` per project)."""
-    w = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return alerts.withColumn("rn", F.row_number().over(w))
+    """U8: alerts of each project, newest first (``rn`` per project), ranked in pieces of a project."""
+    return group_rank(alerts, "project_id", ["created_at", "id"])
 
 
 # J7 / J12 ----------------------------------------------------------------------

@@ -37,7 +37,7 @@ def test_neighbors_on_skewed_issue_match_plain_window(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(1, 7 if i % 3 else 8, base + dt.timedelta(seconds=i // 2), f"e{i:05d}", 0) for i in range(3000)]
     ev = spark.createDataFrame(rows, "pid int, gid bigint, created_at timestamp_ntz, event_id string, deleted smallint")
-    got = Q.event_neighbors(ev, base, base + dt.timedelta(days=1), buckets=16)
+    got = Q.event_neighbors(ev, base, base + dt.timedelta(days=1), sample=400, step=10)
     w = Window.partitionBy("gid").orderBy("created_at", "event_id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     want = ev.select("gid", "event_id",

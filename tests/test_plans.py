@@ -35,10 +35,13 @@ def test_alert_page_is_a_group_limit(spark):
     assert "WindowGroupLimit" in _plan(R.SPARK["alert_list"](spark, SF_SMALL))
 
 
-def test_neighbors_have_no_issue_wide_window(spark):
-    df = R.SPARK["event_neighbors"](spark, SF_SMALL)
-    p = df._jdf.queryExecution().optimizedPlan().toString()
-    # every window over events is partitioned by the range piece as well as the issue
-    for line in p.splitlines():
-        if "Window [" in line and "lag(" in line:
-            assert "piece" in line
+def test_no_window_over_a_whole_group(spark):
+    """Windows over events, comments and rules are partitioned by the piece as well as by the group."""
+    for name, group in (("event_neighbors", "gid"), ("issue_discussion", "issue_id"), ("alerts_by_project", "project_id")):
+        df = R.SPARK[name](spark, SF_SMALL)
+        p = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in p.splitlines() if "Window [" in line]
+        assert windows
+        for line in windows:
+            assert "piece" in line and group in line
+        assert "Checkpoint" not in p and "LogicalRDD" not in p
