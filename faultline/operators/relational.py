@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.access import same_team
 from faultline.operators.ranges import group_rank
 
 
@@ -77,20 +78,13 @@ def assignment_current(feed: DataFrame, members: DataFrame) -> tuple[DataFrame,
     """Current assignee per issue from a feed of assign / delete requests.
 
     A request whose assignee shares no team with the requesting user is
-    rejected (semi join of the requester's teams with the assignee's).  The last accepted
+    rejected (an AND of the two users' team sets; one row per user is joined).  The last accepted
     request per issue wins (``max_by``, a partial aggregate); a delete clears
     the assignment.
     """
-    # (request, team of the requester) rows, kept when the assignee is in that
-    # team: no (user, user) pairs are ever built.
-    req_teams = feed.select("request_id", "assigned_by", "user_id").join(
-        members.select(F.col("user_id").alias("assigned_by"), "team_id"), "assigned_by")
-    ok_ids = req_teams.join(members.select("user_id", "team_id"), ["user_id", "team_id"], "left_semi").select(
-        "request_id").distinct()
-    is_delete = F.col("action") == "delete"
-    checked = feed.join(ok_ids.withColumn("_ok", F.lit(True)), "request_id", "left")
-    accepted = checked.where(is_delete | F.col("_ok").isNotNull()).drop("_ok")
-    rejects = checked.where(~is_delete & F.col("_ok").isNull()).drop("_ok")
+    checked = same_team(feed, members, "assigned_by", "user_id", "_ok")
+    accept = (F.col("action") == "delete") | F.col("_ok")
+    accepted, rejects = checked.where(accept).drop("_ok"), checked.where(~accept).drop("_ok")
     last = accepted.groupBy("issue_id").agg(
         F.max_by(F.struct("action", "user_id", "assigned_by", "created_at"),
                  F.struct("created_at", "request_id")).alias("l"))
@@ -111,10 +105,18 @@ def issue_assignees(issues: DataFrame, projects: DataFrame, assignments: DataFra
 
 
 # J9 / J10 ----------------------------------------------------------------------
-def visible_projects(members: DataFrame, projects: DataFrame) -> DataFrame:
-    """(user, project) pairs where the project's team is one of the user's teams."""
-    return members.join(projects.select(F.col("id").alias("project_id"), "name", "team_id"), "team_id").select(
-        "user_id", "project_id", "name").distinct()
+def visible_projects(members: DataFrame, projects: DataFrame, viewers) -> DataFrame:
+    """Projects that one of the viewers may see: those of a team of theirs.
+
+    viewers: user ids, or a DataFrame of them in its first column.  Two semi joins: (user, project) pairs are never
+    built; who may see one project is asked by ``access.project_access``.
+    """
+    if isinstance(viewers, DataFrame):
+        mine = members.join(viewers.select(F.col(viewers.columns[0]).alias("user_id")), "user_id", "left_semi")
+    else:
+        mine = members.where(F.col("user_id").isin(list(viewers)))
+    return projects.join(mine.select("team_id"), "team_id", "left_semi").select(
+        F.col("id").alias("project_id"), "name", "team_id")
 
 
 def project_list(projects: DataFrame, team_ids=None, name: str | None = None) -> DataFrame:

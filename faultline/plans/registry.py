@@ -396,6 +396,7 @@ def _issue_upsert(spark, d):
 
 
 # --- J*, U*: relational ------------------------------------------------------------
+from faultline.operators import access as AC  # noqa: E402
 from faultline.operators import relational as R  # noqa: E402
 
 
@@ -478,10 +479,25 @@ def _issue_assignees(spark, d):
         "issue_id", "project_id", "team_id", F.col("user_id").cast("string").alias("assignee_id"), "username", "email")
 
 
-@register("visible_projects", O.rel_sql("""
-SELECT DISTINCT m.user_id, p.id AS project_id, p.name FROM members m JOIN projects p ON p.team_id = m.team_id"""))
+_VIEWERS = [8, 12]  # one user of two teams, one of one
+
+
+@register("visible_projects", O.rel_sql(f"""
+SELECT id AS project_id, name, team_id FROM projects
+WHERE team_id IN (SELECT team_id FROM members WHERE user_id IN ({", ".join(map(str, _VIEWERS))}))"""))
 def _visible_projects(spark, d):
-    return R.visible_projects(A.members(spark, d), A.projects(spark, d))
+    return R.visible_projects(A.members(spark, d), A.projects(spark, d), _VIEWERS)
+
+
+@register("project_access", O.rel_sql(f"""
+SELECT o_orderkey AS request_id, EXISTS (
+  SELECT 1 FROM members m JOIN projects p ON p.team_id = m.team_id
+  WHERE m.user_id = o_custkey % {A.N_USERS} + 1 AND p.id = o_orderkey % 12) AS allowed FROM orders"""))
+def _project_access(spark, d):
+    asked = A.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % A.N_USERS + 1).alias("user_id"),
+        (F.col("o_orderkey") % 12).cast("int").alias("project_id"))
+    return AC.project_access(asked, A.projects(spark, d), A.members(spark, d)).select("request_id", "allowed")
 
 
 @register("project_list", O.rel_sql("""
