@@ -27,9 +27,6 @@ from faultline.functions import predicates as P
 from faultline.operators.ranges import group_neighbors
 
 
-MAX_BROADCAST_SEARCHES = 10_000
-
-
 def _window(events: DataFrame, frm, to, closed_upper: bool, pids=None, gids=None) -> DataFrame:
     c = (F.col("deleted") == 0) & P.in_range(F.col("created_at"), X.ts_lit(frm), X.ts_lit(to), closed_upper)
     if "week" in events.columns:  # stored table: the same bounds prune whole week partitions
@@ -275,28 +272,3 @@ def filtered_groups(events: DataFrame, tokens: list, frm, to, pids=None) -> Data
     df = _window(events, frm, to, True, pids)
     cond = P.group_search_predicate(tokens, F.col("message"), F.col("title"), F.col("tags"))
     return df.where(cond).select("gid").distinct()
-
-
-def saved_search_matches(events: DataFrame, searches: DataFrame) -> DataFrame:
-    """P6 as a job: a table of saved searches (search_id, pid, query, frm, to) parsed
-    with SQL array functions, joined to the events of its project and window;
-    per search: matching events and issues.
-
-    The searches table is small per project, but a project can hold a third of
-    all events: the join is on ``pid`` with the window as a residual condition,
-    and the searches are broadcast after a row-count check (up to
-    ``MAX_BROADCAST_SEARCHES``), so the events are never shuffled for it; a
-    larger table falls back to a shuffled join.
-    """
-    s = searches.select("search_id", F.col("pid").alias("s_pid"), F.col("frm").alias("s_frm"),
-                        F.col("to").alias("s_to"), P.query_tokens(F.col("query")).alias("tokens"))
-    if searches.count() <= MAX_BROADCAST_SEARCHES:  # size checked: replicate the small side
-        s = F.broadcast(s)
-    ev = events.where(F.col("deleted") == 0).select("pid", "gid", "created_at", "message", "title", "tags")
-    joined = ev.join(s, (ev.pid == s.s_pid) & (ev.created_at >= s.s_frm) & (ev.created_at <= s.s_to))
-    hits = joined.where(P.tokens_match(F.col("tokens"), F.col("message"), F.col("title"), F.col("tags")))
-    counts = hits.groupBy("search_id").agg(
-        F.count(F.lit(1)).alias("match_events"), F.count_distinct("gid").alias("match_issues"))
-    return searches.select("search_id").join(counts, "search_id", "left").select(
-        "search_id", F.coalesce("match_events", F.lit(0)).cast("bigint").alias("match_events"),
-        F.coalesce("match_issues", F.lit(0)).cast("bigint").alias("match_issues"))

@@ -33,9 +33,11 @@ def contains_ci(hay: str, needle: str) -> str:
     return f"(instr(translate(coalesce({hay}, ''), '{up}', '{lo}'), translate({needle}, '{up}', '{lo}')) > 0)"
 
 
+STORED_TOKEN = r"regexp_replace(t.key, '([=\\])', '\\\1', 'g') || '=' || t.value"
+
+
 def has_tag(tags: str, key_sql: str, value_sql: str) -> str:
-    tok = r"regexp_replace(t.key, '([=\\])', '\\\1', 'g') || '=' || t.value"
-    return f"(len(list_filter({tags}, lambda t: {tok} = ({key_sql} || '=' || {value_sql}))) > 0)"
+    return f"(len(list_filter({tags}, lambda t: {STORED_TOKEN} = ({key_sql} || '=' || {value_sql}))) > 0)"
 
 
 def issue_id(pid: str, fp: str) -> str:

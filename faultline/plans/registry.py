@@ -1083,6 +1083,9 @@ def _notification_status(spark, d):
 
 
 # --- P6 as a job: saved searches ---------------------------------------------------------
+from faultline.operators import percolate as PC  # noqa: E402
+
+
 def _ss_pred() -> str:
     msg_or_title = lambda t: f"({O.contains_ci('e.message', O.q(t))} OR {O.contains_ci('e.title', O.q(t))})"
     return f"""CASE s.n % 4
@@ -1100,5 +1103,26 @@ GROUP BY s.search_id""", f"""ss AS (SELECT CAST(n_nationkey AS BIGINT) AS search
        CAST(n_nationkey % 5 + 1 AS INTEGER) AS pid, {O.T_NOW} - to_days(CAST(n_nationkey + 1 AS INTEGER)) AS frm,
        {O.T_NOW} AS "to" FROM nation)"""))
 def _saved_search_matches(spark, d):
-    return Q.saved_search_matches(A.ev(spark, d), A.saved_searches(spark, d))
+    return PC.saved_search_matches(A.ev(spark, d), A.saved_searches(spark, d))
+
+
+@register("saved_search_matches_many", O.sql(f"""
+SELECT s.search_id, CAST(count(e.gid) AS BIGINT) AS match_events, CAST(count(DISTINCT e.gid) AS BIGINT) AS match_issues
+FROM ss s LEFT JOIN ev_tokens e ON e.pid = s.pid AND e.created_at >= s.frm AND e.created_at <= {O.T_NOW}
+  AND list_has_all(e.tokens, s.must) AND NOT list_has_any(e.tokens, s.never) AND instr(e.folded, s.phrase) > 0
+GROUP BY s.search_id""", f"""
+ss AS (SELECT p_partkey AS search_id, CAST(p_partkey % 5 + 1 AS INTEGER) AS pid,
+         {O.T_NOW} - to_days(CAST(p_partkey % 30 + 1 AS INTEGER)) AS frm,
+         CASE p_partkey % 5 WHEN 0 THEN ['user=id:' || CAST(p_partkey % 1000 AS VARCHAR)]
+           WHEN 1 THEN ['k=' || CAST(p_partkey % 100 AS VARCHAR), 'os=linux']
+           WHEN 3 THEN ['release=nordland@1.' || CAST(p_partkey % 4 AS VARCHAR) || '.0'] ELSE []::VARCHAR[] END AS must,
+         CASE p_partkey % 5 WHEN 3 THEN ['level=info'] WHEN 4 THEN ['env=staging', 'level=' || ['error', 'info', 'debug'][p_partkey % 3 + 1]]
+           ELSE []::VARCHAR[] END AS never,
+         CASE p_partkey % 5 WHEN 2 THEN 'id=' || CAST(p_partkey % 1000 AS VARCHAR) || ' ' WHEN 3 THEN 'refused' ELSE '' END AS phrase
+       FROM part),
+ev_tokens AS (SELECT pid, gid, created_at, list_transform(tags, lambda t: {O.STORED_TOKEN}) AS tokens,
+         translate(message, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10) ||
+         translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM live)"""))
+def _saved_search_matches_many(spark, d):
+    return PC.saved_search_matches(A.ev(spark, d), A.part_searches(spark, d))
 

@@ -527,3 +527,22 @@ def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         k.cast("bigint").alias("search_id"), (k % 5 + 1).cast("int").alias("pid"), query.alias("query"),
         (X.ts_lit(NOW) - F.make_dt_interval(days=(k + 1).cast("int"))).alias("frm"), X.ts_lit(NOW).alias("to"))
+
+
+def part_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved searches from ``part``, so that they grow with the data: project (k % 5) + 1, window of the last
+    k % 30 + 1 days, query text by template k % 5."""
+    pt = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    text = lambda n: (k % n).cast("string")
+    level = F.element_at(F.array(F.lit("error"), F.lit("info"), F.lit("debug")), (k % 3 + 1).cast("int"))
+    query = (
+        F.when(k % 5 == 0, F.concat(F.lit("user:id:"), text(1000)))
+        .when(k % 5 == 1, F.concat(F.lit("k:"), text(100), F.lit(" os:linux")))
+        .when(k % 5 == 2, F.concat(F.lit('"ID='), text(1000), F.lit(' "')))
+        .when(k % 5 == 3, F.concat(F.lit('"Refused" release:nordland@1.'), text(4), F.lit(".0 level:!info")))
+        .otherwise(F.concat(F.lit("env:!staging level:!"), level))
+    )
+    return pt.select(
+        k.cast("bigint").alias("search_id"), (k % 5 + 1).cast("int").alias("pid"), query.alias("query"),
+        (X.ts_lit(NOW) - F.make_dt_interval(days=(k % 30 + 1).cast("int"))).alias("frm"), X.ts_lit(NOW).alias("to"))

@@ -15,9 +15,18 @@ def test_metrics_prune_and_partially_aggregate(spark):
     assert "PushedFilters" in p
 
 
-def test_saved_searches_are_broadcast(spark):
-    p = _plan(R.SPARK["saved_search_matches"](spark, SF_SMALL))
-    assert "Broadcast" in p
+def test_saved_searches_meet_events_on_tokens(spark):
+    """Events are joined on (pid, token), in the weeks of the searches; nothing is broadcast by a hint."""
+    df = R.SPARK["saved_search_matches"](spark, SF_SMALL)
+    p = _plan(df)
+    assert "NestedLoop" not in p and "CartesianProduct" not in p
+    scans = [line for line in p.splitlines() if "FileScan" in line and "tags#" in line]
+    assert scans and all("week" in line[line.index("PartitionFilters"):] for line in scans)
+    logical = df._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical and "strategy=broadcast" not in logical
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    over_events = [line for line in optimized.splitlines() if "Join Inner" in line and "token" in line]
+    assert over_events and all("pid" in line for line in over_events)
 
 
 def test_alert_rules_join_on_keys_and_prune_weeks(spark):
