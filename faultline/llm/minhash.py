@@ -5,15 +5,16 @@ sets are one node, a 64-bit hash of the set, so exact copies cost one node.
 
 1. *Signatures.*  ``BANDS`` x ``ROWS`` minima over random permutations of the features.  Of each minimum ``BITS`` bits
    (of a hash of it) stay, packed as one plane of bits after the other; a band's full minima become one 64-bit key.
-2. *Candidates.*  Sets with one band key form a bucket.  Every set of a bucket is paired with the smallest (its hub).
+2. *Candidates.*  Sets with one band key form a bucket.  Every set is first paired with one hub, the smallest set in any
+   of its buckets.
 3. *Estimate.*  Minima of two sets agree with probability J; their low bits also agree by chance, with probability
    C = 2^-BITS.  So J is estimated as (m / K - C) / (1 - C), m being the K minima less the bits set in
    (x0 ^ y0) | (x1 ^ y1).  Pairs more than ``SIGMAS`` standard deviations under the threshold are dropped.
-4. *Confirmation* on the full sets, closest hub first; then pairs that still lie between components.
+4. *Confirmation* on the full sets; links give components.
 5. *Open buckets.*  A bucket whose sets are in one component needs no more.  Of the others, one for each distinct group
    of sets is compared whole, in blocks of ``BLOCK`` x ``BLOCK`` sets inside a task: twice only the closest partner of
-   each set in another component, which joins nearly all that belongs together, then every pair between components.  So
-   no candidate is capped, and a bucket emits as many pairs as it has sets unless sets stay apart that are near.
+   each set in another component, over all its buckets, which joins nearly all that belongs together, then every pair
+   between components.  So no candidate is capped, and a set is counted against three others unless near sets stay apart.
 
 A pair at the threshold of 0.8 shares no band with a chance of (1 - 0.8^7)^64 = 3e-7, and its estimate falls short with
 1e-9; nearer pairs are missed less.  That is the method's only loss.  The 64-bit ids make two of n different sets one
@@ -198,50 +199,57 @@ def counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return materialize(map_arrow(both, run, "a long, b long"), "links")
 
 
-def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    left = pairs.join(comp.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
-    left = left.join(comp.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-    return left.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select(*pairs.columns)
-
-
 def open_buckets(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, node, root, size, bits) of buckets with over two sets in several components, one bucket for each
-    distinct group of sets."""
+    """(key, n, node, root, size, bits) of buckets with sets in several components, one bucket for each distinct group
+    of sets."""
     seen = materialize(members.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "seen")
     state = seen.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
-    ).where("lo < hi AND n > 2")
+    ).where("lo < hi")
     state = state.groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key", "n")
     return seen.join(state, "key").join(nodes, "node")
 
 
+def nearest(x: np.ndarray, y: np.ndarray, est: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows (x, y), both ways round: the partner with the greatest estimate for each row."""
+    x, y, est = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((est, est))
+    order = np.lexsort((node[y], -est, x))
+    first = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+    return x[first], y[first], est[first]
+
+
 def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
     """Distinct pairs (a, b) of different components inside one bucket that sizes and packed bits allow; with
-    ``closest`` only each set's nearest one in a block."""
+    ``closest`` only each set's nearest one, over all its buckets."""
     least = least_estimate(num, den)
     cut = rows.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     cut = cut.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "root", "size", "bits")
 
-    def group(tab: pa.Table):
-        p, q, mine, node, root, size = (tab.column(i).to_numpy() for i in range(1, 7))
+    def groups(tab: pa.Table):
+        """Whole groups, sorted; some 2^17 pairs at a time."""
+        key, p, q, mine, node, root, size = (tab.column(i).to_numpy() for i in range(7))
         planes = as_planes(tab.column(7).to_pylist())
-        inside = p[0] == q[0]
-        got = []
-        for i in range(len(node)):
-            # Closest partners are looked for among all other sets; otherwise each pair is met once.
-            j = np.arange(0 if closest else i + 1, len(node))
-            j = j[(root[j] != root[i]) & similar_sizes(size[i], size[j], num, den) & (inside or mine[j] != mine[i])]
-            if len(j):
-                est = estimate(planes[i], planes[j])
-                j = j[[int(est.argmax())]] if closest and est.max() >= least else j[est >= least]
-                got += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        if got:
-            a, b = zip(*got)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        total = len(key)
+        ends = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]))) + 1
+        later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total) - 1  # rows of the group behind each
+        upto = np.concatenate(([0], np.cumsum(later)))
+        a = 0
+        while a < total:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 17), "right")) - 1)
+            x = np.repeat(np.arange(a, b), later[a:b])
+            y = x + 1 + np.arange(len(x)) - np.repeat(upto[a:b] - upto[a], later[a:b])
+            a = b
+            ok = (root[x] != root[y]) & similar_sizes(size[x], size[y], num, den) & ((p[x] == q[x]) | (mine[x] != mine[y]))
+            x, y = x[ok], y[ok]
+            est = estimate(planes[x], planes[y])
+            ok = est >= least
+            x, y, est = x[ok], y[ok], est[ok]
+            if len(x):
+                x, y, est = nearest(x, y, est, node) if closest else (x, y, est)
+                yield pa.record_batch([pa.array(node[x]), pa.array(node[y]), pa.array(est)], names=["x", "y", "est"])
 
     def run(batches):
         held = []
@@ -249,25 +257,22 @@ def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            if held:
-                last = np.array([[held[-1].column(i)[-1].as_py() for i in range(3)]])
-                key = np.concatenate((last, key))
-            else:
-                key = np.concatenate((key[:1], key))
-            at = 0
-            for end in [*np.flatnonzero((key[1:] != key[:-1]).any(axis=1)).tolist(), None]:
-                if end is None:
-                    held.append(batch.slice(at))
-                    break
-                if end > at:
-                    held.append(batch.slice(at, end - at))
-                yield from group(pa.Table.from_batches(held))
-                held, at = [], end
+            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if held and (key[0] != [held[-1].column(i)[-1].as_py() for i in range(3)]).any():
+                new = np.concatenate(([0], new))
+            if not len(new):  # the group goes on
+                held.append(batch)
+                continue
+            yield from groups(pa.Table.from_batches([*held, batch.slice(0, new[-1])]))
+            held = [batch.slice(new[-1])]
         if held:
-            yield from group(pa.Table.from_batches(held))
+            yield from groups(pa.Table.from_batches(held))
 
     keys = ["key", "p", "q"]
-    return map_arrow(cut.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
+    pairs = map_arrow(cut.repartition(*keys).sortWithinPartitions(*keys), run, "x long, y long, est double")
+    if closest:
+        pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 2, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,16 +291,10 @@ def near_duplicates(docs: DataFrame, n: int = 2, num: int = 80, den: int = 100)
     touched = materialize(members.select("node").distinct(), "touched")  # hubs are members, too
     nodes = materialize(one.select("node", "size", "bits").join(touched, "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
-    stars = members.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = materialize(estimated(stars, nodes, num, den), "near")
+    first = members.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    near = materialize(estimated(first, nodes, num, den), "near").select("a", "b")
     sets = materialize(full_sets(docs, n, touched), "sets")
-    first = near.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-    comp = extend_components(None, counted(first, sets, num, den))
-    left = materialize(between(near.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), "left")
-    if not left.isEmpty():
-        comp = extend_components(comp, counted(left, sets, num, den))
-
-    done = near.select("a", "b")  # counted already, or in one component
+    comp, done = extend_components(None, counted(near, sets, num, den)), near
     for closest in (True, True, False):
         pairs = block_pairs(open_buckets(members.select("key", "node"), comp, nodes), num, den, closest)
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
