@@ -126,6 +126,11 @@ def group_search_predicate(tokens: list[Token], message: Column, title: Column,
     return cond
 
 
+def tag_probes(tokens: list[Token]) -> list[str]:
+    """Stored tag tokens that an event must have to match the query (its positive tag tests)."""
+    return [f"{t.key}={t.value}" for t in tokens if not t.is_raw_text and t.operator == IS]
+
+
 def query_tokens(q: Column) -> Column:
     """P6 over a column of query texts -> array<struct<key, operator, value, is_raw_text>>.
 

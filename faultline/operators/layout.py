@@ -27,11 +27,12 @@ def with_layout_columns(events: DataFrame) -> DataFrame:
         "day", F.to_date("created_at"))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append", max_rows_per_file: int = 0) -> None:
     """S5 + L1 + L3 + L6: append events as a partitioned, clustered Parquet dataset.
 
     Rows are rebalanced on (retention_days, week, pid) and sorted inside each
-    task by the store's primary-key prefix.
+    task by the store's primary-key prefix.  ``skipping.update_index`` adds what
+    lookups by tag or issue skip files by.
     """
     df = with_layout_columns(events)
     # REBALANCE: hash on (partition values, project) so a task writes few folders;
@@ -41,21 +42,20 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
        .sortWithinPartitions(*PARTITION_COLUMNS, "pid", "day", "primary_hash")
        .write.mode(mode)
        .option("parquet.bloom.filter.enabled#release", "true")
+       .option("maxRecordsPerFile", max_rows_per_file)
        .partitionBy(*PARTITION_COLUMNS)
        .parquet(path))
 
 
-def read_events(spark: SparkSession, path: str, frm: _dt.datetime | None = None,
-                to: _dt.datetime | None = None) -> DataFrame:
-    """Read the event table; time bounds also become bounds on the ``week`` partition
-    column, so whole weeks outside the range are never listed (partition pruning)."""
-    df = spark.read.parquet(path)
+def in_weeks(table: DataFrame, frm: _dt.datetime | None = None, to: _dt.datetime | None = None) -> DataFrame:
+    """Rows of the event table in [frm, to]; the bounds also become bounds on the ``week`` partition column, so whole
+    weeks outside the range are never listed (partition pruning)."""
     if frm is not None:
         monday = (frm - _dt.timedelta(days=frm.weekday())).date()
-        df = df.where((F.col("week") >= F.lit(monday)) & (F.col("created_at") >= X.ts_lit(frm)))
+        table = table.where((F.col("week") >= F.lit(monday)) & (F.col("created_at") >= X.ts_lit(frm)))
     if to is not None:
-        df = df.where((F.col("week") <= F.lit(to.date())) & (F.col("created_at") <= X.ts_lit(to)))
-    return df
+        table = table.where((F.col("week") <= F.lit(to.date())) & (F.col("created_at") <= X.ts_lit(to)))
+    return table
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -85,6 +85,47 @@ def retention_sweep(events: DataFrame, now: _dt.datetime) -> DataFrame:
                         > X.ts_lit(now))
 
 
+REPORT = "retention_days int, week date, action string, rows_before bigint, rows_after bigint"
+
+
+def drop_expired(spark: SparkSession, path: str, now: _dt.datetime) -> DataFrame:
+    """L4 on the stored table: weeks whose last instant has expired at ``now`` leave it by folder, weeks with expired and
+    living rows are rewritten without the former, younger weeks are not touched.
+
+    Only the partition values (weeks times retention periods) come to the driver.  Living rows of mixed weeks are staged
+    in the shared folder first and then replace their partitions (dynamic overwrite), so a sweep that fails and runs
+    again drops nothing that lives.  Returns a report, one row per partition before the sweep.
+    """
+    table = spark.read.parquet(path)
+    found = table.groupBy(*PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("n")).collect()  # row counts from file footers
+    parts = {(r["retention_days"], r["week"]): r["n"] for r in found}
+
+    def ends(days: int, week: _dt.date, more: int) -> _dt.datetime:
+        return _dt.datetime.combine(week, _dt.time()) + _dt.timedelta(days=days + more)
+
+    dead = [p for p in parts if ends(*p, 7) <= now]
+    mixed = [p for p in parts if p not in dead and ends(*p, 0) <= now]
+    left = dict(parts) | {p: 0 for p in dead + mixed}
+    if mixed:
+        of = F.lit(False)
+        for days, week in mixed:
+            of = of | ((F.col("retention_days") == days) & (F.col("week") == F.lit(week)))
+        staged = scratch_path(spark, "retained")
+        alive = table.where(of & (F.col("created_at") + F.make_dt_interval(days=F.col("retention_days").cast("int")) > X.ts_lit(now)))
+        alive.sortWithinPartitions(*PARTITION_COLUMNS, "pid", "day", "primary_hash").write.partitionBy(*PARTITION_COLUMNS).parquet(staged)
+        if any(parts[p] for p in mixed):
+            back = spark.read.schema(table.schema).parquet(staged)
+            for r in back.groupBy(*PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("n")).collect():
+                left[(r["retention_days"], r["week"])] = r["n"]
+            (back.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .option("parquet.bloom.filter.enabled#release", "true").partitionBy(*PARTITION_COLUMNS).parquet(path))
+    for days, week in [p for p in dead + mixed if not left[p]]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/retention_days={days}/week={week}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    action = lambda p: "kept" if p not in dead + mixed else "rewritten" if left[p] else "dropped"
+    return spark.createDataFrame([(int(d), w, action((d, w)), n, left[(d, w)]) for (d, w), n in sorted(parts.items())], REPORT)
+
+
 def sample_key(event_id):
     """L5 sampling key: the first 32 bits of md5(event_id) (any engine with md5 agrees)."""
     return F.conv(F.substring(F.md5(event_id), 1, 8), 16, 10).cast("bigint")

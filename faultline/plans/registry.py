@@ -9,6 +9,7 @@ oracle's.  Time windows are the operators' own parameters: the fixtures span
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from faultline.functions import normalize as N
 from faultline.functions import predicates as P
 from faultline.functions import columns as X
 from faultline.operators import analytics as Q
+from faultline.operators import layout as L
+from faultline.operators import rollup as RU
+from faultline.operators import skipping as SK
 from faultline.sources import adapters as A
 
 FRM, NOW = A.WINDOW_FROM, A.NOW
@@ -69,9 +73,42 @@ def _issue_metrics(spark, d):
     return Q.issue_metrics(A.ev(spark, d), FRM, NOW)
 
 
-@register("issue_metrics_approx")
+# The rollup answers windows that cut hours: both ends lie inside an hour.
+_CUT_FROM, _CUT_TO = FRM + _dt.timedelta(days=2, hours=3, minutes=17, seconds=5), NOW - _dt.timedelta(days=3, minutes=41)
+_CUT = f"created_at >= TIMESTAMP '{_CUT_FROM:%Y-%m-%d %H:%M:%S}' AND created_at <= TIMESTAMP '{_CUT_TO:%Y-%m-%d %H:%M:%S}'"
+
+
+def _rollup_rows(spark, d):
+    """The rollup stored in two batches, read back for the cut window."""
+    path, ev = L.scratch_path(spark, "rollup"), A.ev(spark, d)
+    half = X.ts_lit(FRM + _dt.timedelta(days=14, minutes=30))  # one hour comes in both batches
+    RU.append(ev.where(F.col("created_at") < half), path)
+    RU.append(ev.where(F.col("created_at") >= half), path)
+    return RU.window(RU.read(spark, path), ev, _CUT_FROM, _CUT_TO, closed_upper=True)
+
+
+@register("issue_metrics_approx", O.sql(f"""
+SELECT gid, count(*) AS times_seen, min(created_at) AS first_seen, max(created_at) AS last_seen,
+       count(DISTINCT nullif(user_ref, '')) AS users, true AS within_error
+FROM live WHERE {_CUT} GROUP BY gid"""))
 def _issue_metrics_approx(spark, d):
-    return Q.issue_metrics(A.ev(spark, d), FRM, NOW, approx=True)
+    """Sketch estimates next to exact counts: the error stays within three standard errors (one user at least)."""
+    est = RU.issue_metrics(_rollup_rows(spark, d))
+    exact = Q.issue_metrics(A.ev(spark, d), _CUT_FROM, _CUT_TO).select("gid", F.col("user_count").alias("users"))
+    within = F.abs(F.col("user_count") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * RU.USER_ERROR)
+    return est.join(exact, "gid", "full").select("gid", "times_seen", "first_seen", "last_seen", "users", within.alias("within_error"))
+
+
+@register("rollup_events_per_hour", O.sql(f"""
+SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live WHERE {_CUT} GROUP BY 1, 2"""))
+def _rollup_events_per_hour(spark, d):
+    return RU.events_per_hour(_rollup_rows(spark, d))
+
+
+@register("rollup_events_per_day", O.sql(f"""
+SELECT gid, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS day, count(*) AS event_count FROM live WHERE {_CUT} GROUP BY 1, 2"""))
+def _rollup_events_per_day(spark, d):
+    return RU.events_per_day(_rollup_rows(spark, d)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @register("events_per_day", O.sql(f"""
@@ -203,7 +240,31 @@ _GS_FILTER = (f"{O.has_tag('tags', O.q('level'), O.q('error'))} AND "
 
 @register("filtered_groups", O.sql(f"SELECT DISTINCT gid FROM live WHERE {_RANGE_CLOSED} AND {_GS_FILTER}"))
 def _filtered_groups(spark, d):
-    return Q.filtered_groups(A.ev(spark, d), P.parse_query(_GS_QUERY), FRM, NOW)
+    tokens = P.parse_query(_GS_QUERY)
+    ev = A.as_events(SK.read_where(spark, A.ev_indexed(spark, d), FRM, NOW, tags=P.tag_probes(tokens)))
+    return Q.filtered_groups(ev, tokens, FRM, NOW)
+
+
+@register("tag_lookup", O.sql(f"""
+SELECT replace(event_id, '-', '') AS event_id, gid, created_at FROM live
+WHERE {_RANGE_CLOSED} AND {O.has_tag('tags', O.q('user'), O.q('id:42'))} AND {O.has_tag('tags', O.q('os'), O.q('linux'))}"""))
+def _tag_lookup(spark, d):
+    """Events of one user on one system: files without both tags are not read."""
+    tokens = P.parse_query("user:id:42 os:linux")
+    ev = A.as_events(SK.read_where(spark, A.ev_indexed(spark, d), FRM, NOW, tags=P.tag_probes(tokens)))
+    ev = Q.live_between(ev, FRM, NOW, True).where(P.group_search_predicate(tokens, F.col("message"), F.col("title"), F.col("tags")))
+    return ev.select(X.id_no_dashes(F.col("event_id")).alias("event_id"), "gid", "created_at")
+
+
+@register("issue_lookup", O.sql(f"""
+SELECT gid, count(*) AS times_seen, min(created_at) AS first_seen, max(created_at) AS last_seen,
+       count(DISTINCT nullif(user_ref, '')) AS user_count
+FROM live WHERE {_RANGE_CLOSED} AND gid IN (SELECT DISTINCT gid FROM ev ORDER BY gid LIMIT 3) GROUP BY gid"""))
+def _issue_lookup(spark, d):
+    """Metrics of three issues by an id list: files without any of them are not read."""
+    gids = [r["gid"] for r in A.ev(spark, d).select("gid").distinct().orderBy("gid").limit(3).collect()]  # the request's ids
+    ev = A.as_events(SK.read_where(spark, A.ev_indexed(spark, d), FRM, NOW, gids=gids))
+    return Q.issue_metrics(ev, FRM, NOW, gids=gids)
 
 
 @register("text_search", O.sql(f"""
@@ -532,8 +593,6 @@ def _mention_dedup(spark, d):
 
 
 # --- Q14-Q18: pages ------------------------------------------------------------------
-import datetime as _dt  # noqa: E402
-
 from faultline.plans import pages as G  # noqa: E402
 
 
@@ -803,7 +862,6 @@ def _alert_timeline(spark, d):
 
 
 # --- S5, L1-L6: layout; Q19-Q21: reports -----------------------------------------------
-from faultline.operators import layout as L  # noqa: E402
 from faultline.operators import reports as RP  # noqa: E402
 
 
@@ -834,6 +892,10 @@ def _event_latest_state(spark, d):
 _RET_NOW = _dt.datetime(2024, 4, 15)
 
 
+def _ret() -> str:
+    return f"TIMESTAMP '{_RET_NOW:%Y-%m-%d %H:%M:%S}'"
+
+
 @register("retention_sweep", O.sql(f"""
 SELECT pid, count(*) AS kept FROM ev
 WHERE created_at + to_days(CAST(retention_days AS INTEGER)) > TIMESTAMP '{_RET_NOW:%Y-%m-%d %H:%M:%S}' GROUP BY pid"""))
@@ -841,6 +903,24 @@ def _retention_sweep(spark, d):
     return L.retention_sweep(A.ev(spark, d), _RET_NOW).groupBy("pid").agg(F.count(F.lit(1)).alias("kept"))
 
 
+@register("retention_drop", O.sql(f"""
+SELECT CAST(week AS TIMESTAMP) AS week, n AS rows_before, alive AS rows_after,
+  CASE WHEN week + INTERVAL 97 DAY <= {_ret()} THEN 'dropped' WHEN week + INTERVAL 90 DAY > {_ret()} THEN 'kept'
+       WHEN alive = 0 THEN 'dropped' ELSE 'rewritten' END AS action, alive AS stored
+FROM (SELECT date_trunc('week', created_at) AS week, count(*) AS n,
+             CAST(sum(CASE WHEN created_at + INTERVAL 90 DAY > {_ret()} THEN 1 ELSE 0 END) AS BIGINT) AS alive
+      FROM ev GROUP BY 1)"""))
+def _retention_drop(spark, d):
+    """Sweep a stored copy of the event table; ``stored`` counts what its folders hold afterwards."""
+    path = L.scratch_path(spark, "events-swept")
+    L.write_events(A.ev(spark, d), path, mode="overwrite")
+    report = L.drop_expired(spark, path, _RET_NOW)
+    stored = spark.read.parquet(path).groupBy("week").agg(F.count(F.lit(1)).alias("stored"))
+    return report.join(stored, "week", "left").select(
+        F.col("week").cast("timestamp_ntz").alias("week"), "rows_before", "rows_after", "action",
+        F.coalesce("stored", F.lit(0)).cast("bigint").alias("stored"))
+
+
 @register("event_sample", O.sql("""
 SELECT event_id, pid, gid FROM ev
 WHERE CAST(('0x' || substr(md5(event_id), 1, 8)) AS BIGINT) % 10 < 1"""))

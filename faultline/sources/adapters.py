@@ -101,15 +101,34 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     read that table, as every analytic query of the original reads its stored
     event table.  Reading also cuts the lineage of the mapping.
     """
+    return as_events(spark.read.parquet(ev_path(spark, sf_dir)))
+
+
+def ev_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the event table is stored; the first call writes it."""
     from faultline.operators import layout as L
 
+    ensure_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _EV_TABLES.get(key)
     if path is None:
         path = L.scratch_path(spark, "event-table")
         L.write_events(ev_mapped(spark, sf_dir), path, mode="overwrite")
         _EV_TABLES[key] = path
-    stored = spark.read.parquet(path)
+    return path
+
+
+def ev_indexed(spark: SparkSession, sf_dir: str) -> str:
+    """The stored event table with its skipping index up to date."""
+    from faultline.operators import skipping as SK
+
+    path = ev_path(spark, sf_dir)
+    SK.update_index(spark, path)
+    return path
+
+
+def as_events(stored: DataFrame) -> DataFrame:
+    """Rows of the stored table in the event table's columns."""
     cols = [c for c in stored.columns if c not in ("retention_days", "week", "day")]
     return stored.select(*cols[:3], F.col("retention_days").cast("smallint").alias("retention_days"), *cols[3:],
                          "week")

@@ -15,8 +15,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def _canon(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
+    if isinstance(v, float) and v.is_integer():
+        return str(int(v))  # a nullable count
     if isinstance(v, float):
         return repr(round(v, 6))
     if hasattr(v, "isoformat"):
