@@ -995,49 +995,39 @@ from faultline.streaming import jobs as ST  # noqa: E402
 _STREAM_FILES = 4
 
 
-def _event_stream_input(spark, d, frame):
-    """Write ``frame`` as time-ordered JSON files and open a file stream over them."""
-    path = L.scratch_path(spark, "stream-in")
-    # S3: one JSON record per event, written as the text of the stream messages
-    ST.write_json_files(frame, path, "created_at", _STREAM_FILES, as_messages=True)
-    return ST.json_stream(spark, path, frame.schema)
+def _replayed(spark, frame, job):
+    """Feed ``frame`` as slices of S3 records (one JSON text per event) to a job that keeps its place in a checkpoint."""
+    ck = L.scratch_path(spark, "ck")
+    ST.replay(frame, "created_at", _STREAM_FILES, lambda stream: job(stream, ck), as_messages=True)
 
 
 @register("stream_event_load", O.sql(f"SELECT event_id, pid, created_at, gid, {O.tags_text()} AS tags_text FROM ev"))
 def _stream_event_load(spark, d):
-    stream = _event_stream_input(spark, d, A.ev(spark, d))
-    out, ck = L.scratch_path(spark, "stream-events"), L.scratch_path(spark, "ck")
-    ST.stream_event_load(stream, out, ck)
+    out = L.scratch_path(spark, "stream-events")
+    _replayed(spark, A.ev(spark, d).drop("week"), lambda stream, ck: ST.stream_event_load(stream, out, ck))
     return spark.read.parquet(out).select("event_id", "pid", "created_at", "gid", tags_text().alias("tags_text"))
 
 
 @register("stream_dedup", O.sql("SELECT DISTINCT pid, event_id FROM ev"))
 def _stream_dedup(spark, d):
-    stream = _event_stream_input(spark, d, A.ev_dup(spark, d))
-    out, ck = L.scratch_path(spark, "stream-dedup"), L.scratch_path(spark, "ck")
-    ST.stream_dedup(stream, out, ck)
+    out = L.scratch_path(spark, "stream-dedup")
+    _replayed(spark, A.ev_dup(spark, d), lambda stream, ck: ST.stream_dedup(stream, out, ck))
     return spark.read.parquet(out).select("pid", "event_id")
 
 
 @register("stream_events_per_hour", O.sql("""
 SELECT date_trunc('hour', created_at) AS ts, pid, count(*) AS event_count FROM live GROUP BY 1, 2"""))
 def _stream_events_per_hour(spark, d):
-    stream = _event_stream_input(spark, d, A.ev(spark, d))
-    out, ck = L.scratch_path(spark, "stream-hourly"), L.scratch_path(spark, "ck")
-    ST.stream_events_per_hour(stream, out, ck)
+    out = L.scratch_path(spark, "stream-hourly")
+    _replayed(spark, A.ev(spark, d), lambda stream, ck: ST.stream_events_per_hour(stream, out, ck))
     return ST.hourly_counts(spark, out)
 
 
 def _run_issue_stream(spark, d):
-    raw = A.raw_envelopes(spark, d)
-    path = L.scratch_path(spark, "stream-raw")
-    ST.write_json_files(raw.withColumnRenamed("received_at", "created_at"), path, "created_at", _STREAM_FILES)
-    schema = ST.RAW_ENVELOPE
-    stream = ST.json_stream(spark, path, T_raw(schema)).withColumnRenamed("created_at", "received_at")
-    issues, events, ck = (L.scratch_path(spark, "stream-issues"), L.scratch_path(spark, "stream-ev"),
-                          L.scratch_path(spark, "ck"))
-    rejects = L.scratch_path(spark, "stream-rejects")
-    ST.stream_issue_upsert(stream, A.projects(spark, d), issues, events, rejects, ck)
+    issues, events, rejects, ck = (L.scratch_path(spark, n) for n in ("stream-issues", "stream-ev", "stream-rejects", "ck"))
+    projects = A.projects(spark, d)
+    ST.replay(A.raw_envelopes(spark, d), "received_at", _STREAM_FILES,
+              lambda stream: ST.stream_issue_upsert(stream, projects, issues, events, rejects, ck))
     return issues, rejects
 
 
@@ -1048,13 +1038,7 @@ def _stream_ingest_rejects(spark, d):
 
 @register("stream_issue_upsert", ORACLE["issue_upsert"])
 def _stream_issue_upsert(spark, d):
-    return ST.latest_snapshot(spark, _run_issue_stream(spark, d)[0])
-
-
-def T_raw(schema):
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField("created_at" if f.name == "received_at" else f.name, f.dataType)
-                         for f in schema.fields])
+    return ST.latest_snapshot(spark, _run_issue_stream(spark, d)[0]).drop("bucket")
 
 
 _ALERT_BOUNDS = [_dt.datetime(2024, 1, 8), _dt.datetime(2024, 1, 15), _dt.datetime(2024, 1, 22)]
@@ -1064,16 +1048,16 @@ def _stream_alerts_sql() -> str:
     b = ", ".join(f"({k}, TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}')" for k, t in enumerate(_ALERT_BOUNDS))
     n = len(_ALERT_BOUNDS)
     return O.rel_sql(f"""
-SELECT v, rule_id, status, hit, new_status,
+SELECT now AS at, rule_id, status, hit, new_status,
        CASE WHEN status = 'Active' AND hit THEN 'triggered' WHEN status = 'Triggered' AND NOT hit THEN 'resolved'
        END AS transition
-FROM (SELECT v, rule_id, hit, new_status,
+FROM (SELECT now, rule_id, hit, new_status,
              coalesce(lag(new_status) OVER (PARTITION BY rule_id ORDER BY v), orig_status) AS status
-      FROM (SELECT bn.v, rw.rule_id, rw.status AS orig_status, coalesce(h.hit, false) AS hit,
+      FROM (SELECT bn.v, bn.now, rw.rule_id, rw.status AS orig_status, coalesce(h.hit, false) AS hit,
                    CASE WHEN coalesce(h.hit, false) THEN 'Triggered' ELSE 'Active' END AS new_status
             FROM bn CROSS JOIN rw LEFT JOIN hits h ON h.v = bn.v AND h.rule_id = rw.rule_id))""", f"""
 ub AS (SELECT * FROM (VALUES {b}, ({n}, TIMESTAMP '9999-01-01 00:00:00')) t(v, hi)),
-bn AS (SELECT ub.v, (SELECT max(created_at) FROM ev WHERE created_at <= ub.hi
+bn AS (SELECT ub.v, (SELECT max(created_at) FROM live WHERE created_at <= ub.hi
                      AND created_at > coalesce((SELECT u2.hi FROM ub u2 WHERE u2.v = ub.v - 1), TIMESTAMP '0001-01-01'))
                  AS now FROM ub),
 r_listed AS (SELECT ar.* FROM alert_rules ar JOIN projects p ON p.id = ar.project_id
@@ -1096,15 +1080,12 @@ hits AS (SELECT per.v, per.rule_id,
 
 @register("stream_alerts", _stream_alerts_sql())
 def _stream_alerts(spark, d):
-    frame = A.ev(spark, d)
-    path = L.scratch_path(spark, "stream-in")
-    ST.write_json_files(frame, path, "created_at", len(_ALERT_BOUNDS) + 1, as_messages=True, bounds=_ALERT_BOUNDS)
-    stream = ST.json_stream(spark, path, frame.schema)
-    ev_out, state, ck = (L.scratch_path(spark, "alert-ev"), L.scratch_path(spark, "alert-state"),
-                         L.scratch_path(spark, "ck"))
-    ST.stream_alerts(stream, A.alert_rules(spark, d), A.projects(spark, d), ev_out, state, ck)
-    return spark.read.parquet(state).select(F.col("v").cast("int").alias("v"), "rule_id", "status", "hit",
-                                            "new_status", "transition")
+    """Statuses after each arrival, at the newest live event's time (the watermark)."""
+    counts, state, ck = (L.scratch_path(spark, n) for n in ("alert-counts", "alert-state", "ck"))
+    rules, projects = A.alert_rules(spark, d), A.projects(spark, d)
+    ST.replay(A.ev(spark, d), "created_at", len(_ALERT_BOUNDS) + 1, lambda stream: ST.stream_alerts(stream, rules, projects, counts, state, ck),
+              as_messages=True, bounds=_ALERT_BOUNDS)
+    return spark.read.parquet(state).select("at", "rule_id", "status", "hit", "new_status", "transition")
 
 
 # --- X13 / X17 over ingested events -------------------------------------------------------
