@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as X
 from faultline.functions import predicates as P
+from faultline.operators.heavy import top_counts
 from faultline.operators.ranges import group_neighbors
 
 
@@ -150,7 +151,12 @@ def tag_value_percent(events: DataFrame, frm, to, per_tag: int = 4, limit: int =
     no window ever spans all values of a hot issue.  A tag outside the issue's
     top ``limit`` keys (absent from Q5) keeps percent 0, as in the original.
     """
-    agg = _tag_value_agg(events, frm, to, gids)
+    return tag_percents(_tag_value_agg(events, frm, to, gids), per_tag, limit)
+
+
+def tag_percents(agg: DataFrame, per_tag: int = 4, limit: int = 1000) -> DataFrame:
+    """Q4b from the counts (gid, tag, value, event_count, ...) of a window; further columns are kept."""
+    more = [c for c in agg.columns if c not in ("gid", "tag", "value", "event_count")]
     top = _top_per_key(agg, ["gid", "tag"], [F.desc("event_count"), F.asc("value")], per_tag)
     top = _top_per_key(top, ["gid"], [F.desc("event_count"), F.asc("tag"), F.asc("value")], limit)
     totals = agg.groupBy("gid", "tag").agg(F.sum("event_count").cast("bigint").alias("tag_count"))
@@ -159,7 +165,7 @@ def tag_value_percent(events: DataFrame, frm, to, per_tag: int = 4, limit: int =
     joined = top.join(totals, ["gid", "tag"], "left").join(within, ["gid", "tag"], "left")
     pct = F.when(F.col("within"), F.col("event_count") / F.col("tag_count") * 100).otherwise(F.lit(0.0))
     return joined.select(
-        "gid", "tag", "value", "event_count", "first_seen", "last_seen", "tag_count",
+        "gid", "tag", "value", "event_count", *more, "tag_count",
         F.round(pct, 6).alias("percent"),
         X.percents_floor(pct).alias("percent_floor"),
     )
@@ -190,13 +196,14 @@ def _event_filter(df: DataFrame, message: str | None, tags: dict | None) -> Data
 
 
 def event_list(events: DataFrame, frm, to, message: str | None = None, tags: dict | None = None,
-               limit: int = 50, offset: int = 0, gids=None, pids=None) -> DataFrame:
+               limit: int = 50, offset: int = 0, gids=None, pids=None, where: Column | None = None) -> DataFrame:
     """Q7 (batch form): per issue, page ``offset .. offset+limit`` of its events, newest first.
 
-    ``tags`` maps key -> (value, negate).  Output adds ``os`` (tag value or '')
+    ``tags`` maps key -> (value, negate); ``where`` is a further condition.  Output adds ``os`` (tag value or '')
     and ``display_user`` (X6).
     """
     df = _event_filter(_window(events, frm, to, False, pids, gids), message, tags)
+    df = df if where is None else df.where(where)
     w = Window.partitionBy("gid").orderBy(F.desc("created_at"), F.desc("event_id"))
     ranked = df.withColumn("rn", F.row_number().over(w)).where(
         (F.col("rn") > offset) & (F.col("rn") <= offset + limit))
@@ -211,9 +218,10 @@ def event_list(events: DataFrame, frm, to, message: str | None = None, tags: dic
 
 
 def event_count(events: DataFrame, frm, to, message: str | None = None, tags: dict | None = None,
-                gids=None, pids=None) -> DataFrame:
+                gids=None, pids=None, where: Column | None = None) -> DataFrame:
     """Q8: events per issue under the Q7 filters."""
     df = _event_filter(_window(events, frm, to, False, pids, gids), message, tags)
+    df = df if where is None else df.where(where)
     return df.groupBy("gid").agg(F.count(F.lit(1)).alias("event_count"))
 
 
@@ -241,20 +249,14 @@ def event_neighbors(events: DataFrame, frm, to, **split) -> DataFrame:
 # Q10-Q13 --------------------------------------------------------------------
 def field_filters(events: DataFrame, frm, to, pids=None, limit: int = 1000) -> DataFrame:
     """Q10: (tag, value) pairs over projects by frequency, top ``limit``; frequency is dropped."""
-    agg = _tag_rows(_window(events, frm, to, False, pids)).groupBy("tag", "value").agg(
-        F.count(F.lit(1)).alias("freq"))
-    return agg.orderBy(F.desc("freq"), "tag", "value").limit(limit).select("tag", "value")
+    rows = _tag_rows(_window(events, frm, to, False, pids))
+    return top_counts(rows, ["tag", "value"], limit, out="freq").orderBy(F.desc("freq"), "tag", "value").select("tag", "value")
 
 
 def popular_tags(events: DataFrame, frm, to, pids=None, limit: int = 1000) -> DataFrame:
     """Q11: tag keys over projects by count in [frm, to], top ``limit``."""
-    agg = (
-        _window(events, frm, to, True, pids)
-        .select(F.explode(F.transform("tags", lambda t: t["key"])).alias("tag"))
-        .groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("event_count"))
-    )
-    return agg.orderBy(F.desc("event_count"), "tag").limit(limit)
+    rows = _window(events, frm, to, True, pids).select(F.explode(F.transform("tags", lambda t: t["key"])).alias("tag"))
+    return top_counts(rows, ["tag"], limit).orderBy(F.desc("event_count"), "tag")
 
 
 def tag_values(events: DataFrame, frm, to, tag: str | None = None, pids=None, limit: int = 100) -> DataFrame:
@@ -263,8 +265,7 @@ def tag_values(events: DataFrame, frm, to, tag: str | None = None, pids=None, li
     df = _tag_rows(_window(events, frm, to, True, pids))
     if tag is not None:
         df = df.where(F.col("tag") == tag)
-    agg = df.groupBy("tag", "value").agg(F.count(F.lit(1)).alias("event_count"))
-    return _top_per_key(agg, ["tag"], [F.desc("event_count"), F.asc("value")], limit)
+    return top_counts(df, ["value"], limit, by=["tag"])
 
 
 def filtered_groups(events: DataFrame, tokens: list, frm, to, pids=None) -> DataFrame:

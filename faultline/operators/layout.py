@@ -63,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: several readers then cost one computation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """L2: rows with equal key (pid, day, primary_hash, event_id) collapse to the one with
     the highest ``deleted`` (the version column), the last ingested winning ties; then
@@ -137,6 +144,29 @@ def event_sample(events: DataFrame, k: int, n: int) -> DataFrame:
     return events.where(sample_key(F.col("event_id")) % n < k)
 
 
+# S7 ----------------------------------------------------------------------------
+def outbox_append(rows: DataFrame, path: str) -> None:
+    """Append created notifications (id, ..., status, error_message, created_at) to the outbox log; one folder a day."""
+    out = rows.withColumn("updated_at", F.col("created_at")).withColumn("sent_at", F.lit(None).cast("timestamp_ntz"))
+    out.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def outbox_update(changes: DataFrame, path: str) -> None:
+    """Set status, error and send time of notifications: changes(id, status, error_message, sent_at, updated_at).  A
+    change is a row of the log that names only what it sets."""
+    changes.withColumn("day", F.to_date("updated_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def outbox_current(spark: SparkSession, path: str) -> DataFrame:
+    """The outbox log folded to one row a notification: what its creation says, status, error and send time of its
+    latest row.  Changes of unknown notifications are ignored."""
+    log = spark.read.option("mergeSchema", "true").parquet(path).drop("day")
+    state = ["status", "error_message", "sent_at", "updated_at"]
+    made = log.where(F.col("created_at").isNotNull()).drop(*state)
+    last = latest_per_id(log.select("id", *state))
+    return made.join(last, "id")
+
+
 def latest_per_id(log: DataFrame, id_col: str = "id", order_col: str = "updated_at") -> DataFrame:
     """S7 status fold: an append-only outbox log -> the latest row of each id."""
     w = Window.partitionBy(id_col).orderBy(F.desc(order_col))

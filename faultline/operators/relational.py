@@ -79,17 +79,16 @@ def assignment_current(feed: DataFrame, members: DataFrame) -> tuple[DataFrame,
 
     A request whose assignee shares no team with the requesting user is
     rejected (an AND of the two users' team sets; one row per user is joined).  The last accepted
-    request per issue wins (``max_by``, a partial aggregate); a delete clears
+    request per issue wins; a delete clears
     the assignment.
     """
     checked = same_team(feed, members, "assigned_by", "user_id", "_ok")
     accept = (F.col("action") == "delete") | F.col("_ok")
     accepted, rejects = checked.where(accept).drop("_ok"), checked.where(~accept).drop("_ok")
-    last = accepted.groupBy("issue_id").agg(
-        F.max_by(F.struct("action", "user_id", "assigned_by", "created_at"),
-                 F.struct("created_at", "request_id")).alias("l"))
-    current = last.where(F.col("l.action") != "delete").select(
-        "issue_id", "l.user_id", "l.assigned_by", F.col("l.created_at").alias("assigned_at"))
+    w = Window.partitionBy("issue_id").orderBy(F.desc("created_at"), F.desc("request_id"))
+    last = accepted.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")  # a group limit, before the shuffle too
+    current = last.where(F.col("action") != "delete").select(
+        "issue_id", "user_id", "assigned_by", F.col("created_at").alias("assigned_at"))
     return current, rejects
 
 

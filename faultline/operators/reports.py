@@ -30,13 +30,13 @@ def query_log_report(log: DataFrame, now: _dt.datetime, days: int = 30) -> DataF
         F.sum("query_duration_ms").alias("runtime"))
     minutes = (F.unix_timestamp(X.trunc_ntz("minute", F.col("t1")).cast("timestamp"))
                - F.unix_timestamp(X.trunc_ntz("minute", F.col("t0")).cast("timestamp"))) / 60
-    # grand totals: a one-row aggregate, broadcast (size 1) to the group rows
-    totals = g.agg(F.sum("rb").alias("all_rb"), F.sum("runtime").alias("all_runtime"))
-    top = g.join(F.broadcast(totals)).select(
+    # grand totals: a one-row scalar subquery
+    totals = g.agg(F.struct(F.sum("rb").alias("rb"), F.sum("runtime").alias("runtime")).alias("t")).scalar()
+    top = g.select(
         "normalized_query", "avg_duration", "avg_result_rows", "total_calls", "rb",
         (F.col("total_calls") / F.greatest(F.lit(1), minutes)).alias("calls_per_minute"),
-        (F.col("rb") / F.col("all_rb") * 100).alias("percentage_iops"),
-        (F.col("runtime") / F.col("all_runtime") * 100).alias("percentage_runtime"),
+        (F.col("rb") / totals["rb"] * 100).alias("percentage_iops"),
+        (F.col("runtime") / totals["runtime"] * 100).alias("percentage_runtime"),
     ).orderBy(F.desc("rb"), "normalized_query").limit(TOP_QUERIES)
     # share within the ten rows of the report (a window over at most TOP_QUERIES rows)
     return top.withColumn("percent", F.col("rb") / F.sum("rb").over(Window.partitionBy()) * 100)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from faultline.functions import columns as X
 from faultline.functions import predicates as P
 from faultline.operators import analytics as Q
+from faultline.operators import layout as L
 from faultline.operators import relational as R
 
 GO_EPOCH_OFFSET = 62135596800  # fixed: seconds from 0001-01-01 to 1970-01-01 (Go's Truncate origin)
@@ -145,13 +146,23 @@ def new_issues(entries: DataFrame, now: _dt.datetime) -> DataFrame:
     return entries.where(F.col("first_seen") > X.ts_lit(now - NEW_ISSUE_AGE))
 
 
-def _entries(issues: DataFrame, events: DataFrame, comments: DataFrame, frm, to, pids=None,
-             query: str | None = None) -> DataFrame:
-    """Issues in the window with their in-window metrics (inner) and comment counts (left)."""
+def _window_issues(issues: DataFrame, events: DataFrame, frm, to, pids=None, query: str | None = None) -> DataFrame:
+    """Issues active in the window that match the query (if there is one; its issues are written once, as pages read
+    them for the rows and for the total)."""
     iw = issues_in_window(issues, frm, to, pids)
     if query:
-        groups = Q.filtered_groups(events, P.parse_query(query), frm, to, pids)
+        groups = L.written(Q.filtered_groups(events, P.parse_query(query), frm, to, pids), "matching-issues")
         iw = iw.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
+    return iw
+
+
+def _entries(issues: DataFrame, events: DataFrame, comments: DataFrame, frm, to, pids=None,
+             query: str | None = None) -> DataFrame:
+    """Issues in the window with their in-window metrics (inner) and comment counts (left)."""
+    return _with_metrics(_window_issues(issues, events, frm, to, pids, query), events, comments, frm, to, pids)
+
+
+def _with_metrics(iw: DataFrame, events: DataFrame, comments: DataFrame, frm, to, pids=None) -> DataFrame:
     metrics = Q.issue_metrics(events, frm, to, pids).withColumnRenamed("gid", "id")
     base = iw.select("id", "project_id", "message", "error_type", "view", "priority").join(metrics, "id")
     counts = R.message_counts(iw.select("id"), comments).withColumnRenamed("issue_id", "id")
@@ -169,14 +180,17 @@ def issue_list(issues: DataFrame, events: DataFrame, comments: DataFrame, frm, t
     """Q16: issues of the projects in the window (optionally matching a search
     query), most seen first, page ``offset .. offset+limit``; ``total`` is the
     number of entries before paging.  The page is a TakeOrdered of
-    offset+limit rows; the total a one-row aggregate joined to the page."""
-    entries = _entries(issues, events, comments, frm, to, pids, query)
+    offset+limit rows; the total a scalar subquery."""
+    iw = _window_issues(issues, events, frm, to, pids, query)
+    entries = _with_metrics(iw, events, comments, frm, to, pids)
     limit = max(limit, 0)
     offset = max(offset, 0)
     top = entries.orderBy(*_order()).limit(offset + limit)
     ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(*_order()))).where(F.col("rn") > offset)
-    total = entries.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return ranked.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    # An entry is an issue of the window with an event in it: counting them needs no metrics.
+    seen = Q.live_between(events, frm, to, True).select(F.col("gid").alias("id"))
+    total = iw.join(seen, "id", "left_semi")
+    return ranked.withColumn("total", total.agg(F.count(F.lit(1)).alias("total")).scalar())
 
 
 # Q17 ---------------------------------------------------------------------------
@@ -208,50 +222,73 @@ def project_issue_page(issues: DataFrame, events: DataFrame, comments: DataFrame
 
 
 # Q18 ---------------------------------------------------------------------------
+DAY = "\x00day"  # not a tag key: the days of an issue are counted in the same pass as its tag values
+
+
+def _metrics(live: DataFrame) -> DataFrame:
+    return live.groupBy("gid").agg(
+        F.count(F.lit(1)).alias("times_seen"), F.min("created_at").alias("m_first"), F.max("created_at").alias("m_last"),
+        F.count_distinct(F.nullif(F.col("user_ref"), F.lit(""))).alias("user_count"))
+
+
+def _metrics_since(issues: DataFrame, events: DataFrame, now: _dt.datetime) -> DataFrame:
+    """Per issue the metrics from first_seen - 10 min to now.
+
+    Every event of an issue is normally younger than that, so one aggregate without the bound is right for it, and no event
+    is joined to its issue.  Issues with an older event (seen by the minimum) are counted again with the bound.
+    """
+    upto = Q.live_between(events, _dt.datetime(1970, 1, 5), now, True)
+    per = L.written(_metrics(upto), "issue-metrics")  # a row an issue; read twice
+    lower = issues.select(F.col("id").alias("gid"), (F.col("first_seen") - F.expr("INTERVAL 10 MINUTES")).alias("lo"))
+    both = per.join(lower, "gid")
+    early = both.where("m_first < lo").select("gid", "lo")
+    again = _metrics(upto.join(early, "gid").where("created_at >= lo"))
+    return both.where("m_first >= lo").drop("lo").unionByName(again)
+
+
+def _newest(events: DataFrame, now: _dt.datetime) -> DataFrame:
+    """Per issue the newest event of the last 30 days before ``now``, its platform, the next older one of the last 360
+    days, and the newest event exactly at ``now``, from one pass that keeps two rows for each."""
+    at = X.ts_lit(now)
+    recent = Q.live_between(events, now - _dt.timedelta(days=360), now, True).select(
+        "gid", (F.col("created_at") == at).alias("at_now"), "created_at", "event_id", "platform")
+    w = Window.partitionBy("gid", "at_now").orderBy(F.desc("created_at"), F.desc("event_id"))
+    two = recent.withColumn("rn", F.row_number().over(w)).where("rn <= 2")  # a group limit
+    kept = two.groupBy("gid").agg(F.collect_list(F.struct("at_now", "rn", "created_at", "event_id", "platform")).alias("e"))
+    pick = lambda now_, rn: F.get(F.filter("e", lambda x: (x["at_now"] == now_) & (x["rn"] == rn)), F.lit(0))
+    top, second, other = pick(False, 1), pick(False, 2), pick(True, 1)
+    inside = top["created_at"] >= X.ts_lit(now - _dt.timedelta(days=30))
+    shown = lambda x: F.when(inside, X.id_no_dashes(x["event_id"]))
+    return kept.select("gid", shown(top).alias("latest_event_id"), F.when(inside, top["platform"]).alias("platform"),
+                       shown(second).alias("next_id"), shown(other).alias("first_id"))
+
+
 def issue_detail(issues: DataFrame, events: DataFrame, comments: DataFrame, assignees: DataFrame,
                  now: _dt.datetime) -> DataFrame:
     """Q18: one wide row per issue: metrics from first_seen - 10 min to now, 30-day
     and newest-day totals, top tag values with percents (text), the newest event
-    and its neighbours, comment count, assignee, is_new, platform and priority."""
-    live = events.where(F.col("deleted") == 0)
-    lower = issues.select(F.col("id").alias("gid"),
-                          (F.col("first_seen") - F.expr("INTERVAL 10 MINUTES")).alias("lo"))
-    in_range = live.join(lower, "gid").where(
-        (F.col("created_at") >= F.col("lo")) & (F.col("created_at") <= X.ts_lit(now)))
-    metrics = in_range.groupBy("gid").agg(
-        F.count(F.lit(1)).alias("times_seen"), F.min("created_at").alias("m_first"),
-        F.max("created_at").alias("m_last"),
-        F.count_distinct(F.nullif(F.col("user_ref"), F.lit(""))).alias("user_count"))
+    and its neighbours, comment count, assignee, is_new, platform and priority.
+
+    Events are read three times (metrics; tag values and days; newest events), and a fourth time for issues with events
+    older than their first_seen.  Per-issue metrics and tag counts are written once, as several parts read them.
+    """
+    metrics = _metrics_since(issues, events, now)
     frm30 = now - _dt.timedelta(days=30)
-    totals = Q.issue_totals(Q.events_per_day(events, frm30, now))
-    tags = Q.tag_value_percent(events, frm30, now).groupBy("gid").agg(
+    day = F.struct(F.lit(DAY).alias("key"), F.date_format("created_at", "yyyy-MM-dd").alias("value"))
+    rows = Q.live_between(events, frm30, now, False).select(
+        "gid", F.inline(F.concat(F.coalesce("tags", F.array().cast("array<struct<key:string,value:string>>")), F.array(day))).alias("tag", "value"))
+    counts = L.written(rows.groupBy("gid", "tag", "value").agg(F.count(F.lit(1)).alias("event_count")), "tag-counts")
+    totals = Q.issue_totals(counts.where(F.col("tag") == DAY).select("gid", F.to_date("value").alias("day"), "event_count"))
+    tags = Q.tag_percents(counts.where(F.col("tag") != DAY)).groupBy("gid").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(
             "=", "tag", "value", F.col("percent_floor").cast("string")))), ",").alias("top_tags"))
-    newest = Q.issue_event_detail(events, frm30, now).select(
-        "gid", F.col("event_id").alias("latest_event_id"), "platform")
-    # Neighbours (Q9, window [now - 360 d, now]) of the newest event L of the last
-    # 30 days: L is also the newest event before ``now``, so its next older event
-    # is the second newest before ``now`` (a top-2 per issue, WindowGroupLimit),
-    # and a newer one can only sit exactly at ``now``.
-    lo360, at_now = X.ts_lit(now - _dt.timedelta(days=360)), X.ts_lit(now)
-    recent = live.where((F.col("created_at") >= lo360) & (F.col("created_at") < at_now))
-    top2 = recent.withColumn("rn", F.row_number().over(
-        Window.partitionBy("gid").orderBy(F.desc("created_at"), F.desc("event_id")))).where(F.col("rn") <= 2)
-    second = top2.groupBy("gid").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("event_id"))).alias("latest_event_id"),
-        F.max(F.when(F.col("rn") == 2, F.col("event_id"))).alias("next_id"))
-    newer = live.where(F.col("created_at") == at_now).groupBy("gid").agg(
-        F.max_by("event_id", F.struct("created_at", "event_id")).alias("first_id"))
-    neighbors = second.join(newer, "gid", "left").select(
-        "gid", X.id_no_dashes(F.col("latest_event_id")).alias("latest_event_id"),
-        X.id_no_dashes(F.col("next_id")).alias("next_id"), X.id_no_dashes(F.col("first_id")).alias("first_id"))
-    counts = R.message_counts(issues, comments).withColumnRenamed("issue_id", "gid")
+    newest = _newest(events, now)
+    messages = R.message_counts(issues, comments).withColumnRenamed("issue_id", "gid")
     a = assignees.select(F.col("issue_id").alias("gid"), F.col("username").alias("assignee"))
     base = issues.select(F.col("id").alias("gid"), "project_id", "first_seen", "priority")
     out = (base.join(metrics, "gid")  # metrics missing -> no row (the original errors)
            .join(totals, "gid", "left").join(tags, "gid", "left").join(newest, "gid", "left")
-           .join(neighbors, ["gid", "latest_event_id"], "left").join(counts, "gid", "left")
-           .join(a, "gid", "left"))
+           .join(messages, "gid", "left").join(a, "gid", "left"))
     return out.select(
         "gid", "project_id", "times_seen", "user_count", F.col("m_first").alias("first_seen"),
         F.col("m_last").alias("last_seen"),
@@ -265,3 +302,13 @@ def issue_detail(issues: DataFrame, events: DataFrame, comments: DataFrame, assi
         X.platform_name(F.col("platform")).alias("platform_name"),
         X.priority_name(F.col("priority")).alias("priority_name"),
     )
+
+
+# P7 ------------------------------------------------------------------------------
+def event_page(events: DataFrame, query: str, frm, to, limit: int = 50, offset: int = 0, gids=None) -> DataFrame:
+    """The event page of an issue from its search text: per issue the events that match (P7), newest first, page
+    ``offset .. offset+limit``, and ``total``, how many match."""
+    match = P.event_list_predicate(P.parse_query(query), F.col("message"), F.col("tags"))
+    page = Q.event_list(events, frm, to, limit=limit, offset=offset, gids=gids, where=match)
+    total = Q.event_count(events, frm, to, gids=gids, where=match).withColumnRenamed("event_count", "total")
+    return page.join(total, "gid")

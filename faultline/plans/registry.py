@@ -754,6 +754,90 @@ def _issue_detail(spark, d):
     return G.issue_detail(A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), asg, NOW)
 
 
+_NEW_NOW = FRM + _dt.timedelta(days=6, minutes=30)  # a few issues are older than seven days then, most are new
+_TNEW = f"TIMESTAMP '{_NEW_NOW:%Y-%m-%d %H:%M:%S}'"
+_T14NEW = f"TIMESTAMP '{_NEW_NOW - _dt.timedelta(days=14):%Y-%m-%d %H:%M:%S}'"
+
+
+def _new_sql(body: str) -> str:
+    return O.rel_sql(body, _entries_sql().replace(O.T_NOW, _TNEW).replace(_T14, _T14NEW))
+
+
+def _new_inputs(spark, d):
+    return A.issues(spark, d), A.ev(spark, d), A.comments(spark, d), _NEW_NOW - _dt.timedelta(days=14), _NEW_NOW
+
+
+@register("new_issues_week", _new_sql(f"""
+SELECT id, project_id, first_seen, message_count FROM entries WHERE first_seen > {_TNEW} - INTERVAL 7 DAY"""))
+def _new_issues_week(spark, d):
+    """P12 at a time when most issues are younger than a week."""
+    return G.new_issues(G._entries(*_new_inputs(spark, d)), _NEW_NOW).select("id", "project_id", "first_seen", "message_count")
+
+
+def _page_sql(where: str) -> str:
+    return _new_sql(f"""
+SELECT project_id, id, times_seen, is_new, total_all, total_new, rn, page FROM (
+  SELECT *, CAST(floor((rn - 1) / 5) AS BIGINT) + 1 AS page
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY times_seen DESC, last_seen DESC, id) AS rn
+        FROM (SELECT *, first_seen > {_TNEW} - INTERVAL 7 DAY AS is_new, count(*) OVER (PARTITION BY project_id) AS total_all,
+                     CAST(sum(CASE WHEN first_seen > {_TNEW} - INTERVAL 7 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY project_id) AS BIGINT)
+                       AS total_new FROM entries) {where})) WHERE page = 2""")
+
+
+def _page(view):
+    def run(spark, d):
+        df = G.project_issue_page(*_new_inputs(spark, d), _NEW_NOW, view=view, page=2)
+        return df.select("project_id", "id", "times_seen", "is_new", F.col("total_all").cast("bigint").alias("total_all"),
+                         "total_new", F.col("rn").cast("bigint").alias("rn"), "page")
+    return run
+
+
+register("project_issue_page_new", _page_sql("WHERE is_new"))(_page("new"))
+register("project_issue_page_2", _page_sql(""))(_page("all"))
+
+
+@register("event_page", O.sql(f"""
+SELECT gid, event_id, created_at, rn, total FROM (
+  SELECT gid, replace(event_id, '-', '') AS event_id, created_at,
+         row_number() OVER (PARTITION BY gid ORDER BY created_at DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY gid) AS total
+  FROM live WHERE created_at >= {O.T_NOW} - INTERVAL 14 DAY AND created_at < {O.T_NOW} AND {O.contains_ci('message', O.q('failed id'))}
+    AND {O.has_tag('tags', O.q('os'), O.q('linux'))} AND NOT {O.has_tag('tags', O.q('env'), O.q('staging'))}) WHERE rn > 2 AND rn <= 6"""))
+def _event_page(spark, d):
+    """P7 with a window by period text (X28): raw words form one phrase, a repeated key keeps its last value."""
+    frm, to = G.period_window(NOW, "2w", page="events")
+    page = G.event_page(A.ev(spark, d), "os:darwin failed env:!staging id os:linux", frm, to, limit=4, offset=2)
+    return page.select("gid", "event_id", "created_at", "rn", "total")
+
+
+@register("events_second_dialect", O.sql(f"""
+SELECT gid, count(*) AS event_count FROM live WHERE {_RANGE_HALF} AND {O.has_tag('tags', O.q('os'), O.q('linux'))}
+  AND NOT {O.has_tag('tags', O.q('level'), O.q('info'))} GROUP BY gid"""))
+def _events_second_dialect(spark, d):
+    tokens = P.parse_query_v2("os:linux level:!:info words")
+    return Q.event_count(A.ev(spark, d), FRM, NOW, where=P.group_search_predicate(tokens, F.col("message"), F.col("title"), F.col("tags")))
+
+
+@register("metrics_by_ids", O.sql(f"""
+SELECT form, gid, count(*) AS times_seen, min(created_at) AS first_seen, max(created_at) AS last_seen, count(DISTINCT nullif(user_ref, '')) AS user_count
+FROM (SELECT *, 'pids' AS form FROM live WHERE pid IN (1, 3)
+      UNION ALL SELECT *, 'gids' FROM live WHERE gid IN (SELECT gid FROM ev GROUP BY gid ORDER BY count(*) DESC, gid LIMIT 5))
+WHERE {_RANGE_CLOSED} GROUP BY form, gid"""))
+def _metrics_by_ids(spark, d):
+    """A list of projects, a table of issues, an empty list."""
+    ev = A.ev(spark, d)
+    most = ev.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gid").limit(5).select("gid")
+    forms = {"pids": {"pids": [1, 3]}, "gids": {"gids": most}, "none": {"gids": []}}
+    parts = [Q.issue_metrics(ev, FRM, NOW, **ids).withColumn("form", F.lit(name)) for name, ids in forms.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("values_of_tag", O.sql(f"""
+SELECT tag, value, count(*) AS event_count FROM tagrows WHERE {_RANGE_CLOSED} AND tag = 'user' GROUP BY 1, 2
+ORDER BY event_count DESC, value LIMIT 100"""))
+def _values_of_tag(spark, d):
+    return Q.tag_values(A.ev(spark, d), FRM, NOW, tag="user")
+
+
 # --- A1-A5: alerts -------------------------------------------------------------------------
 from faultline.operators import alerts as AL  # noqa: E402
 
@@ -837,6 +921,34 @@ def _alert_rules(spark, d):
         "request_id", "project_id", "team_id", "rule_name", "description", "status")
 
 
+@register("alert_update", O.rel_sql("""
+SELECT id, project_id, rule_name, status, changed, 'Alert when more than ' || CAST(threshold AS VARCHAR) || ' ' ||
+       CASE condition WHEN 2 THEN 'users affected' ELSE 'occurrences' END || ' in ' ||
+       CASE timeframe WHEN 1 THEN '1 minute' WHEN 2 THEN '5 minutes' WHEN 3 THEN '15 minutes' WHEN 4 THEN '1 hour' WHEN 5 THEN '1 day'
+         WHEN 6 THEN '1 week' WHEN 7 THEN '30 days' ELSE '1 hour' END AS description FROM merged""", f"""
+asked AS (
+  SELECT o_orderkey AS request_id, CAST(o_orderkey % 300 + 1 AS INTEGER) AS alert_id, o_custkey % {A.N_USERS} + 1 AS user_id,
+         'renamed-' || CAST(o_orderkey AS VARCHAR) AS rule_name, CAST(o_orderkey % 50 AS INTEGER) AS threshold,
+         CAST(o_orderkey % 3 + 1 AS INTEGER) AS condition, CAST(o_orderkey % 8 + 1 AS INTEGER) AS timeframe,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'Inactive' ELSE '' END AS status FROM orders),
+best AS (SELECT a.* FROM asked a JOIN alert_rules r ON r.id = a.alert_id
+         WHERE EXISTS (SELECT 1 FROM members m WHERE m.user_id = a.user_id AND m.team_id = r.team_id)
+         QUALIFY row_number() OVER (PARTITION BY a.alert_id ORDER BY request_id DESC) = 1),
+merged AS (SELECT r.id, r.project_id, coalesce(b.rule_name, r.rule_name) AS rule_name, coalesce(b.threshold, r.threshold) AS threshold,
+         coalesce(b.condition, r.condition) AS condition, coalesce(b.timeframe, r.timeframe) AS timeframe,
+         coalesce(nullif(b.status, ''), r.status) AS status, b.request_id IS NOT NULL AS changed
+  FROM alert_rules r LEFT JOIN best b ON b.alert_id = r.id)"""))
+def _alert_update(spark, d):
+    k = F.col("o_orderkey")
+    asked = A.read(spark, d, "orders").select(
+        k.alias("request_id"), (k % 300 + 1).cast("int").alias("alert_id"), (F.col("o_custkey") % A.N_USERS + 1).alias("user_id"),
+        F.concat(F.lit("renamed-"), k.cast("string")).alias("rule_name"), (k % 50).cast("int").alias("threshold"),
+        (k % 3 + 1).cast("int").alias("condition"), (k % 8 + 1).cast("int").alias("timeframe"), F.lit(True).alias("high_priority"),
+        F.when(k % 4 == 0, F.lit("Inactive")).otherwise(F.lit("")).alias("status"))
+    out = AL.alert_update(A.alert_rules(spark, d), asked, A.members(spark, d), NOW)
+    return out.select("id", "project_id", "rule_name", "status", F.col("updated_at").isNotNull().alias("changed"), "description")
+
+
 _TICK0, _TICK_EVERY = _dt.datetime(2024, 1, 1, 6), _dt.timedelta(hours=6)
 _N_TICKS = int((NOW - _TICK0) / _TICK_EVERY) + 1
 
@@ -1128,19 +1240,25 @@ def _context_groups(spark, d):
 
 # --- S7: outbox status fold -------------------------------------------------------------
 @register("notification_status", _alert_sql(f"""
-SELECT id, status FROM (
-  SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM (
-    SELECT id, CASE WHEN error_message IS NULL THEN 'pending' ELSE 'failed' END AS status, {O.T_NOW} AS updated_at
-    FROM outbox
-    UNION ALL
-    SELECT id, 'sent', {O.T_NOW} + INTERVAL 1 MINUTE FROM outbox WHERE error_message IS NULL)) WHERE rn = 1"""))
+SELECT id, rule_id, channel_id, CASE WHEN error_message IS NOT NULL THEN 'failed' WHEN rule_id % 6 = 3 THEN 'failed' ELSE 'sent' END AS status,
+       CASE WHEN error_message IS NOT NULL THEN error_message WHEN rule_id % 6 = 3 THEN 'timeout' END AS error_message,
+       CASE WHEN error_message IS NOT NULL OR rule_id % 6 = 3 THEN NULL WHEN rule_id % 6 = 0 THEN {O.T_NOW} + INTERVAL 2 MINUTE
+            ELSE {O.T_NOW} + INTERVAL 1 MINUTE END AS sent_at FROM outbox"""))
 def _notification_status(spark, d):
-    """The outbox as an append-only log: the created rows, then a 'sent' row for every
-    pending one a minute later; the current status is the latest row per id."""
-    out = _outbox(spark, d).select("id", "status", F.col("created_at").alias("updated_at"))
-    sent = out.where(F.col("status") == AL.PENDING).select(
-        "id", F.lit(AL.SENT).alias("status"), (F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")).alias("updated_at"))
-    return L.latest_per_id(out.unionByName(sent)).select("id", "status")
+    """The outbox as an append-only log: created rows, the sender's results for what is pending a minute later (every
+    third fails), and a second try a minute after that, which every other failed one survives."""
+    path = L.scratch_path(spark, "outbox")
+    L.outbox_append(_outbox(spark, d), path)
+
+    def sender(tried, minutes, ok):
+        at = F.lit(NOW + _dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+        L.outbox_update(tried.select(
+            "id", F.when(ok, F.lit(AL.SENT)).otherwise(F.lit(AL.FAILED)).alias("status"),
+            F.when(~ok, F.lit("timeout")).alias("error_message"), F.when(ok, at).alias("sent_at"), at.alias("updated_at")), path)
+
+    sender(L.outbox_current(spark, path).where(F.col("status") == AL.PENDING), 1, F.col("rule_id") % 3 != 0)
+    sender(L.outbox_current(spark, path).where(F.col("error_message") == "timeout"), 2, F.col("rule_id") % 6 == 0)
+    return L.outbox_current(spark, path).select("id", "rule_id", "channel_id", "status", "error_message", "sent_at")
 
 
 # --- P6 as a job: saved searches ---------------------------------------------------------

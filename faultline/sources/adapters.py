@@ -92,6 +92,20 @@ def ev_message(df: DataFrame) -> Column:
 _EV_TABLES: dict[tuple[str, str], str] = {}
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that the product keeps, written once per session in the shared folder and read back by every query."""
+    from faultline.operators import layout as L
+
+    ensure_utc(spark)
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{name}")
+    path = _EV_TABLES.get(key)
+    if path is None:
+        path = L.scratch_path(spark, f"{name}-table")
+        build().write.parquet(path)
+        _EV_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table over ``events``, stored once per session.
 
@@ -393,6 +407,10 @@ def _event_gids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue discussion messages from ``conversations``: the conversation with id c
     discusses the issue of event c; authors cycle over the accounts."""
+    return _stored(spark, sf_dir, "comments", lambda: _comments(spark, sf_dir))
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = read(spark, sf_dir, "conversations")
     g = _event_gids(spark, sf_dir)
     j = cv.join(g, F.md5(cv.conv_id.cast("string")) == g.event_id)
@@ -411,6 +429,10 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assignment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assign / unassign requests from ``orders``: order o concerns the issue of event
     o mod (number of events), so every order is a request."""
+    return _stored(spark, sf_dir, "assignment_feed", lambda: _assignment_feed(spark, sf_dir))
+
+
+def _assignment_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     g = _event_gids(spark, sf_dir)
     n_events = g.count()  # one scalar: orders wrap around the events so every order is used
@@ -473,6 +495,10 @@ def webhook_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issue table of the adapted events (what ingest's upsert builds from them)."""
+    return _stored(spark, sf_dir, "issues", lambda: _issues(spark, sf_dir))
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ev(spark, sf_dir)
     return e.groupBy(F.col("gid").alias("id"), F.col("pid").alias("project_id"), F.col("primary_hash").alias("hash")
                      ).agg(

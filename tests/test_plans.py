@@ -54,3 +54,18 @@ def test_no_window_over_a_whole_group(spark):
         for line in windows:
             assert "piece" in line and group in line
         assert "Checkpoint" not in p and "LogicalRDD" not in p
+
+
+def test_pages_read_events_a_few_times(spark):
+    """issue_detail: metrics and tag counts are written by one event pass each, the plan has one for the newest events and
+    one for issues older than they should be; the tables that the product keeps are not rebuilt from events."""
+    for name, most in (("issue_detail", 2), ("issue_list", 3), ("issue_list_search", 3)):
+        p = _plan(R.SPARK[name](spark, SF_SMALL))
+        scans = [line for line in p.splitlines() if "FileScan" in line and "event-table" in line]
+        assert 0 < len(scans) <= most, (name, len(scans))
+        assert all("week" in line[line.index("PartitionFilters"):] for line in scans)
+        assert "SortAggregate" not in p and "NestedLoop" not in p and "CartesianProduct" not in p
+
+
+def test_reports_have_no_cross_join(spark):
+    assert "NestedLoop" not in _plan(R.SPARK["query_log_report"](spark, SF_SMALL))
