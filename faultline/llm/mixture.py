@@ -5,7 +5,7 @@ repeating, and share ``SHARE`` times the size of everything by weight; a target
 size and the excess goes to the others by weight until none is above.  With r = MOST * size / weight in ascending
 order, the level x = (all - capped targets) / (weights left) is that of the first source with x <= r; sources before it
 are capped and the others get weight * x.  The rate of a source is target / size; a document is emitted floor(rate)
-times and once more if its hash-seeded number in [0, 1) is below the fraction.
+times and once more if its number in [0, 1), seeded by a hash of id and text, is below the fraction.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    """A number in [0, 1) from the id: 52 bits of md5, the same in every run."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(doc_id: str = "doc_id", text: str = "text", seed: str = SEED) -> Column:
+    """A number in [0, 1) from id and text: 52 bits of md5, the same in every run."""
+    parts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), parts[0], F.lit(":"), parts[1])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def mixture(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, ...) -> its columns and size, source_size, target, copies (these replace columns of the
     same names).
 
-    Null texts have size 0; null sources are one source.  Rows with one id are copied alike.  The table of targets is
+    Null texts have size 0; null sources are one source.  Draws follow id and text, so documents without an id are drawn
+    one by one; rows equal in both are copied alike.  The table of targets is
     written first, so its size decides how it is joined: small ones are broadcast and texts stay where they are.
     """
     new = ["size", "source_size", "target", "copies"]

@@ -9,7 +9,7 @@ When the second term falls below zero its gradient is reversed, so flexible feat
 classifiers, each fitted on a different ``(MEMBERS - 1) / MEMBERS`` of both samples, are averaged.
 
 Bounds (documented parameters, the same at every size): ``POSITIVES`` and ``UNLABELLED`` sampled rows, those with the
-smallest hash of the id, and ``FEATURES`` words.  Words are runs of letters and digits (A-Z lower-cased), known by
+smallest hash of the id (repeated rows count once), and ``FEATURES`` words.  Words are runs of letters and digits (A-Z lower-cased), known by
 their 64-bit hash.  A word is a candidate if at least ``MIN_POSITIVES`` sampled positives hold it and the lower bound
 (``Z`` standard errors) of the ratio of its rates in positives and unlabelled texts is over ``MIN_RATIO``; those with the
 largest bounds stay.
@@ -49,11 +49,17 @@ def _distinct_words(col: pa.Array, size: int = 1 << 22):
         yield a, b - a, row, h
 
 
-def sample(docs: DataFrame, rows: int, salt: str) -> DataFrame:
-    """The rows with the smallest hashes of the id: (text, fold).  Only ids are sorted; ``rows`` bounds the result."""
-    key = F.xxhash64(F.col("doc_id"), F.lit(salt))
-    ids = docs.select("doc_id").distinct().orderBy(key, "doc_id").limit(rows)
-    text = docs.join(F.broadcast(ids), "doc_id", "left_semi").where("text IS NOT NULL").dropDuplicates(["text"])
+def sample(docs: DataFrame, rows: int, salt: str, among: DataFrame | None = None) -> DataFrame:
+    """Of docs(doc_id, text) the ``rows`` distinct (id, text) with the smallest hashes of the id: (text, fold); with
+    ``among`` (doc_id) only of these ids.  They are chosen on ids and text hashes; texts stay in their tasks but for the
+    chosen ones, which a bounded broadcast names."""
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("__h")).distinct()
+    if among is not None:
+        narrow = narrow.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked = narrow.orderBy(F.xxhash64(F.col("doc_id"), F.lit(salt)), "doc_id", "__h").limit(rows)
+    picked = picked.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__key"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    text = docs.where("text IS NOT NULL").join(F.broadcast(picked), same, "left_semi").dropDuplicates(["text"])
     return text.select("text", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(MEMBERS)).cast("int").alias("fold"))
 
 
@@ -79,35 +85,38 @@ def _loss_gradient(z: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(0, -m), -sign / (1 + np.exp(np.clip(m, -500, 500)))
 
 
-def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], features: int, prior: float) -> np.ndarray:
-    """x: feature numbers of each text.  Returns the weights, the intercept last."""
+def packed(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature numbers of all texts, the text of each, how many texts."""
+    row = np.repeat(np.arange(len(x)), [len(i) for i in x])
+    return (np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64)), row, len(x)
+
 
-    def packed(x):
-        row = np.repeat(np.arange(len(x)), [len(i) for i in x])
-        return (np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64)), row, len(x)
+def risk(w: np.ndarray, pos, unl, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk's two terms, p E_P[l(f)] and E_U[l(-f)] - p E_P[l(-f)], for packed samples, and the gradient to follow:
+    of their sum, or, where the second is negative, of its opposite."""
+    (ip, rp, np_), (iu, ru, nu) = pos, unl
+    features = len(w) - 1
+    zp = np.bincount(rp, weights=w[ip], minlength=np_) + w[-1]
+    zu = np.bincount(ru, weights=w[iu], minlength=nu) + w[-1]
+    lp, gp = _loss_gradient(zp, 1)
+    ln, gn = _loss_gradient(zp, -1)
+    lu, gu = _loss_gradient(zu, -1)
+    negative = lu.mean() - prior * ln.mean()
+    dp, du = (prior * (gp - gn), gu) if negative >= 0 else (prior * gn, -gu)
+    g = np.zeros_like(w)
+    g[:-1] = np.bincount(ip, weights=dp[rp], minlength=features) / np_ + np.bincount(iu, weights=du[ru], minlength=features) / nu
+    g[-1] = dp.mean() + du.mean()
+    return prior * lp.mean(), negative, g
 
-    (ip, rp, np_), (iu, ru, nu) = packed(x_p), packed(x_u)
+
+def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], features: int, prior: float) -> np.ndarray:
+    """x: feature numbers of each text.  Returns the weights, the intercept last."""
+    pos, unl = packed(x_p), packed(x_u)
     w = np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        zp = np.bincount(rp, weights=w[ip], minlength=np_) + w[-1]
-        zu = np.bincount(ru, weights=w[iu], minlength=nu) + w[-1]
-        lp, gp = _loss_gradient(zp, 1)
-        ln, gn = _loss_gradient(zp, -1)
-        lu, gu = _loss_gradient(zu, -1)
-        negative = lu.mean() - prior * ln.mean()
-
-        def gradient(dp, du):
-            g = np.zeros_like(w)
-            g[:-1] = np.bincount(ip, weights=dp[rp], minlength=features) / np_ + np.bincount(iu, weights=du[ru], minlength=features) / nu
-            g[-1] = dp.mean() + du.mean()
-            return g
-
-        if negative >= 0:
-            g = gradient(prior * (gp - gn), gu)
-        else:
-            g = gradient(prior * gn, -gu)
+        _, _, g = risk(w, pos, unl, prior)
         g[:-1] += L2 * w[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -125,7 +134,7 @@ def fit(train: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
     prior = min(max((share[1] or 0) / share[0], 1e-4), 1 - 1e-4) if share[0] else 0.5
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    pos = sample(train.join(toxic, "doc_id", "left_semi"), POSITIVES, "p").withColumn("kind", F.lit(1))
+    pos = sample(train, POSITIVES, "p", toxic).withColumn("kind", F.lit(1))
     unl = sample(train, UNLABELLED, "u").withColumn("kind", F.lit(0))
     both = materialize(pos.unionByName(unl), "sample")
     sizes = {r["kind"]: r["n"] for r in both.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -152,10 +161,13 @@ def fit(train: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
-    """docs(..., text) -> its other columns (with ``keep_text`` all) and score (0 to 1).  Null texts score as empty."""
+    """docs(..., text) -> its other columns (with ``keep_text`` all) and, last, score (0 to 1; ``toxic_score`` and so on
+    if docs has that column).  Null texts score as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES * (MEMBERS + 1) numbers at most
     cols = [c for c in docs.columns if keep_text or c != "text"]
-    name = "toxic_score" if "score" in cols else "score"
+    name = "score"
+    while name in cols:
+        name = f"toxic_{name}"
 
     def run(batches):
         hashes, weights = shared.value
@@ -182,7 +194,8 @@ def held_out(col: str = "doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text_key, held_out, score, predicted.  Rows with crc32(doc_id) mod 3 = 1 are held
+    """docs(doc_id, text, ...) -> doc_id, text_key, held_out, score, predicted; other columns are ignored, repeated rows and
+    ids are scored each, an empty table gives an empty result.  Rows with crc32(doc_id) mod 3 = 1 are held
     out: neither their labels nor their texts reach the fit."""
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out())
     model = fit(rows.where("NOT held_out").select("doc_id", "text"), labels.where(~held_out()))

@@ -93,11 +93,14 @@ e AS (SELECT r, kind, e - n AS s, e FROM c WHERE CASE kind
   WHEN 0 THEN length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 WHEN 1 THEN n >= 20
   WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END),
 f AS (SELECT *, sum(CASE WHEN kind = 6 THEN 1 ELSE 0 END) OVER w AS scope,
-  max(CASE WHEN kind < 3 THEN e END) OVER w AS be, min(CASE WHEN kind < 3 THEN s END) OVER (PARTITION BY r ORDER BY s, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bs
+  max(CASE WHEN kind < 3 THEN e END) OVER w AS be, min(CASE WHEN kind < 3 THEN s END) OVER (PARTITION BY r ORDER BY s DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bs
   FROM e WINDOW w AS (PARTITION BY r ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 g AS (SELECT * FROM f WHERE NOT (kind IN (3, 4, 5) AND (coalesce(be > s, false) OR coalesce(bs < e, false)))),
-h AS (SELECT *, max(CASE WHEN kind IN (1, 3) THEN 1 ELSE 0 END) OVER w AS ni, max(CASE WHEN kind IN (0, 2, 4) THEN 1 ELSE 0 END) OVER w AS ns
-  FROM g WINDOW w AS (PARTITION BY r, scope ORDER BY s RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING)),
+n AS (SELECT *, max(CASE WHEN kind IN (1, 3) THEN e END) OVER f AS ie, max(CASE WHEN kind IN (0, 2, 4) THEN e END) OVER f AS se,
+  min(CASE WHEN kind IN (1, 3) THEN s END) OVER b AS ib, min(CASE WHEN kind IN (0, 2, 4) THEN s END) OVER b AS sb
+  FROM g WINDOW f AS (PARTITION BY r, scope ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    b AS (PARTITION BY r, scope ORDER BY s DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN s - ie <= 200 OR ib - e <= 200 THEN 1 ELSE 0 END AS ni, CASE WHEN s - se <= 200 OR sb - e <= 200 THEN 1 ELSE 0 END AS ns FROM n),
 x AS (SELECT r, kind, s, ['assign', 'access', 'hex', 'login', 'blob', 'endpoint'][kind + 1] || ':' || s || ':' || e AS txt FROM h
   WHERE kind < 3 OR (kind = 3 AND ns = 1) OR (kind = 4 AND ni = 1) OR (kind = 5 AND ni = 1 AND ns = 1)),
 y AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS x, count(*) FILTER (kind > 2) AS w,
@@ -117,7 +120,7 @@ def _op5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("op6_mixture", r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
   source_size * 2.0::DOUBLE AS cap FROM s),
@@ -127,7 +130,7 @@ x AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER
 l AS (SELECT no AS lno, x AS lx FROM x WHERE x <= r ORDER BY no LIMIT 1),
 t AS (SELECT source, source_size, least(CASE WHEN no >= lno THEN weight * lx ELSE cap END, cap) AS target FROM x LEFT JOIN l ON true),
 c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || key), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""")
 def _op6(spark: SparkSession, d: str) -> DataFrame:

@@ -6,12 +6,12 @@ Strong findings (always reported), leftmost and non-overlapping by kind:
 
 Weak candidates alone say little: ``login`` (a user or client id that is assigned), ``blob`` (a run of 32 or more
 base64 characters with a digit, an upper and a lower case letter), ``endpoint`` (a URL or an IPv4 address).  They are
-reported only where complementary parts lie at most ``WITHIN`` code points away in the same scope (scopes end at blank
-lines): a login next to a secret, a blob next to an identifier, an endpoint next to both.  Identifiers are access
+reported only where at most ``WITHIN`` code points lie between them and complementary parts in the same scope (scopes end
+at blank lines), whichever comes first and however long they are: a login next to a secret, a blob next to an identifier, an endpoint next to both.  Identifiers are access
 and login, secrets assign, hex and blob.  A weak candidate that overlaps a strong finding is part of it and dropped.
 
-The interval join is a range window over the parts of one scope ordered by position: each part sees the parts at most
-WITHIN away, a bounded number, and pairs are never listed.  Offsets come from the lengths of matches and of the pieces
+The interval join is two running windows over the parts of one scope in order of position: the largest end of the parts
+before a part, and the smallest start of those after it, are its nearest ones, so pairs are never listed.  Offsets come from the lengths of matches and of the pieces
 between them, summed along the text.  One shuffle moves the parts (not the texts).
 """
 
@@ -77,16 +77,23 @@ def scan(docs: DataFrame) -> DataFrame:
     along = Window.partitionBy("__row").orderBy("start", "kind")
     rows = rows.withColumn("scope", F.sum((F.col("kind") == 6).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     strong_end = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    strong_start = F.min(F.when(F.col("kind") < 3, F.col("start"))).over(along.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("__row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    strong_start = F.min(F.when(F.col("kind") < 3, F.col("start"))).over(back)
     weak = F.col("kind").isin(3, 4, 5)
     inside = weak & (F.coalesce(strong_end > F.col("start"), F.lit(False)) | F.coalesce(strong_start < F.col("end"), F.lit(False)))
     rows = rows.withColumn("inside", inside).where("kind IS NULL OR NOT inside")
-    near = Window.partitionBy("__row", "scope").orderBy("start").rangeBetween(-WITHIN, WITHIN)
-    rows = rows.withColumn("near_id", F.max(F.col("kind").isin(1, 3).cast("int")).over(near))
-    rows = rows.withColumn("near_secret", F.max(F.col("kind").isin(0, 2, 4).cast("int")).over(near))
+    scope = Window.partitionBy("__row", "scope")
+    before = scope.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = scope.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    sides = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4)}
+    for name, mine in sides.items():
+        rows = rows.withColumn(f"{name}_end", F.max(F.when(mine, F.col("end"))).over(before))
+    for name, mine in sides.items():
+        rows = rows.withColumn(f"{name}_start", F.min(F.when(mine, F.col("start"))).over(after))
+    near = {n: F.coalesce(F.col("start") - F.col(f"{n}_end") <= WITHIN, F.lit(False)) | F.coalesce(F.col(f"{n}_start") - F.col("end") <= WITHIN, F.lit(False)) for n in sides}
     linked = (
-        F.when(F.col("kind") == 3, F.col("near_secret") == 1).when(F.col("kind") == 4, F.col("near_id") == 1)
-        .when(F.col("kind") == 5, (F.col("near_id") == 1) & (F.col("near_secret") == 1)).otherwise(F.col("kind") < 3)
+        F.when(F.col("kind") == 3, near["secret"]).when(F.col("kind") == 4, near["id"])
+        .when(F.col("kind") == 5, near["id"] & near["secret"]).otherwise(F.col("kind") < 3)
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     name = F.concat_ws(":", F.element_at(names, F.col("kind") + 1), F.col("start"), F.col("end"))

@@ -36,3 +36,11 @@ def test_stage_emits_copies(spark, edge_dir):
     plan = M.mixture(docs).collect()
     assert out.count() == sum(r["copies"] for r in plan)
     assert max(r["copy"] for r in out.collect()) <= 2
+
+
+def test_documents_without_ids_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None if s == "a" else 7, f"w{i} " * (i % 9 + 1), s) for s in "abc" for i in range(20_000)], "doc_id long, text string, source string")
+    rows = M.mixture(docs).groupBy("source").agg({"target": "max", "source_size": "max"}).collect()
+    taken = {r["source"]: r["t"] for r in M.mixture(docs).selectExpr("source", "size * copies AS x").groupBy("source").agg({"x": "sum"}).toDF("source", "t").collect()}
+    for r in rows:
+        assert taken[r["source"]] == pytest.approx(r["max(target)"], rel=0.02)

@@ -55,3 +55,57 @@ def test_stage_drops_only_flagged(spark, edge_dir):
     assert gone and np.mean([bool(insults & set(re.findall("[a-z]+", r["text"].lower()))) for r in gone]) > 0.7
     edge = spark.read.parquet(f"{edge_dir}/documents.parquet")
     assert T.drop_toxic(spark, edge, edge_dir).schema == edge.schema
+
+
+def test_risk_equals_brute_force():
+    """Both terms from the definition, text by text, and the gradient by differences, on either side of zero."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x_p = [np.unique(rng.integers(0, 6, rng.integers(0, 5))) for _ in range(80)]
+    x_u = [np.unique(rng.integers(0, 12, rng.integers(0, 6))) for _ in range(120)]
+    pos, unl = T.packed(x_p), T.packed(x_u)
+    loss = lambda z: np.log1p(np.exp(-z))
+    signs = set()
+    for prior in (0.1, 0.9):
+        for w in (rng.normal(0, 0.1, 13), rng.normal(0, 3.0, 13), np.array([3.0] * 6 + [-3.0] * 6 + [-2.0])):
+
+            def terms(w):
+                f = lambda x: sum(w[i] for i in x) + w[-1]
+                first = prior * np.mean([loss(f(x)) for x in x_p])
+                return first, np.mean([loss(-f(x)) for x in x_u]) - prior * np.mean([loss(-f(x)) for x in x_p])
+
+            first, second, g = T.risk(w, pos, unl, prior)
+            assert np.allclose((first, second), terms(w))
+            signs.add(second >= 0)
+            followed = lambda w: sum(terms(w)) if second >= 0 else -terms(w)[1]  # noqa: B023,E731
+            for i in range(13):
+                d = np.zeros(13)
+                d[i] = 1e-5
+                assert abs((followed(w + d) - followed(w - d)) / 2e-5 - g[i]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """One id with very many texts, and one row that repeats very often."""
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "concat('text ', id) AS text")
+    docs = docs.unionByName(spark.range(5000).selectExpr("2L AS doc_id", "'same' AS text")).unionByName(spark.range(50).selectExpr("id + 10 AS doc_id", "concat('t', id) AS text"))
+    assert T.sample(docs, 100, "u").count() <= 100
+    assert T.sample(docs, 40, "u", docs.where("doc_id > 5")).count() == 40
+    assert T.sample(docs.where("doc_id <> 1"), 100, "u").where("text = 'same'").count() == 1
+
+
+def test_no_text_is_shuffled_to_choose_the_sample(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text")
+    plan = T.sample(docs, 50, "u", docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("BroadcastExchange"):]
+    assert "text#" not in "".join(line for line in below.splitlines() if "Exchange hashpartitioning" in line or "HashAggregate(keys" in line)
+
+
+def test_score_columns_in_the_input(spark, edge_dir):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").selectExpr("*", "1 AS toxic_score")
+    out = T.score(docs, (np.zeros(0, np.uint64), np.zeros((1, 1))), keep_text=True)
+    assert out.columns == [*docs.columns, "toxic_toxic_score"] and out.count() == docs.count()
+    assert T.drop_toxic(spark, docs, edge_dir).columns == docs.columns
