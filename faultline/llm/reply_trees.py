@@ -45,8 +45,22 @@ def _same(a: DataFrame, b: DataFrame, left: str, right: str, how: str = "inner")
     return a.join(b, a["tree"].eqNullSafe(b["tree2"]) & (a[left] == b[right]), how)
 
 
+def distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One row per (tree, node): of repeated ones that with the smallest text, then role, parent and score (nulls first).
+    Other columns are dropped; an empty table stays empty."""
+    least = F.min(F.struct("text", "role", "parent", "score")).alias("least")
+    return nodes.groupBy("tree", "node").agg(least).select("tree", "node", "least.*")
+
+
+def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
+    """nodes(tree, node, parent, score, role, text, ...), repeated rows and all -> ``format_paths`` of the ``branches``
+    best paths of each tree."""
+    nodes = materialize(distinct_nodes(nodes), "nodes")
+    return format_paths(chosen_paths(nodes, branches), nodes)
+
+
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """nodes(tree, node, parent, score) -> tree, path (leaf), rank, node, depth: the nodes of the ``branches`` best
+    """One row per (tree, node) (``distinct_nodes``): nodes(tree, node, parent, score) -> tree, path (leaf), rank, node, depth: the nodes of the ``branches`` best
     root-to-leaf paths of each tree; depth 0 is the leaf's end of the path.  Nodes on a cycle belong to no path."""
     base = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select(F.col("tree").alias("tree2"), F.col("node").alias("node2"))

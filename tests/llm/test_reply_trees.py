@@ -56,3 +56,11 @@ def test_escape_round_trip(spark):
     for r in rows.collect():
         assert r["u"] == r["s"]
         assert not any(c in r["e"] for c in R.CONTROL)
+
+
+def test_repeated_nodes_count_once(spark):
+    rows = [(1, 1, None, 1.0, "user", "a"), (1, 2, 1, 1.0, "assistant", "b"), (1, 2, 1, 1.0, "assistant", "b"), (1, 2, 1, 5.0, "assistant", "c"), (1, 1, None, 1.0, "user", "a")]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string").selectExpr("*", "'x' AS path", "1 AS depth")
+    out = R.format_trees(nodes).withColumn("read", R.read_back()).collect()
+    assert [[tuple(t) for t in r["read"]] for r in out] == [[("user", "a"), ("assistant", "b")]]
+    assert R.format_trees(nodes.limit(0)).count() == 0
