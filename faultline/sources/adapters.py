@@ -36,6 +36,7 @@ from faultline.functions import columns as X
 from faultline.functions.normalize import fingerprint, issue_id
 from faultline.functions.frames import spread
 from faultline.session import ensure_utc
+from faultline.sources.tables import read_table
 
 # Fixed clock of the fixtures: the events span 2024-01-01 .. 2024-01-30.
 NOW = _dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -53,7 +54,7 @@ PARSED = ("events", "documents")
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, f"{sf_dir}/{name}.parquet")
     return spread(df) if name in PARSED else df
 
 

@@ -1,4 +1,7 @@
-"""Relational table scans (S6): Parquet datasets or, optionally, a JDBC source."""
+"""Relational table scans (S6): the product's tables as stored datasets.
+
+A table in a database is read by ``spark.read.jdbc`` in ranges of its id; nothing here depends on where a table came from.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
-               ) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
     """A stored table; with ``schema`` the files are read with it (no inference)."""
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
-              lower: int | None = None, upper: int | None = None, partitions: int = 8,
-              properties: dict | None = None) -> DataFrame:
-    """A relational table over JDBC, read in ``partitions`` parallel range slices of
-    ``partition_column`` when one is given (the driver jar must be on the classpath)."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    if partition_column is not None:
-        reader = (reader.option("partitionColumn", partition_column).option("lowerBound", lower)
-                  .option("upperBound", upper).option("numPartitions", partitions))
-    return reader.load()
