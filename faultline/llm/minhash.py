@@ -9,7 +9,8 @@ sets are one node, a 64-bit hash of the set, so exact copies cost one node.
    of its buckets.
 3. *Estimate.*  Minima of two sets agree with probability J; their low bits also agree by chance, with probability
    C = 2^-BITS.  So J is estimated as (m / K - C) / (1 - C), m being the K minima less the bits set in
-   (x0 ^ y0) | (x1 ^ y1).  Pairs more than ``SIGMAS`` standard deviations under the threshold are dropped.
+   (x0 ^ y0) | (x1 ^ y1).  Pairs more than ``SIGMAS`` standard deviations under the threshold are dropped, and of the rest
+   those whose parity sketches differ in more bits than similar sets have differing features (a bound that never errs).
 4. *Confirmation* on the full sets; links give components.
 5. *Open buckets.*  A bucket whose sets are in one component needs no more.  Of the others, one for each distinct group
    of sets is compared whole, in blocks of ``BLOCK`` x ``BLOCK`` sets inside a task: twice only the closest partner of
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words as W
 from faultline.llm.components import extend_components
-from faultline.llm.partenum import set_ids, shingle_sets
+from faultline.llm.partenum import allowed, folded, set_ids, shingle_sets, sketch_level, sketches
 from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize
 
 U32, U64 = np.uint32, np.uint64
@@ -101,12 +102,36 @@ def least_estimate(num: int, den: int) -> float:
     return num / den - SIGMAS * (p * (1 - p) / K) ** 0.5 / (1 - chance)
 
 
-SIGNED = "doc_id long, size long, node long, bits binary, bands array<bigint>"
+def parity_distance(data: list[bytes], size: np.ndarray):
+    """A function of two arrays of rows: in how many bits their parity sketches differ, at the shorter one's length."""
+    level = sketch_level(size)
+    words, place = [], []
+    for k in range(int(level.max()) + 1 if len(level) else 0):  # sketches of this length or more
+        has = level >= k
+        words.append(folded([data[r] for r in np.flatnonzero(has)], k))
+        place.append(np.cumsum(has) - 1)
+
+    def apart(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(u), dtype=np.int64)
+        low = np.minimum(level[u], level[v])
+        for k in np.unique(low):
+            idx = np.flatnonzero(low == k)
+            step = max(1, (1 << 21) // words[k].shape[1])
+            for c in range(0, len(idx), step):
+                i = idx[c : c + step]
+                out[i] = np.bitwise_count(words[k][place[k][u[i]]] ^ words[k][place[k][v[i]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    return apart
+
+
+SIGNED = "doc_id long, size long, node long, bits binary, parity binary, bands array<bigint>"
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
     """One row per row of docs; bits and bands only for the first of equal sets in a piece of some megabytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("parity", pa.binary()),
+                        ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -119,6 +144,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 first[one] = True
                 mine = first[doc]
                 bits, bands = np.empty(rows, dtype=object), [None] * rows
+                parity = sketches(np.where(first, size, 0), doc[mine], feature[mine])
                 if len(one):
                     begin = np.cumsum(size[one]) - size[one]
                     mins = minima(feature[mine], begin)
@@ -129,7 +155,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                     bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~first, False)), pa.array(keys))
                 yield pa.record_batch([
                     batch.column(0).slice(a, rows), pa.array(size), pa.array(node.view(np.int64), mask=size == 0),
-                    pa.array(bits, pa.binary()), bands if len(one) else pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()), parity, bands if len(one) else pa.array(bands, pa.list_(pa.int64())),
                 ], schema)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SIGNED)
@@ -141,7 +167,7 @@ def similar_sizes(s, t, num: int, den: int):
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that sizes and packed bits allow: (a, b, est)."""
+    """Of distinct pairs (a, b) those that sizes, packed bits and parity sketches allow: (a, b, est)."""
     least = least_estimate(num, den)
 
     def run(batches):
@@ -149,12 +175,15 @@ def estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             if batch.num_rows:
                 s, t = (batch.column(i).to_numpy() for i in (2, 3))
                 est = estimate(*(as_planes(batch.column(i).to_pylist()) for i in (4, 5)))
-                ok = pa.array(similar_sizes(s, t, num, den) & (est >= least))
+                apart = parity_distance(batch.column(6).to_pylist() + batch.column(7).to_pylist(), np.concatenate((s, t)))
+                row = np.arange(len(s))
+                ok = pa.array(similar_sizes(s, t, num, den) & (est >= least) & (apart(row, row + len(s)) <= allowed(s, t, num, den)))
                 yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(est).filter(ok)], names=["a", "b", "est"])
 
-    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("bits").alias("x"))
-    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("bits").alias("y"))
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y"), run, "a long, b long, est double")
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("s"), F.col("bits").alias("x"), F.col("parity").alias("u"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("t"), F.col("bits").alias("y"), F.col("parity").alias("v"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "x", "y", "u", "v")
+    return map_arrow(rows, run, "a long, b long, est double")
 
 
 def full_sets(docs: DataFrame, n: int, want: DataFrame) -> DataFrame:
@@ -200,7 +229,7 @@ def counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, node, root, size, bits) of buckets with sets in several components, one bucket for each distinct group
+    """(key, n, node, root, size, bits, parity) of buckets with sets in several components, one bucket for each distinct group
     of sets."""
     seen = materialize(members.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "seen")
     state = seen.groupBy("key").agg(
@@ -220,18 +249,19 @@ def nearest(x: np.ndarray, y: np.ndarray, est: np.ndarray, node: np.ndarray) ->
 
 
 def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of different components inside one bucket that sizes and packed bits allow; with
-    ``closest`` only each set's nearest one, over all its buckets."""
+    """Distinct pairs (a, b) of different components inside one bucket that sizes, packed bits and parity sketches
+    allow; with ``closest`` only each set's nearest one, over all its buckets."""
     least = least_estimate(num, den)
     cut = rows.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    cut = cut.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "root", "size", "bits")
+    cut = cut.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "root", "size", "bits", "parity")
 
     def groups(tab: pa.Table):
         """Whole groups, sorted; some 2^17 pairs at a time."""
         key, p, q, mine, node, root, size = (tab.column(i).to_numpy() for i in range(7))
         planes = as_planes(tab.column(7).to_pylist())
+        apart = parity_distance(tab.column(8).to_pylist(), size)
         total = len(key)
         ends = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]))) + 1
         later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total) - 1  # rows of the group behind each
@@ -247,6 +277,8 @@ def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame
             est = estimate(planes[x], planes[y])
             ok = est >= least
             x, y, est = x[ok], y[ok], est[ok]
+            ok = apart(x, y) <= allowed(size[x], size[y], num, den)
+            x, y, est = x[ok], y[ok], est[ok]
             if len(x):
                 x, y, est = nearest(x, y, est, node) if closest else (x, y, est)
                 yield pa.record_batch([pa.array(node[x]), pa.array(node[y]), pa.array(est)], names=["x", "y", "est"])
@@ -289,7 +321,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, num: int = 80, den: int = 100)
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     members = materialize(keyed.join(buckets.select("key", "hub"), "key").distinct(), "members")
     touched = materialize(members.select("node").distinct(), "touched")  # hubs are members, too
-    nodes = materialize(one.select("node", "size", "bits").join(touched, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    nodes = materialize(one.select("node", "size", "bits", "parity").join(touched, "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
     first = members.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     near = materialize(estimated(first, nodes, num, den), "near").select("a", "b")
