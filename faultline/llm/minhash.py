@@ -248,6 +248,14 @@ def nearest(x: np.ndarray, y: np.ndarray, est: np.ndarray, node: np.ndarray) ->
     return x[first], y[first], est[first]
 
 
+def best_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Of rows (x, y, est) the one with the greatest estimate for each x."""
+    x, y, est = (pa.Table.from_batches(batches).column(i).to_numpy() for i in range(3))
+    order = np.lexsort((y, -est, x))
+    first = order[np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))]
+    return pa.record_batch([pa.array(x[first]), pa.array(y[first]), pa.array(est[first])], names=["x", "y", "est"])
+
+
 def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
     """Distinct pairs (a, b) of different components inside one bucket that sizes, packed bits and parity sketches
     allow; with ``closest`` only each set's nearest one, over all its buckets."""
@@ -300,8 +308,24 @@ def block_pairs(rows: DataFrame, num: int, den: int, closest: bool) -> DataFrame
         if held:
             yield from groups(pa.Table.from_batches(held))
 
+    def one_each(batches):
+        """Of all pairs of a task the nearest for each set, so a set leaves it once however many buckets it has there."""
+        got, rows = [], 0
+        for batch in run(batches):
+            got.append(batch)
+            rows += batch.num_rows
+            if rows >= 400_000:
+                got = [best_of(got)]
+                rows = got[0].num_rows
+                if rows >= 200_000:
+                    yield got[0]
+                    got, rows = [], 0
+        if got:
+            yield best_of(got)
+
     keys = ["key", "p", "q"]
-    pairs = map_arrow(cut.repartition(*keys).sortWithinPartitions(*keys), run, "x long, y long, est double")
+    dealt = cut.repartition(*keys).sortWithinPartitions(*keys)
+    pairs = map_arrow(dealt, one_each if closest else run, "x long, y long, est double")
     if closest:
         pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
