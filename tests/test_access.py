@@ -43,3 +43,16 @@ def test_one_row_per_user_is_joined(spark):
     assert C.team_sets(members).count() == 1
     feed = spark.createDataFrame([(i, 1, 1) for i in range(50)], "request_id int, assigned_by long, user_id long")
     assert C.same_team(feed, members, "assigned_by", "user_id", "ok").where(F.col("ok")).count() == 50
+
+
+def test_every_pair_of_user_and_project_once(spark):
+    """Pairs given by several teams, repeated rows and null ids come once each; pairs are not shuffled for it."""
+    rows = [(1, 10), (1, 11), (1, 11), (2, 10), (3, 12), (None, 10), (4, None)]
+    owned = [(100, "a", 10), (100, "a", 11), (101, "b", 11), (101, "b", 11), (102, None, 12), (None, "d", 10), (103, "e", None)]
+    members = spark.createDataFrame(rows, "user_id long, team_id int")
+    projects = spark.createDataFrame(owned, "id int, name string, team_id int")
+    got = [tuple(r) for r in R.visible_projects(members, projects).collect()]
+    want = {(u, p, n) for u, t in rows for p, n, o in owned if t is not None and t == o}
+    assert len(got) == len(want) and set(got) == want
+    plan = R.visible_projects(members, projects)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate")
