@@ -48,15 +48,18 @@ def _event_tokens(events: DataFrame, asked: DataFrame) -> DataFrame:
     """Events of projects that have searches, with ``token``, each token of an event once."""
     wants = asked.groupBy(F.col("pid").alias("_pid")).agg(
         F.bool_or(F.col("token").startswith("g")).alias("_grams"), F.bool_or(F.col("token") == ANY).alias("_any"))
-    tags = _marked("t", F.transform(F.coalesce("tags", F.array().cast("array<struct<key:string,value:string>>")),
-                                    lambda t: P.stored_tag_token(t["key"], t["value"])))
+    tags = F.array_distinct(_marked("t", F.transform(F.coalesce("tags", F.array().cast("array<struct<key:string,value:string>>")),
+                                    lambda t: P.stored_tag_token(t["key"], t["value"]))))
     none = F.array().cast("array<string>")
+    message, title = F.coalesce("message", F.lit("")), F.coalesce("title", F.lit(""))
+    # A title that holds the message has its trigrams, too.
+    grams = F.concat(_trigrams(title), F.when(title.contains(message), none).otherwise(_trigrams(message)))
     tokens = F.concat(
         F.filter(tags, lambda t: t.isNotNull()),
-        F.when(F.col("_grams"), _marked("g", F.array_union(_trigrams(F.col("message")), _trigrams(F.col("title"))))).otherwise(none),
+        F.when(F.col("_grams"), _marked("g", F.array_distinct(grams))).otherwise(none),
         F.when(F.col("_any"), F.array(F.lit(ANY))).otherwise(none))
     j = events.join(wants, F.col("pid") == F.col("_pid"))
-    return j.select(*events.columns, F.explode(F.array_distinct(tokens)).alias("token"))
+    return j.select(*events.columns, F.explode(tokens).alias("token"))
 
 
 def anchors(events: DataFrame, searches: DataFrame) -> DataFrame:

@@ -81,3 +81,18 @@ def test_anchor_is_the_rarest(spark):
     got = {r["search_id"]: r["token"] for r in PC.anchors(events, searches).collect()}
     assert got[1] == "tk=1" and got[2] in ("grar", "gare") and got[3] == "*" and 4 not in got
     assert F.col("x") is not None
+
+
+def test_texts_are_cut_once_where_the_title_holds_the_message(spark):
+    """Each token of an event comes once; a title that holds the message is the only text that is cut."""
+    tags = [("k", "1"), ("k", "1")]
+    texts = [("Refused", "Refused: (none)"), ("Refused", "other"), (None, "abcabc"), ("ABC", None), ("ab", "ab"), (None, None)]
+    rows = [(1, i, T0, 0, m, t, tags) for i, (m, t) in enumerate(texts)]
+    events = spark.createDataFrame(rows, EVENTS)
+    asked = spark.createDataFrame([(1, "gabc"), (1, "*")], "pid int, token string")
+    df = PC._event_tokens(events, asked)
+    got = sorted((r.gid, r.token) for r in df.select("gid", "token").collect())
+    grams = lambda s: {fold(s)[i:i + 3] for i in range(len(s or "") - 2)}
+    assert got == sorted((i, x) for i, (m, t) in enumerate(texts)
+                         for x in {"tk=1", "*"} | {"g" + g for g in grams(m) | grams(t)})
+    assert "array_union" not in df._jdf.queryExecution().optimizedPlan().toString()
