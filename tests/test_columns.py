@@ -113,3 +113,14 @@ def test_period_window():
     assert G.period_window(now, None, page="tags") == (now - dt.timedelta(days=1), now)
     first = dt.datetime(2024, 1, 5)
     assert G.period_window(now, None, page="events", first_seen=first) == (first - dt.timedelta(seconds=1), now)
+
+
+def test_context_groups_compute_their_entries_once(spark):
+    kv = "array<struct<key:string,value:string>>"
+    rows = [([("os.name", "linux"), ("device.arch", "amd64"), ("device.a.b", "1"), ("plain", "x"), ("os.name", "darwin")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, f"contexts {kv}").select(X.context_groups(F.col("contexts")).alias("g"))
+    got = [None if r.g is None else [(x.prefix, x.fields) for x in r.g] for r in df.collect()]
+    assert got[:2] == [[("device", {"arch": "amd64", "a.b": "1"}), ("os", {"name": "darwin"})], []]
+    assert got[2] in (None, [])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_entries") == 1
