@@ -13,7 +13,8 @@ sets are one node, a 64-bit hash of the set, so exact copies cost one node.
    those whose parity sketches differ in more bits than similar sets have differing features (a bound that never errs).
 4. *Confirmation* on the full sets; links give components.
 5. *Open buckets.*  A bucket whose sets are in one component needs no more.  Of the others, one for each distinct group
-   of sets is compared whole, in blocks of ``BLOCK`` x ``BLOCK`` sets inside a task: twice only the closest partner of
+   of sets remains; near sets share dozens of them, so alike buckets are made one where that means no more pairs
+   (``united``).  Each is compared whole, in blocks of ``BLOCK`` x ``BLOCK`` sets inside a task: twice only the closest partner of
    each set in another component, over all its buckets, which joins nearly all that belongs together, then every pair
    between components.  So no candidate is capped, and a set is counted against three others unless near sets stay apart.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words as W
-from faultline.llm.components import extend_components
+from faultline.llm.components import extend_components, united
 from faultline.llm.partenum import allowed, folded, set_ids, shingle_sets, sketch_level, sketches
 from faultline.llm.shared import bitmap, in_bitmap, map_arrow, materialize
 
@@ -228,16 +229,15 @@ def counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return materialize(map_arrow(both, run, "a long, b long"), "links")
 
 
-def open_buckets(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, node, root, size, bits, parity) of buckets with sets in several components, one bucket for each distinct group
-    of sets."""
+def open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, n, node, root) of buckets with sets in several components, one bucket for each distinct group of sets."""
     seen = materialize(members.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "seen")
     state = seen.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"),
     ).where("lo < hi")
     state = state.groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key", "n")
-    return seen.join(state, "key").join(nodes, "node")
+    return materialize(seen.join(state, "key"), "open")
 
 
 def nearest(x: np.ndarray, y: np.ndarray, est: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -352,7 +352,8 @@ def near_duplicates(docs: DataFrame, n: int = 2, num: int = 80, den: int = 100)
     sets = materialize(full_sets(docs, n, touched), "sets")
     comp, done = extend_components(None, counted(near, sets, num, den)), near
     for closest in (True, True, False):
-        pairs = block_pairs(open_buckets(members.select("key", "node"), comp, nodes), num, den, closest)
+        still = united(open_buckets(members.select("key", "node"), comp))
+        pairs = block_pairs(still.join(nodes, "node"), num, den, closest)
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             comp = extend_components(comp, counted(pairs, sets, num, den))
