@@ -174,3 +174,48 @@ def test_signatures_leave_a_map_task_in_bounded_pieces(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in P.jaccard_components(docs, 4, 85, 100).collect()]
     assert sorted(got, key=str) == brute(rows, 4, 85, 100)
+
+
+def test_shingling_holds_little_beside_its_texts():
+    """Features and signatures of some megabytes of texts are made a small piece at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    vocab = ["v%d" % i for i in range(5000)]
+    buf, off = P.W.utf8(pa.array([" ".join(rng.choices(vocab, k=700)) for _ in range(1000)]))
+    assert len(buf) > 3 << 20
+    tracemalloc.start()
+    try:
+        got = 0
+        for _, rows, doc, feature in P.shingle_sets(buf, off, 5):
+            size, _ = P.set_ids(rows, doc, feature)
+            P.signatures(size, doc, feature, 80, 100)
+            got += rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == 1000 and peak < 20 << 20
+
+
+def test_a_worker_gives_memory_back_after_each_task(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from faultline.llm import shared as S
+
+    steps = []
+    monkeypatch.setattr(S, "give_back", lambda: steps.append("given back"))
+    monkeypatch.setattr(S, "ship_package", lambda spark: None)
+    docs = MagicMock()
+    S.map_arrow(docs, lambda batches: (steps.append(b) or b for b in batches), "x long")
+    run = docs.mapInArrow.call_args.args[0]
+    assert list(run(iter([1, 2]))) == [1, 2] and steps == [1, 2, "given back"]
+    left = run(iter([3, 4]))
+    assert next(left) == 3
+    left.close()  # a task that ends early
+    assert steps[3:] == [3, "given back"]
+    monkeypatch.undo()
+    S.give_back()  # whatever the C library has
+    out = S.map_arrow(spark.range(10), lambda batches: batches, "id long")
+    assert sorted(r["id"] for r in out.collect()) == list(range(10))
