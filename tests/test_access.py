@@ -56,3 +56,24 @@ def test_every_pair_of_user_and_project_once(spark):
     assert len(got) == len(want) and set(got) == want
     plan = R.visible_projects(members, projects)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate")
+
+
+def test_pairs_come_in_runs_of_a_project(spark):
+    """Users follow one another with the same project, so a written result holds a project once a run; several teams,
+    blocks of more than one run, and users and projects of two teams."""
+    teams = {10: (range(700), range(300)), 11: (range(690, 900), range(295, 320)), 12: (range(5), range(299, 301))}
+    members = spark.createDataFrame([(u, t) for t, (us, _) in teams.items() for u in us], "user_id long, team_id int")
+    projects = spark.createDataFrame([(p, f"p{p}", t) for t, (_, ps) in teams.items() for p in ps], "id int, name string, team_id int")
+    got = [tuple(r) for r in R.visible_projects(members, projects).collect()]
+    want = {(u, p, f"p{p}") for us, ps in teams.values() for u in us for p in ps}
+    assert len(got) == len(want) and set(got) == want
+    assert sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False)) < len(got) / 50
+
+
+def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "_PAIRS_OF_TASK", 1 << 16)
+    monkeypatch.setattr(R, "BLOCK", 128)
+    members = spark.range(2000).selectExpr("id AS user_id", "1 AS team_id")
+    projects = spark.range(500).selectExpr("CAST(id AS INT) AS id", "'n' AS name", "1 AS team_id")
+    pairs = R.visible_projects(members, projects)
+    assert pairs.count() == 1_000_000 and pairs.groupBy(F.spark_partition_id()).count().count() > 8
