@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from faultline.operators import layout as L
 from faultline.sources import adapters as A
+from faultline.streaming import alert_windows as AW
 from faultline.streaming import jobs as ST
 from faultline.streaming import snapshots as SN
 
@@ -143,6 +144,25 @@ def test_windows_are_closed_at_both_ends(spark, tmp_path):
     assert [(int((r["at"] - T0).total_seconds()), r["times_seen"], r["user_count"]) for r in changes] == [(1, 2, 1), (61, 1, 1), (62, 0, 0)]
 
 
+def test_window_state_runs_once_a_batch(spark, tmp_path, monkeypatch):
+    """The sink reads what it wrote, so the rows that the windows emit are computed once; an event without a time counts
+    in no window."""
+    emitted, real = spark.sparkContext.accumulator(0), AW.window_counts
+
+    def seen(gid):
+        emitted.add(1)
+        return True
+
+    monkeypatch.setattr(AW, "window_counts", lambda *a: real(*a).where(F.udf(seen, "boolean")("gid")))
+    extra = spark.createDataFrame([(1, 10, "z", None, 0)], EVENT)
+    replay = ST.replay
+    monkeypatch.setattr(ST, "replay", lambda df, *a, **k: replay(df.unionByName(extra), *a, **k))
+    got, counts = _alerts(spark, tmp_path, [[(1, 10, "u", 0), (1, 10, "v", 1)], [(1, 10, "u", 90)]], [(1, 1, 1, 2, 2, "Active")])
+    assert got[1] == [(1, True, "Triggered", "triggered"), (90, True, "Triggered", None)]
+    assert [(r["times_seen"], r["user_count"]) for r in counts.collect()] == [(3, 2)]
+    assert emitted.value == spark.read.parquet(str(tmp_path / "counts" / "changes")).count() > 0
+
+
 def test_replay_feeds_every_row_once(spark, tmp_path):
     df = spark.range(500).select("id", (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("created_at")).repartition(7)
     seen = []
