@@ -101,3 +101,12 @@ def test_rules_that_are_skipped_could_not_match(spark):
     got = df.select(N.normalize_message(F.col("t")).alias("n"), plain.alias("p")).collect()
     assert [r["n"] for r in got] == [r["p"] for r in got]
     assert set(N.NEEDS) == {p for p, _ in N.rules()} - {N.WHITESPACE_PATTERN}
+
+
+def test_reading_only_times_builds_no_envelope(spark):
+    """The replay's pass over the receive times leaves out the texts."""
+    raw = R.A.raw_envelopes(spark, SF_SMALL)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan(raw) and "user_id" in plan(raw)
+    times = plan(raw.agg(F.max("received_at")))
+    assert "md5" not in times and "Generate" not in times
